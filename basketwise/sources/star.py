@@ -6,10 +6,16 @@ products. Household attributes the star schema lacks are derived from its column
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketwise.schema import MONEY
+from basketwise.schema import MONEY, TRANSACTIONS
+from basketwise.session import fits_broadcast
+
+ALL_COLUMNS = tuple(TRANSACTIONS.names)
+FROM_ORDERS = {"hshd_num", "purchase_date", "week_num", "year"}
 
 # Fixed values of the views.
 AGE_RANGES = ["19-24", "25-34", "35-44", "45-54", "55-64", "65+"]
@@ -27,29 +33,43 @@ def _pick(number, values: list[str]):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (number % len(values) + 1).cast("int"))
 
 
-def transactions(spark: SparkSession, folder: str) -> DataFrame:
-    lines, orders, suppliers = (_read(spark, folder, n) for n in ("lineitem", "orders", "supplier"))
+def transactions(spark: SparkSession, folder: str, columns: Sequence[str] = ALL_COLUMNS) -> DataFrame:
+    """The wanted columns of the transactions.
+
+    Every line has an order and a supplier, and every supplier a nation and region,
+    as the star schema's foreign keys promise. A table that no wanted column comes
+    from is therefore not joined.
+    """
+    day = F.col("o_orderdate").cast("date")
+    available = {
+        "basket_num": F.col("l_orderkey"),
+        "hshd_num": F.col("o_custkey"),
+        "purchase_date": day,
+        "product_num": F.col("l_partkey"),
+        "spend": F.col("l_extendedprice").cast(MONEY),
+        "units": F.col("l_quantity").cast("int"),
+        "store_region": F.col("r_name"),
+        "week_num": F.weekofyear(day),
+        "year": F.year(day),
+    }
+    lines = _read(spark, folder, "lineitem")
+    if set(columns) & FROM_ORDERS:
+        lines = lines.join(_read(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    if "store_region" in columns:
+        lines = lines.join(_stores(spark, folder), F.col("l_suppkey") == F.col("s_suppkey"))
+    return lines.select(*[available[c].alias(c) for c in columns])
+
+
+def _stores(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers with their region's name, marked for broadcast if few enough."""
     # Nations and regions are fixed lists of 25 and 5 rows.
     places = _read(spark, folder, "nation").join(
         F.broadcast(_read(spark, folder, "region")), F.col("n_regionkey") == F.col("r_regionkey")
     )
+    suppliers = _read(spark, folder, "supplier")
     stores = suppliers.join(F.broadcast(places), F.col("s_nationkey") == F.col("n_nationkey"))
-    day = F.col("o_orderdate").cast("date")
-    return (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(stores, F.col("l_suppkey") == F.col("s_suppkey"))
-        .select(
-            F.col("l_orderkey").alias("basket_num"),
-            F.col("o_custkey").alias("hshd_num"),
-            day.alias("purchase_date"),
-            F.col("l_partkey").alias("product_num"),
-            F.col("l_extendedprice").cast(MONEY).alias("spend"),
-            F.col("l_quantity").cast("int").alias("units"),
-            F.col("r_name").alias("store_region"),
-            F.weekofyear(day).alias("week_num"),
-            F.year(day).alias("year"),
-        )
-    )
+    stores = stores.select("s_suppkey", "r_name")
+    return F.broadcast(stores) if fits_broadcast(suppliers) else stores
 
 
 def households(spark: SparkSession, folder: str) -> DataFrame:

@@ -40,6 +40,24 @@ def query(function):
     return function
 
 
+# Columns of the transactions that a group of queries reads.
+KEYS = ["hshd_num", "basket_num", "product_num"]
+HISTORY = ["hshd_num", "purchase_date"]
+FEATURES = [*KEYS, "purchase_date", "spend", "units", "store_region"]
+DEPARTMENT_SPEND = ["hshd_num", "purchase_date", "product_num", "spend"]
+SALES = [*KEYS, "spend", "units"]
+
+
+def _lines(spark: SparkSession, folder: str, *names: str) -> DataFrame:
+    """The wanted transaction columns, for a query that reads them once."""
+    return star.transactions(spark, folder, names)
+
+
+def _stored_lines(spark: SparkSession, folder: str, *names: str) -> DataFrame:
+    """The same, joined once and stored, for a query that reads them several times."""
+    return stage(star.transactions(spark, folder, names))
+
+
 def _tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return star.transactions(spark, folder), star.households(spark, folder), star.products(spark, folder)
 
@@ -230,36 +248,34 @@ def household_lines(spark, folder):
 
 @query
 def demographics_engagement(spark, folder):
-    transactions, households, _ = _tables(spark, folder)
-    return dashboard.demographics_engagement(transactions, households)
+    lines = _lines(spark, folder, "hshd_num", "store_region", "spend", "units")
+    return dashboard.demographics_engagement(lines, star.households(spark, folder))
 
 
 @query
 def spend_over_time(spark, folder):
-    return dashboard.spend_over_time(star.transactions(spark, folder))
+    return dashboard.spend_over_time(_lines(spark, folder, "year", "purchase_date", "spend"))
 
 
 @query
 def top_commodities(spark, folder):
-    transactions, _, products = _tables(spark, folder)
-    return dashboard.top_commodities(transactions, products)
+    return dashboard.top_commodities(_lines(spark, folder, "product_num"), star.products(spark, folder))
 
 
 @query
 def seasonal_spend(spark, folder):
-    return dashboard.seasonal_spend(star.transactions(spark, folder))
+    return dashboard.seasonal_spend(_lines(spark, folder, "purchase_date", "spend"))
 
 
 @query
 def loyalty_mix(spark, folder):
-    transactions, households, _ = _tables(spark, folder)
-    return dashboard.loyalty_mix(transactions, households)
+    return dashboard.loyalty_mix(_lines(spark, folder, "hshd_num"), star.households(spark, folder))
 
 
 @query
 def commodity_units_spend(spark, folder):
-    transactions, _, products = _tables(spark, folder)
-    return dashboard.commodity_units_spend(transactions, products)
+    lines = _lines(spark, folder, "product_num", "units", "spend")
+    return dashboard.commodity_units_spend(lines, star.products(spark, folder))
 
 
 @query
@@ -273,86 +289,83 @@ def enriched_lines(spark, folder):
 
 @query
 def cutoff(spark, folder):
-    return customers.cutoff(star.transactions(spark, folder))
+    return customers.cutoff(_lines(spark, folder, "purchase_date"))
 
 
 @query
 def training_lines(spark, folder):
-    return customers.split_period(star.transactions(spark, folder))[0]
+    return customers.split_period(_stored_lines(spark, folder, *star.ALL_COLUMNS))[0]
 
 
 @query
 def evaluation_lines(spark, folder):
-    return customers.split_period(star.transactions(spark, folder))[1]
+    return customers.split_period(_stored_lines(spark, folder, *star.ALL_COLUMNS))[1]
 
 
 @query
 def favourite_region(spark, folder):
-    return customers.favourite_region(star.transactions(spark, folder))
+    return customers.favourite_region(_lines(spark, folder, "hshd_num", "store_region"))
 
 
 @query
 def customer_features(spark, folder):
-    return customers.customer_features(star.transactions(spark, folder))
+    return customers.customer_features(_stored_lines(spark, folder, *FEATURES))
 
 
 @query
 def churned_households(spark, folder):
-    return customers.churned_households(star.transactions(spark, folder))
+    return customers.churned_households(_stored_lines(spark, folder, *HISTORY))
 
 
 @query
 def retained_households(spark, folder):
-    return customers.retained_households(star.transactions(spark, folder))
+    return customers.retained_households(_stored_lines(spark, folder, *HISTORY))
 
 
 @query
 def churn_label(spark, folder):
-    return customers.churn_label(star.transactions(spark, folder))
+    return customers.churn_label(_stored_lines(spark, folder, *HISTORY))
 
 
 @query
 def churn_features(spark, folder):
-    transactions, households, _ = _tables(spark, folder)
-    return customers.churn_features(transactions, households)
+    return customers.churn_features(_stored_lines(spark, folder, *FEATURES), star.households(spark, folder))
 
 
 @query
 def churn_rate(spark, folder):
-    return customers.churn_rate(customers.churn_label(star.transactions(spark, folder)))
+    return customers.churn_rate(customers.churn_label(_stored_lines(spark, folder, *HISTORY)))
 
 
 @query
 def category_spend(spark, folder):
-    transactions, _, products = _tables(spark, folder)
-    return customers.category_spend(customers.split_period(transactions)[0], products)
+    training_part, _ = customers.split_period(_stored_lines(spark, folder, *DEPARTMENT_SPEND))
+    return customers.category_spend(training_part, star.products(spark, folder))
 
 
 @query
 def category_pivot(spark, folder):
-    transactions, _, products = _tables(spark, folder)
-    return customers.category_pivot(customers.split_period(transactions)[0], products)
+    training_part, _ = customers.split_period(_stored_lines(spark, folder, *DEPARTMENT_SPEND))
+    return customers.category_pivot(training_part, star.products(spark, folder))
 
 
 @query
 def future_spend(spark, folder):
-    return customers.future_spend(star.transactions(spark, folder))
+    return customers.future_spend(_stored_lines(spark, folder, "hshd_num", "purchase_date", "spend"))
 
 
 @query
 def clv_features(spark, folder):
-    transactions, households, products = _tables(spark, folder)
-    return customers.clv_features(transactions, products, households)
+    lines = _stored_lines(spark, folder, *FEATURES)
+    return customers.clv_features(lines, star.products(spark, folder), star.households(spark, folder))
 
 
 def _clv(spark, folder):
-    transactions, households, products = _tables(spark, folder)
-    return stage(customers.clv_features(transactions, products, households))
+    return stage(clv_features(spark, folder))
 
 
 def _churn(spark, folder):
-    transactions, households, _ = _tables(spark, folder)
-    return stage(customers.churn_features(transactions, households))
+    return stage(churn_features(spark, folder))
 
 
 @query
@@ -367,9 +380,7 @@ def clv_quartiles(spark, folder):
 
 @query
 def churn_correlations(spark, folder):
-    transactions, households, _ = _tables(spark, folder)
-    features = customers.churn_features(transactions, households)
-    return _rounded(metrics.churn_correlations(features, CORRELATED), 6, "correlation")
+    return _rounded(metrics.churn_correlations(churn_features(spark, folder), CORRELATED), 6, "correlation")
 
 
 @query
@@ -405,7 +416,8 @@ def one_hot_households(spark, folder):
 def one_hot_with_missing(spark, folder):
     households = star.households(spark, folder)
     known = households.withColumn("marital_status", F.nullif(F.col("marital_status"), F.lit("null")))
-    return prepare.one_hot(known.select("hshd_num", "marital_status"), ["marital_status"], drop_first=False, dummy_na=True)
+    status = known.select("hshd_num", "marital_status")
+    return prepare.one_hot(status, ["marital_status"], drop_first=False, dummy_na=True)
 
 
 @query
@@ -441,14 +453,12 @@ def household_split(spark, folder):
 
 @query
 def stratified_split(spark, folder):
-    label = stage(customers.churn_label(star.transactions(spark, folder)))
-    return prepare.mark_split(label, "hshd_num", "churned")
+    return prepare.mark_split(stage(churn_label(spark, folder)), "hshd_num", "churned")
 
 
 @query
 def standardized_features(spark, folder):
-    features = stage(customers.customer_features(star.transactions(spark, folder)))
-    marked = stage(prepare.mark_split(features, "hshd_num"))
+    marked = stage(prepare.mark_split(stage(customer_features(spark, folder)), "hshd_num"))
     scaled = prepare.standardize(marked, SCALED, fit_on=marked.where(F.col("is_test") == 0))
     return _rounded(scaled.select("hshd_num", *SCALED), 6, *SCALED)
 
@@ -458,8 +468,9 @@ def standardized_features(spark, folder):
 
 def _judged(spark, folder):
     """A simple rule in place of a model: few purchases mean churn."""
-    features = customers.churn_features(star.transactions(spark, folder))
-    return features.select("hshd_num", "purchase_count", "churned", (F.col("purchase_count") < 10).cast("int").alias("prediction"))
+    features = customers.churn_features(_stored_lines(spark, folder, *FEATURES))
+    guess = (F.col("purchase_count") < 10).cast("int").alias("prediction")
+    return features.select("hshd_num", "purchase_count", "churned", guess)
 
 
 @query
@@ -481,11 +492,14 @@ def roc_auc(spark, folder):
 
 @query
 def regression_metrics(spark, folder):
-    transactions, _, products = _tables(spark, folder)
-    features = customers.clv_features(transactions, products, departments=[])
+    lines = _stored_lines(spark, folder, *FEATURES)
+    features = customers.clv_features(lines, star.products(spark, folder), departments=[])
     result = metrics.regression_metrics(features, VALUE, "annual_clv")
     return result.select(
-        F.round("mse", -2).alias("mse"), F.round("rmse", 3).alias("rmse"), F.round("mae", 3).alias("mae"), F.round("r2", 6).alias("r2")
+        F.round("mse", -2).alias("mse"),
+        F.round("rmse", 3).alias("rmse"),
+        F.round("mae", 3).alias("mae"),
+        F.round("r2", 6).alias("r2"),
     )
 
 
@@ -494,27 +508,27 @@ def regression_metrics(spark, folder):
 
 @query
 def multi_item_baskets(spark, folder):
-    return baskets.multi_item_baskets(star.transactions(spark, folder))
+    return baskets.multi_item_baskets(_lines(spark, folder, *KEYS))
 
 
 @query
 def basket_items(spark, folder):
-    return baskets.basket_items(star.transactions(spark, folder))
+    return baskets.basket_items(_lines(spark, folder, *KEYS))
 
 
 @query
 def basket_count(spark, folder):
-    return baskets.basket_count(star.transactions(spark, folder))
+    return baskets.basket_count(_lines(spark, folder, "hshd_num", "basket_num"))
 
 
 @query
 def basket_pairs(spark, folder):
-    return baskets.basket_pairs(star.transactions(spark, folder))
+    return baskets.basket_pairs(_lines(spark, folder, *KEYS))
 
 
 @query
 def top_pairs(spark, folder):
-    return baskets.top_pairs(star.transactions(spark, folder))
+    return baskets.top_pairs(_lines(spark, folder, *KEYS))
 
 
 @query
@@ -524,25 +538,23 @@ def product_metadata(spark, folder):
 
 @query
 def product_stats(spark, folder):
-    transactions, _, products = _tables(spark, folder)
-    return baskets.product_stats(transactions, products)
+    return baskets.product_stats(_stored_lines(spark, folder, *SALES), star.products(spark, folder))
 
 
 @query
 def loyalty_ratio(spark, folder):
-    transactions, households, _ = _tables(spark, folder)
-    return baskets.loyalty_ratio(transactions, households)
+    return baskets.loyalty_ratio(_lines(spark, folder, "hshd_num", "product_num"), star.households(spark, folder))
 
 
 @query
 def product_stats_with_loyalty(spark, folder):
-    return baskets.product_stats(*[_tables(spark, folder)[i] for i in (0, 2, 1)])
+    return baskets.product_stats(_stored_lines(spark, folder, *SALES), star.products(spark, folder), star.households(spark, folder))
 
 
 def _pair_frame(spark, folder):
-    transactions, _, products = _tables(spark, folder)
-    pairs = stage(baskets.basket_pairs(transactions))
-    return baskets.pair_features(pairs, stage(baskets.product_stats(transactions, products)))
+    lines = _stored_lines(spark, folder, *SALES)
+    pairs = stage(baskets.basket_pairs(lines))
+    return baskets.pair_features(pairs, stage(baskets.product_stats(lines, star.products(spark, folder))))
 
 
 @query
@@ -553,7 +565,8 @@ def pair_features(spark, folder):
 @query
 def pair_model_data(spark, folder):
     frame = stage(_pair_frame(spark, folder))
-    return prepare.one_hot(frame, ["p1_department", "p2_department", "p1_commodity", "p2_commodity"], drop_first=False, dummy_na=True)
+    encoded = ["p1_department", "p2_department", "p1_commodity", "p2_commodity"]
+    return prepare.one_hot(frame, encoded, drop_first=False, dummy_na=True)
 
 
 @query
@@ -566,7 +579,7 @@ def pair_lookup(spark, folder):
 
 
 def _top(spark, folder):
-    return stage(baskets.top_pairs(star.transactions(spark, folder)))
+    return stage(top_pairs(spark, folder))
 
 
 @query
@@ -584,41 +597,38 @@ def recommendations(spark, folder):
     return baskets.recommendations(_top(spark, folder))
 
 
-def _details(spark, folder, pairs):
-    transactions, _, products = _tables(spark, folder)
-    return baskets.product_details(pairs, transactions, products)
+def _top_and_details(spark, folder):
+    """The top pairs and their products' details, from lines joined once."""
+    lines = _stored_lines(spark, folder, *KEYS)
+    pairs = stage(baskets.top_pairs(lines))
+    return pairs, baskets.product_details(pairs, lines, star.products(spark, folder))
 
 
 @query
 def product_details(spark, folder):
-    return _details(spark, folder, _top(spark, folder))
+    return _top_and_details(spark, folder)[1]
 
 
 @query
 def product_catalog(spark, folder):
-    return baskets.product_catalog(_details(spark, folder, _top(spark, folder)))
-
-
-def _top_products(spark, folder):
-    pairs = _top(spark, folder)
-    return baskets.top_product_pairs(baskets.recommendations(pairs), _details(spark, folder, pairs))
+    return baskets.product_catalog(_top_and_details(spark, folder)[1])
 
 
 @query
 def top_product_pairs(spark, folder):
-    return _top_products(spark, folder)
+    pairs, details = _top_and_details(spark, folder)
+    return baskets.top_product_pairs(baskets.recommendations(pairs), stage(details))
 
 
 @query
 def top_pair_labels(spark, folder):
-    return baskets.top_pair_labels(_top_products(spark, folder))
+    return baskets.top_pair_labels(top_product_pairs(spark, folder))
 
 
 def _recommended(spark, folder, exclude_owned):
-    transactions, _, _ = _tables(spark, folder)
-    pairs = _top(spark, folder)
-    lines = transactions.select(F.col("basket_num").alias("basket_id"), "product_num")
-    return baskets.recommend(lines, baskets.recommendations(pairs), _details(spark, folder, pairs), exclude_owned)
+    pairs, details = _top_and_details(spark, folder)
+    bought = _lines(spark, folder, "basket_num", "product_num").withColumnRenamed("basket_num", "basket_id")
+    return baskets.recommend(bought, baskets.recommendations(pairs), details, exclude_owned)
 
 
 @query
