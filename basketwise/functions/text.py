@@ -32,46 +32,36 @@ def null_word(column: Column) -> Column:
     return F.when(F.lower(column) == NULL_WORD, F.lit(NULL_WORD)).otherwise(F.coalesce(column, F.lit(NULL_WORD)))
 
 
-def number_text(column: Column) -> Column:
-    """The stripped text where it is a plain number, else null.
+def number_text(text: Column) -> Column:
+    """The text, already stripped, where it is a plain number, else null.
 
     The format test comes first because a bare cast also takes 'inf', 'NaN' and
     the type-suffixed '3d'.
     """
-    text = strip(column)
     return F.when(text.rlike(NUMBER_FORMAT), text)
 
 
-def to_double_or_null(column: Column) -> Column:
-    return number_text(column).try_cast("double")
+def as_int(number: Column) -> Column:
+    """Number text to 32 bits, fractions cut towards zero; null beyond the range."""
+    return number.try_cast("double").try_cast("int")
+
+
+def as_long(number: Column) -> Column:
+    """Whole-number text to 64 bits, exact over all of them; null for fractions."""
+    exact = number.try_cast("decimal(38,6)")
+    return F.when(exact == F.floor(exact), exact.try_cast("bigint"))
 
 
 def to_int_or_null(column: Column) -> Column:
     """Whole numbers only: 32.5, text and values beyond 32 bits give null."""
-    number = to_double_or_null(column)
+    number = number_text(strip(column)).try_cast("double")
     return F.when(number == F.floor(number), number.try_cast("int"))
 
 
 def to_int_or_zero(column: Column) -> Column:
     """Fractions are cut towards zero; what is no number gives 0."""
-    return F.coalesce(to_double_or_null(column).try_cast("int"), F.lit(0))
-
-
-def to_long_or_null(column: Column) -> Column:
-    """Whole-number keys, exact over all 64 bits."""
-    exact = number_text(column).try_cast("decimal(38,6)")
-    return F.when(exact == F.floor(exact), exact.try_cast("bigint"))
-
-
-def to_long_or_zero(column: Column) -> Column:
-    return F.coalesce(number_text(column).try_cast("decimal(38,6)").try_cast("bigint"), F.lit(0).cast("bigint"))
+    return F.coalesce(as_int(number_text(strip(column))), F.lit(0))
 
 
 def to_number_or_zero(column: Column, kind: str = "decimal(12,2)") -> Column:
-    return F.coalesce(number_text(column).try_cast(kind), F.lit(0).cast(kind))
-
-
-def out_of_range(column: Column, kind: str) -> Column:
-    """True for a number the target type cannot hold."""
-    text = number_text(column)
-    return text.isNotNull() & text.try_cast("double").try_cast(kind).isNull()
+    return F.coalesce(number_text(strip(column)).try_cast(kind), F.lit(0).cast(kind))

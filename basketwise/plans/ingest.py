@@ -34,31 +34,45 @@ def clean_transactions(raw: DataFrame) -> DataFrame:
 
 
 def type_rows(raw: DataFrame, kind: str) -> DataFrame:
-    """Text columns of table `kind` in the table's types, and a reject reason or null."""
+    """Text columns of table `kind` in the table's types, and a reject reason or null.
+
+    Text is cut, tested and converted in steps, so that each value is converted
+    once although both the result and the reason depend on it.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in TABLES[kind].fields}
+    cut = raw.select(*[text.strip(F.col(name)).alias(name) for name in fields])
+    numeric = [name for name, sort in fields.items() if sort not in ("date", "string")]
+    tested = cut.withColumns({f"{name} number": text.number_text(F.col(name)) for name in numeric})
+    parsed = tested.withColumns(
+        {f"{name} value": _convert(name, sort) for name, sort in fields.items() if sort != "string"}
+    )
+    zero = {name for name, sort in fields.items() if sort == "int" or sort.startswith("decimal")}
+    if kind == "products":
+        zero.add("product_num")
     typed, problems = [], []
-    for field in TABLES[kind].fields:
-        source, name = F.col(field.name), field.name
-        sort = field.dataType.simpleString()
-        if sort == "date":
-            value = dates.parse_any_date(source)
-        elif sort == "bigint":
-            keep_zero = kind == "products" and name == "product_num"
-            value = text.to_long_or_zero(source) if keep_zero else text.to_long_or_null(source)
-        elif sort == "int":
-            value = text.to_int_or_zero(source)
-            problems.append((text.out_of_range(source, sort), f"{name} out of range"))
-        elif sort.startswith("decimal"):
-            value = text.to_number_or_zero(source, sort)
-            problems.append((text.out_of_range(source, sort), f"{name} out of range"))
-        else:
-            value = text.strip(source)
-        typed.append(value.alias(name))
-        if name in REQUIRED[kind]:
+    for name, sort in fields.items():
+        value = F.col(name if sort == "string" else f"{name} value")
+        if name in zero:
+            problems.append((F.col(f"{name} number").isNotNull() & value.isNull(), f"{name} out of range"))
+            value = F.coalesce(value, F.lit(0).cast(sort))
+        elif name in REQUIRED[kind]:
             problems.append((value.isNull(), f"{name} missing or unreadable"))
+        typed.append(value.alias(name))
     reason: Column = F.lit(None).cast("string")
     for bad, why in reversed(problems):
         reason = F.when(bad, F.lit(why)).otherwise(reason)
-    return raw.select(*typed, reason.alias(REASON))
+    return parsed.select(*typed, reason.alias(REASON))
+
+
+def _convert(name: str, sort: str) -> Column:
+    number = F.col(f"{name} number")
+    if sort == "date":
+        return dates.parse_any_date(F.col(name))
+    if sort == "int":
+        return text.as_int(number)
+    if sort == "bigint":
+        return text.as_long(number)
+    return number.try_cast(sort)
 
 
 def split_valid(typed: DataFrame) -> tuple[DataFrame, DataFrame]:

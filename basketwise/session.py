@@ -63,3 +63,13 @@ def stage(df: DataFrame) -> DataFrame:
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Whether `df` has at most `max_rows` rows; reads no columns and stops early."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal a scan of fewer partitions than cores out to all cores.
+
+    A file of one row group is read by one task, which would do all later work up to
+    the next shuffle. A scan of many files stays as it is, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

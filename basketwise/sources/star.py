@@ -7,12 +7,14 @@ products. Household attributes the star schema lacks are derived from its column
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from basketwise.schema import MONEY, TRANSACTIONS
-from basketwise.session import fits_broadcast
+from basketwise.session import fits_broadcast, spread
 
 ALL_COLUMNS = tuple(TRANSACTIONS.names)
 FROM_ORDERS = {"hshd_num", "purchase_date", "week_num", "year"}
@@ -24,8 +26,15 @@ INCOME_STEPS = [(0, "UNDER 35K"), (3500, "35-49K"), (7000, "50-74K")]
 TOP_INCOME = "75-99K"
 
 
+@lru_cache(maxsize=None)
+def _schema(spark: SparkSession, path: str) -> StructType:
+    """Schema of a stored table; reading it takes a job, so it is done once."""
+    return spark.read.parquet(path).schema
+
+
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    path = f"{folder}/{name}.parquet"
+    return spark.read.schema(_schema(spark, path)).parquet(path)
 
 
 def _pick(number, values: list[str]):
@@ -33,12 +42,15 @@ def _pick(number, values: list[str]):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (number % len(values) + 1).cast("int"))
 
 
-def transactions(spark: SparkSession, folder: str, columns: Sequence[str] = ALL_COLUMNS) -> DataFrame:
+def transactions(
+    spark: SparkSession, folder: str, columns: Sequence[str] = ALL_COLUMNS, even: bool = False
+) -> DataFrame:
     """The wanted columns of the transactions.
 
     Every line has an order and a supplier, and every supplier a nation and region,
     as the star schema's foreign keys promise. A table that no wanted column comes
-    from is therefore not joined.
+    from is therefore not joined. With `even`, lines read by few tasks are dealt out
+    to all cores, which pays when much work follows.
     """
     day = F.col("o_orderdate").cast("date")
     available = {
@@ -53,6 +65,7 @@ def transactions(spark: SparkSession, folder: str, columns: Sequence[str] = ALL_
         "year": F.year(day),
     }
     lines = _read(spark, folder, "lineitem")
+    lines = spread(lines) if even else lines
     if set(columns) & FROM_ORDERS:
         lines = lines.join(_read(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     if "store_region" in columns:

@@ -55,7 +55,7 @@ def _lines(spark: SparkSession, folder: str, *names: str) -> DataFrame:
 
 def _stored_lines(spark: SparkSession, folder: str, *names: str) -> DataFrame:
     """The same, joined once and stored, for a query that reads them several times."""
-    return stage(star.transactions(spark, folder, names))
+    return stage(star.transactions(spark, folder, names, even=True))
 
 
 def _tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -207,7 +207,7 @@ def parsed_dates(spark, folder):
 
 def _raw_lines(spark, folder):
     """Transactions as text, with some broken keys, dates and amounts."""
-    lines = star.transactions(spark, folder)
+    lines = star.transactions(spark, folder, even=True)
     as_text = lines.select(*[F.col(c).cast("string").alias(c) for c in lines.columns])
     basket = F.col("basket_num").cast("bigint")
     return as_text.withColumns(
@@ -220,21 +220,25 @@ def _raw_lines(spark, folder):
     )
 
 
+def _typed(spark, folder):
+    return stage(ingest.type_rows(_raw_lines(spark, folder), "transactions"))
+
+
 @query
 def loaded_lines(spark, folder):
-    good, _ = ingest.split_valid(ingest.type_rows(_raw_lines(spark, folder), "transactions"))
+    good, _ = ingest.split_valid(_typed(spark, folder))
     return good
 
 
 @query
 def rejected_lines(spark, folder):
-    _, rejects = ingest.split_valid(ingest.type_rows(_raw_lines(spark, folder), "transactions"))
+    _, rejects = ingest.split_valid(_typed(spark, folder))
     return rejects.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query
 def ingest_counts(spark, folder):
-    return ingest.load_counts({"transactions": ingest.type_rows(_raw_lines(spark, folder), "transactions")})
+    return ingest.load_counts({"transactions": _typed(spark, folder)})
 
 
 # --- household lookup and dashboard -------------------------------------------------
@@ -523,12 +527,12 @@ def basket_count(spark, folder):
 
 @query
 def basket_pairs(spark, folder):
-    return baskets.basket_pairs(_lines(spark, folder, *KEYS))
+    return baskets.basket_pairs(star.transactions(spark, folder, KEYS, even=True))
 
 
 @query
 def top_pairs(spark, folder):
-    return baskets.top_pairs(_lines(spark, folder, *KEYS))
+    return baskets.top_pairs(star.transactions(spark, folder, KEYS, even=True))
 
 
 @query
