@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 # this keeps a broadcast in the tens of megabytes.
 BROADCAST_ROWS = 200_000
 
+# Paths of the stored copies, by session.
+STAGED: dict[SparkSession, list[str]] = {}
+
 
 def build_session(app_name: str = "basketwise", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the library is tuned for; `conf` wins."""
@@ -57,19 +60,38 @@ def stage(df: DataFrame) -> DataFrame:
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    STAGED.setdefault(df.sparkSession, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the copies `stage` made in this session; frames on them stop working.
+
+    For the end of a job, when its results are stored. Returns how many there were.
+    """
+    paths = STAGED.pop(spark, [])
+    for path in paths:
+        target, files = hadoop_path(spark, path)
+        files.delete(target, True)
+    return len(paths)
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and the file system it lies on, for any storage Spark can write to."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Whether `df` has at most `max_rows` rows; reads no columns and stops early."""
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Deal a scan of fewer partitions than cores out to all cores.
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Deal a scan of fewer partitions than cores out to all cores by its row key.
 
     A file of one row group is read by one task, which would do all later work up to
     the next shuffle. A scan of many files stays as it is, without a shuffle.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketwise.session import hadoop_path
+
 
 def append_table(df: DataFrame, path: str, dedupe_keys: Sequence[str] = ()) -> None:
     """Append rows to a Parquet table; existing rows are kept.
@@ -29,9 +31,8 @@ def new_rows(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
 
 
 def table_exists(df: DataFrame, path: str) -> bool:
-    jvm = df.sparkSession.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    target, files = hadoop_path(df.sparkSession, path)
+    return files.exists(target)
 
 
 def append_jdbc(df: DataFrame, options: dict[str, str]) -> None:

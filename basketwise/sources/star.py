@@ -65,7 +65,7 @@ def transactions(
         "year": F.year(day),
     }
     lines = _read(spark, folder, "lineitem")
-    lines = spread(lines) if even else lines
+    lines = spread(lines, "l_orderkey", "l_linenumber") if even else lines
     if set(columns) & FROM_ORDERS:
         lines = lines.join(_read(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     if "store_region" in columns:

@@ -2,11 +2,12 @@
 
 import contextlib
 import io
+import os
 
 import pytest
 
 from basketwise.operators import baskets, customers, dashboard
-from basketwise.session import ensure_checkpoint_dir, spread, stage
+from basketwise.session import STAGED, drop_staged, ensure_checkpoint_dir, spread, stage
 from basketwise.sources import star
 from tests.conftest import DATA
 
@@ -68,9 +69,18 @@ def test_totals_are_combined_before_the_shuffle(stored):
 
 def test_spread_leaves_wide_scans_alone(spark, stored):
     wide = spark.range(0, 100, 1, 16)
-    assert spread(wide) is wide
-    assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(wide, "id") is wide
+    assert spread(spark.range(0, 100, 1, 1), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
 def test_checkpoint_folder_is_kept(spark):
     assert ensure_checkpoint_dir(spark) == ensure_checkpoint_dir(spark)
+
+
+def test_staged_copies_can_be_dropped(spark):
+    other = spark.newSession()
+    copy = stage(other.range(10))
+    path = STAGED[other][0].removeprefix("file:")
+    assert copy.count() == 10 and os.path.isdir(path)
+    assert drop_staged(other) == 1 and not os.path.exists(path)
+    assert drop_staged(other) == 0
