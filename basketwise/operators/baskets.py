@@ -20,7 +20,7 @@ TOP_PAIRS = 200
 PER_PRODUCT = 5
 
 # Products of a basket that are paired within one task.
-BLOCK_PRODUCTS = 2_048
+BLOCK_PRODUCTS = 4_096
 
 # Products whose pairs are counted first, to learn what a top pair must reach.
 SEED_PRODUCTS = 256

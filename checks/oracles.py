@@ -323,6 +323,17 @@ SELECT reject_reason, COUNT(*) AS rows FROM checked_lines WHERE reject_reason IS
     "ingest_counts": """
 SELECT 'transactions' AS table_name, COUNT(*) AS input_rows, COUNT(*) FILTER (WHERE reject_reason IS NULL) AS good_rows,
   COUNT(*) FILTER (WHERE reject_reason IS NOT NULL) AS rejected_rows FROM checked_lines""",
+    "cleaned_extract": """
+SELECT CAST(basket_num AS VARCHAR) AS BASKET_NUM, CAST(hshd_num AS VARCHAR) AS HSHD_NUM,
+  CASE WHEN basket_num % 13 <> 0 THEN purchase_date END AS PURCHASE_,
+  CASE WHEN basket_num % 11 = 0 THEN '?' ELSE CAST(product_num AS VARCHAR) END AS PRODUCT_NUM,
+  CASE WHEN basket_num % 17 = 0 THEN 'n/a' ELSE CAST(spend AS VARCHAR) END AS SPEND,
+  CASE WHEN basket_num % 19 = 0 THEN '99999999999' ELSE CAST(units AS VARCHAR) END AS UNITS,
+  store_region AS STORE_R, week_num AS WEEK_NUM, year AS YEAR
+FROM checked_lines""",
+    "ingested_transactions": "SELECT * FROM transactions",
+    "ingested_households": "SELECT * FROM households",
+    "ingested_products": "SELECT * FROM products",
     "household_lines": """
 SELECT hshd_num, basket_num, purchase_date, product_num, department, commodity, spend, units, store_region, week_num, year
 FROM transactions JOIN products USING (product_num) WHERE hshd_num = 10

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,10 @@ from basketwise.functions import dates, labels, text
 from basketwise.models import training
 from basketwise.operators import baskets, columns, customers, dashboard, metrics, prepare, profile, ranking
 from basketwise.plans import ingest
-from basketwise.session import stage
-from basketwise.sinks import to_json_records
-from basketwise.sources import star
+from basketwise.schema import CSV_NAMES
+from basketwise.session import ensure_checkpoint_dir, stage
+from basketwise.sinks import to_json_records, write_csv
+from basketwise.sources import star, tables
 
 REGISTERED = {}
 
@@ -241,6 +243,40 @@ def ingest_counts(spark, folder):
     return ingest.load_counts({"transactions": _typed(spark, folder)})
 
 
+@query
+def cleaned_extract(spark, folder):
+    """The raw lines under the extract's padded headers, cleaned as one file."""
+    raw = _raw_lines(spark, folder)
+    padded = [F.concat(F.lit(" "), F.col(c), F.lit("  ")).alias(f" {h} ") for h, c in CSV_NAMES["transactions"].items()]
+    day = F.date_format(F.col("purchase_date").try_cast("date"), "dd-MMM-yy")
+    return ingest.clean_transactions(raw.withColumn("purchase_date", day).select(*padded))
+
+
+def _ingested(spark, folder):
+    """The whole tables written as CSV extracts and loaded again."""
+    place = f"{ensure_checkpoint_dir(spark)}/extracts-{uuid.uuid4().hex}"
+    for kind, frame in star.load_tables(spark, folder).items():
+        names = CSV_NAMES[kind]
+        write_csv(frame.select(*[F.col(c).cast("string").alias(f"{h}  ") for h, c in names.items()]), f"{place}/{kind}.csv")
+    ingest.ingest(spark, {kind: f"{place}/{kind}.csv" for kind in CSV_NAMES}, f"{place}/tables")
+    return tables.load_tables(spark, f"{place}/tables")
+
+
+@query
+def ingested_transactions(spark, folder):
+    return _ingested(spark, folder)["transactions"]
+
+
+@query
+def ingested_households(spark, folder):
+    return _ingested(spark, folder)["households"]
+
+
+@query
+def ingested_products(spark, folder):
+    return _ingested(spark, folder)["products"]
+
+
 # --- household lookup and dashboard -------------------------------------------------
 
 
