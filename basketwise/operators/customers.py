@@ -2,7 +2,7 @@
 
 A household's training window ends at the cutoff, the evaluation window follows
 it. Both windows are summed in one conditional aggregation, so churn and future
-spend need no second scan and no join. Lines without a household are left out.
+spend need no scan of their own. Lines without a household are left out.
 """
 
 from __future__ import annotations
@@ -60,7 +60,12 @@ def split_period(transactions: DataFrame, days: int = WINDOW_DAYS) -> tuple[Data
 
 
 def _household_totals(transactions: DataFrame, days: int) -> DataFrame:
-    """One row per household with training lines: sums of both windows."""
+    """One row per household with training lines: sums of both windows.
+
+    Lines are summed per basket and baskets per household, and products are made
+    distinct on their own. A count of distinct baskets and products in one go would
+    carry all sums through the shuffle of the products as well.
+    """
     last_day = _cutoff_date(transactions, days)
     lines = transactions.where(F.col("hshd_num").isNotNull()).withColumn(
         "in_training", F.col("purchase_date") <= last_day
@@ -70,22 +75,46 @@ def _household_totals(transactions: DataFrame, days: int) -> DataFrame:
     def seen(name: str) -> Column:
         return F.when(training, F.col(name))
 
-    return (
-        lines.groupBy("hshd_num")
+    per_basket = lines.groupBy("hshd_num", "basket_num").agg(
+        F.max(seen("purchase_date")).alias("last_date"),
+        F.min(seen("purchase_date")).alias("first_date"),
+        F.sum(seen("spend")).alias("spend"),
+        F.sum(seen("units").cast("bigint")).alias("units"),
+        F.count_if(training).alias("training_lines"),
+        F.count_if(evaluation).alias("evaluation_lines"),
+        F.sum(F.when(evaluation, F.col("spend"))).alias("later_spend"),
+    )
+    numbered = F.col("basket_num").isNotNull()
+    totals = (
+        per_basket.groupBy("hshd_num")
         .agg(
-            F.max(seen("purchase_date")).alias("last_purchase_date"),
-            F.min(seen("purchase_date")).alias("first_purchase_date"),
-            F.count_distinct(seen("basket_num")).alias("purchase_count"),
-            F.count_if(training & F.col("basket_num").isNull()).alias("loose_lines"),
-            F.coalesce(F.sum(seen("spend")), F.lit(0)).cast(MONEY_TOTAL).alias("total_spend"),
-            F.coalesce(F.sum(seen("units").cast("bigint")), F.lit(0)).alias("total_units"),
-            F.count_distinct(seen("product_num")).alias("unique_products"),
-            F.count_if(training).alias("training_lines"),
-            F.count_if(evaluation).alias("evaluation_lines"),
-            F.coalesce(F.sum(F.when(evaluation, F.col("spend"))), F.lit(0)).cast(MONEY_TOTAL).alias("future_spend"),
+            F.max("last_date").alias("last_purchase_date"),
+            F.min("first_date").alias("first_purchase_date"),
+            F.count_if(numbered & (F.col("training_lines") > 0)).alias("purchase_count"),
+            F.sum(F.when(numbered, F.lit(0)).otherwise(F.col("training_lines"))).alias("loose_lines"),
+            F.coalesce(F.sum("spend"), F.lit(0)).cast(MONEY_TOTAL).alias("total_spend"),
+            F.coalesce(F.sum("units"), F.lit(0)).alias("total_units"),
+            F.sum("training_lines").alias("training_lines"),
+            F.sum("evaluation_lines").alias("evaluation_lines"),
+            F.coalesce(F.sum("later_spend"), F.lit(0)).cast(MONEY_TOTAL).alias("future_spend"),
         )
         .where(F.col("training_lines") > 0)
     )
+    bought = transactions.where(F.col("purchase_date") <= last_day)
+    return totals.join(product_variety(bought), "hshd_num", "left").withColumn(
+        "unique_products", F.coalesce(F.col("unique_products"), F.lit(0).cast("bigint"))
+    )
+
+
+def product_variety(lines: DataFrame) -> DataFrame:
+    """Number of distinct products per household."""
+    known = lines.where(F.col("hshd_num").isNotNull() & F.col("product_num").isNotNull())
+    return (
+        known.select("hshd_num", "product_num")
+        .distinct()
+        .groupBy("hshd_num")
+        .agg(F.count(F.lit(1)).alias("unique_products"))
+    )
 
 
 def favourite_region(lines: DataFrame) -> DataFrame:
