@@ -83,8 +83,8 @@ def hadoop_path(spark: SparkSession, path: str):
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether `df` has at most `max_rows` rows; reads no columns and stops early."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Whether `df` has at most `max_rows` rows; a count that reads no columns of its own."""
+    return df.count() <= max_rows
 
 
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
