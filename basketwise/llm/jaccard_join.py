@@ -7,7 +7,8 @@ their prefixes, and if the smaller size is at least t times the larger.
 
 1. Documents with equal shingle sets are collapsed into one set.
 2. Sets with equal prefixes and sizes are collapsed into one group.
-3. Groups that share a prefix shingle are candidates if their sizes allow a link.
+3. Groups that share a prefix shingle are candidates if their sizes and the number of
+   prefix shingles they share allow a link.
 4. Candidate groups are expanded into their member sets, which are verified exactly.
 
 Only components are asked for, so a set is first compared with one or two likely
@@ -175,6 +176,18 @@ def _sizes_allow(left: str, right: str, threshold: int):
     return F.least(left, right) * 100 >= F.greatest(left, right) * threshold
 
 
+def _least_shared(left: str, right: str, threshold: int):
+    """Prefix shingles that two linked sets of these sizes share at least.
+
+    Of the set whose prefix ends first in the order, the shared shingles are in both
+    prefixes or behind its own, where it has ceil(t n) - 1; the rest of the overlap that
+    the sizes need must be in the prefixes.
+    """
+    overlap = F.ceil((F.col(left) + F.col(right)) * threshold / (100 + threshold) - 1e-9)
+    behind = F.ceil(F.greatest(left, right) * threshold / 100 - 1e-9) - 1
+    return F.greatest(overlap - behind, F.lit(1))
+
+
 class _Verifier:
     """Exact similarity of pairs of sets, read from one document of each set."""
 
@@ -237,20 +250,16 @@ def similarity_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
         texts.where("doc_id is not null")
         .select("text")
         .mapInArrow(_prefix_pass(counters, threshold), "set_id long, n long, prefix_id long, prefix array<long>")
-        .groupBy("set_id")
-        .agg(*[F.first(c).alias(c) for c in ("n", "prefix_id", "prefix")])
     )
     # A group is named by its smallest member.
-    grouped = prefixes.groupBy("n", "prefix_id").agg(F.min("set_id").alias("group_id"), F.first("prefix").alias("prefix"))
-    grouped = stage(grouped)
-    members = stage(
-        prefixes.join(grouped.select("n", "prefix_id", "group_id"), ["n", "prefix_id"]).select("set_id", "group_id", "n")
-    )
-    postings = grouped.select("group_id", "n", F.explode("prefix").alias("shingle"))
-    shared = postings.groupBy("shingle").agg(F.collect_list(F.struct("n", "group_id")).alias("groups"))
-    shared = stage(
-        shared.where(F.size("groups") > 1).select("shingle", F.explode("groups").alias("g")).select("shingle", "g.n", "g.group_id")
-    )
+    groups = prefixes.groupBy("n", "prefix_id").agg(F.min("set_id").alias("group_id"), F.first("prefix").alias("prefix"))
+    members = prefixes.groupBy("set_id", "n", "prefix_id").agg(F.lit(1).alias("one"))
+    names = members.groupBy("n", "prefix_id").agg(F.min("set_id").alias("group_id"))
+    members = stage(members.join(names, ["n", "prefix_id"]).select("set_id", "group_id", "n"))
+    postings = groups.select("group_id", F.explode("prefix").alias("shingle"))
+    shared = postings.groupBy("shingle").agg(F.collect_list("group_id").alias("groups"))
+    shared = stage(shared.where(F.size("groups") > 1).select("shingle", F.explode("groups").alias("group_id")))
+    shared = stage(shared.join(members.select("group_id", "n").distinct(), "group_id"))
     verifier = _Verifier(texts, sets, threshold)
 
     # One likely partner for each set: its group's first member, and the neighbour by
@@ -265,7 +274,8 @@ def similarity_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
         .groupBy("group_id", "n", "a", "na")
         .count()
         .groupBy("group_id", "n")
-        .agg(F.max_by(F.struct("a", "na"), F.struct("count", "a")).alias("best"))
+        .agg(F.max_by(F.struct("a", "na", "count"), F.struct("count", "a")).alias("best"))
+        .where(F.col("best.count") >= _least_shared("n", "best.na", threshold))
         .select(F.col("best.a").alias("a"), F.col("group_id").alias("b"), F.col("best.na").alias("na"), F.col("n").alias("nb"))
     )
     likely = verifier.links(stage(inside.unionAll(beside)))
@@ -286,8 +296,10 @@ def similarity_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     group_pairs = (
         left.join(right, "shingle")
         .where((F.col("group_id_a") < F.col("group_id_b")) & _sizes_allow("n_a", "n_b", threshold) & ~one_class)
+        .groupBy("group_id_a", "group_id_b", "n_a", "n_b")
+        .count()
+        .where(F.col("count") >= _least_shared("n_a", "n_b", threshold))
         .select("group_id_a", "group_id_b")
-        .distinct()
     )
     within = spans.where("low <> high").select(F.col("group_id").alias("group_id_a"), F.col("group_id").alias("group_id_b"))
     ends = [classed.select(*[F.col(c).alias(f"{c}_{s}") for c in ("group_id", "set_id", "n", "class")]) for s in "ab"]
