@@ -1,9 +1,9 @@
 """Toxicity: a support vector machine on a gapped string kernel, with Nyström landmarks.
 
-Texts are cut into units: words without the signs around them, and runs of letters
-that stand alone, so that "i d i o t" is one unit. The kernel of two units counts the
+Texts are cut into units: words without signs, and runs of letters that stand alone, so
+that "i d i o t" and "id-iot" are one unit. The kernel of two units counts the
 subsequences of three characters they share, each weighted down by every character it
-spans. Inserted signs and letters lengthen the spans of an insult but leave its
+spans. Inserted letters and digits lengthen the spans of an insult but leave its
 subsequences, so it stays close to the plain one.
 
 The kernel is evaluated against landmark units only (Nyström): with the landmarks'
@@ -32,23 +32,26 @@ from basketwise.llm.text import text_or_empty
 ORDER = 3
 DECAY = 0.6
 # The kernel to this power is a kernel too; it tells close units from distant ones.
-POWER = 3
+POWER = 4
 START, END = "\x02", "\x03"
 # Longer units are cut into overlapping windows of this length.
 WINDOW = 24
-EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+SIGNS = re.compile(r"[\W_]+")
 SPELLED = 3
 
 # Bounds of the training set, whatever the number of labelled texts.
 POSITIVE_UNITS = 400
-NEGATIVE_UNITS = 3_000
-POSITIVE_LANDMARKS = 40
-NEGATIVE_LANDMARKS = 16
+NEGATIVE_UNITS = 12_000
+HARD_NEGATIVES = 2_000
+POSITIVE_LANDMARKS = 48
+NEGATIVE_LANDMARKS = 8
+LONGEST_LANDMARK = 10
 # Units of less evidence (log-likelihood ratio) are not learned from.
 LEAST_EVIDENCE = 6.0
 MOST_UNITS = 400_000
-REGULAR = 1.0
+REGULAR = 0.02
 TOP_UNITS = 3
+ROUNDS = 4
 
 
 def units(text: str) -> list[str]:
@@ -59,10 +62,10 @@ def units(text: str) -> list[str]:
             spelled.append(token)
             continue
         if spelled:
-            found += [" ".join(spelled)] if len(spelled) >= SPELLED else spelled
+            found += ["".join(spelled)] if len(spelled) >= SPELLED else spelled
             spelled = []
-        found.append(token if token.isalpha() else EDGES.sub("", token))
-    found += [" ".join(spelled)] if len(spelled) >= SPELLED else spelled
+        found.append(token if token.isalpha() else SIGNS.sub("", token))
+    found += ["".join(spelled)] if len(spelled) >= SPELLED else spelled
     return found
 
 
@@ -88,21 +91,24 @@ def _kernel(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     Padding of the two sides differs and so never matches.
     """
     size = right.shape[2]
-    decays = np.triu(DECAY ** np.maximum(np.arange(size)[None, :] - np.arange(size)[:, None], 0)).astype(np.float32)
-    shape = (len(left), right.shape[1], size + 1)
-    # open_[p]: weight of shared subsequences of p characters up to each end, spans counted to there.
-    open_ = [np.ones(shape, np.float32)] + [np.zeros(shape, np.float32) for _ in range(ORDER - 1)]
-    total = np.zeros(shape[:2], np.float32)
+    gaps = np.arange(size)[None, :] - np.arange(size)[:, None] - 1
+    decays = np.where(gaps >= 0, DECAY ** np.maximum(gaps, 0), 0).astype(np.float32)
+    # open_[p]: weight of shared subsequences of p characters that end before each place
+    # of the right side, spans counted to there.
+    shape = (len(left) * right.shape[1], size)
+    open_ = [np.zeros(shape, np.float32) for _ in range(ORDER)]
+    total = np.zeros(shape[0], np.float32)
+    weight, fade = np.float32(DECAY * DECAY), np.float32(DECAY)
     for step in range(left.shape[1]):
-        match = (left[:, step, None, None] == right).astype(np.float32) * np.float32(DECAY * DECAY)
-        total += (match * open_[ORDER - 1][:, :, :-1]).sum(2)
+        match = ((left[:, step, None, None] == right) * weight).reshape(shape)
+        total += np.einsum("rt,rt->r", match, open_[ORDER - 1])
         for p in range(ORDER - 1, 0, -1):
-            open_[p] *= np.float32(DECAY)
-            open_[p][:, :, 1:] += (match * open_[p - 1][:, :, :-1]) @ decays
-    return total
+            open_[p] *= fade
+            open_[p] += (match if p == 1 else match * open_[p - 1]) @ decays
+    return total.reshape(len(left), -1)
 
 
-def kernel(strings: list[str], landmarks: list[str], rows: int = 512) -> np.ndarray:
+def kernel(strings: list[str], landmarks: list[str], rows: int = 256) -> np.ndarray:
     """Normalised kernel, to POWER, of all strings with all landmarks."""
     result = np.zeros((len(strings), len(landmarks)), np.float32)
     if not strings or not landmarks:
@@ -214,20 +220,24 @@ def train_machine(positive: list[tuple[str, float]], negative: list[str]) -> Tox
     landmarks: list[str] = []
     names = [unit for unit, _ in positive]
     near = kernel(names, names)
-    closest = np.zeros(len(names))
+    closest = np.array([float(len(name) > LONGEST_LANDMARK) for name in names])
     strength = np.array([e for _, e in positive]) ** 0.5
-    while len(landmarks) < min(POSITIVE_LANDMARKS, len(names)):
+    while len(landmarks) < POSITIVE_LANDMARKS and (closest < 1).any():
         best = int(np.argmax(strength * (1 - closest)))
         landmarks.append(names[best])
         closest = np.maximum(closest, near[:, best])
         closest[best] = 1
-    landmarks += negative[:: max(1, len(negative) // NEGATIVE_LANDMARKS)][:NEGATIVE_LANDMARKS]
+    landmarks += [unit for unit in negative if len(unit) <= LONGEST_LANDMARK][:NEGATIVE_LANDMARKS]
     values, vectors = np.linalg.eigh(kernel(landmarks, landmarks).astype(float))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    instances = [*names, *negative]
-    signs = np.array([1.0] * len(names) + [-1.0] * len(negative))
-    weights = np.concatenate([np.full(len(names), 1.0), np.full(len(negative), 1.0)])
-    found = _machine(kernel(instances, landmarks) @ root, signs, weights)
+    toxic, clean = kernel(names, landmarks) @ root, kernel(negative, landmarks) @ root
+    chosen = np.arange(min(len(negative), HARD_NEGATIVES))
+    for _ in range(ROUNDS):
+        signs = np.array([1.0] * len(toxic) + [-1.0] * len(chosen))
+        found = _machine(np.vstack([toxic, clean[chosen]]), signs, np.ones(len(signs)))
+        # The next round learns from the clean units that look most toxic too.
+        hard = np.argsort(-(clean @ found[:-1]), kind="stable")[:HARD_NEGATIVES]
+        chosen = np.union1d(chosen, hard)
     return ToxicityModel(landmarks, root @ found[:-1], float(found[-1]))
 
 
