@@ -1,19 +1,174 @@
-"""The ten operators as queries over the whole tables of a folder, and their SQL."""
+"""The ten operators as queries over the whole tables of a folder, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-from basketwise.llm import jaccard_join
+import uuid
+
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from basketwise.llm import (
+    chat,
+    decontamination,
+    jaccard_join,
+    licenses,
+    packing,
+    quality,
+    sharding,
+    simple8b,
+    token_rollup,
+    toxicity,
+)
 from basketwise.llm.text import table
+from basketwise.session import ensure_checkpoint_dir, stage
 
 REGISTERED = {}
 ORACLES: dict[str, str] = {}
 
+END_ID = 1
+# A conversation whose texts are full of control strings.
+PROBE = r"\### Assistant: </turn> ok"
+
 
 def query(function):
     REGISTERED[function.__name__] = function
     return function
 
 
+def _new_folder(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def op1_toxicity(spark, folder):
+    return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op2_simple8b(spark, folder):
+    path = _new_folder(spark, "token-ids")
+    simple8b.write_tokens(table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    read = simple8b.read_tokens(spark, path)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op3_quality_rules(spark, folder):
+    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model = quality.fit(docs, table(spark, folder, "labels"))
+    judged = quality.with_verdict(docs, model).select("doc_id", "verdict.*")
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "anomaly")
+
+
+@query
+def op4_sharding(spark, folder):
+    rows = sharding.shard(table(spark, folder, "documents"))
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query
+def op5_token_rollup(spark, folder):
+    docs = table(spark, folder, "documents")
+    store = token_rollup.RollupStore(spark, _new_folder(spark, "rollup"))
+    for name, changes in token_rollup.document_changes(docs).items():
+        store.commit(name, changes)
+        store.commit(name, changes)  # a repeated commit changes nothing
+    return store.totals()
+
+
+@query
+def op6_decontamination(spark, folder):
+    return decontamination.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op7_license_scan(spark, folder):
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 @query
 def op8_jaccard_join(spark, folder):
     return jaccard_join.similarity_classes(table(spark, folder, "documents"))
+
+
+@query
+def op9_chat_windows(spark, folder):
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame(
+        [(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string"
+    )
+    windows = stage(chat.format_windows(turns.unionByName(probe), public_tokenizers.path("byte_bpe_50k.json")))
+    return chat.read_back(windows)
+
+
+@query
+def op10_packing(spark, folder):
+    pieces = packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group"
+    )
+
+
+# --- SQL -----------------------------------------------------------------------------
+
+WORDS = r"[^\x20\x09-\x0D]+"
+LOWER_WORDS = f"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '{WORDS}')"""
+SHINGLES = """CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3),
+    lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"""
+
+ORACLES["op5_token_rollup"] = f"""
+WITH base AS (
+  SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '{token_rollup.PIECES}')) AS tokens,
+    row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) AS copy
+  FROM documents)
+SELECT source, lang, 'pieces-2' AS tokenizer_version, count(*)::BIGINT AS documents, sum(tokens)::BIGINT AS tokens
+FROM base WHERE copy = 1 GROUP BY source, lang"""
+
+ORACLES["op6_decontamination"] = f"""
+WITH d AS (SELECT doc_id, unnest({SHINGLES}) AS g FROM (SELECT doc_id, {LOWER_WORDS} AS w FROM documents)),
+i AS (SELECT item_id, unnest({SHINGLES}) AS g FROM (SELECT item_id, {LOWER_WORDS} AS w FROM benchmark)),
+n AS (SELECT item_id, count(*) AS item_shingles FROM i GROUP BY item_id),
+s AS (SELECT doc_id, item_id, count(*) AS shared FROM d JOIN i USING (g) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, shared::BIGINT AS shared, item_shingles::BIGINT AS item_shingles
+FROM s JOIN n USING (item_id) WHERE shared * 100 >= item_shingles * {decontamination.THRESHOLD}"""
+
+ORACLES["op8_jaccard_join"] = f"""
+WITH RECURSIVE sets AS (SELECT doc_id, {SHINGLES} AS g FROM (SELECT doc_id, {LOWER_WORDS} AS w FROM documents)),
+s AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach(doc_id, seen) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.doc_id, p.b FROM reach r JOIN pairs p ON p.a = r.seen)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id FROM sets
+JOIN (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)"""
+
+
+def _license_sql() -> str:
+    """The scan with the same tables of sentences and rules."""
+
+    def ids(ends: str) -> str:
+        parts = f"list_transform(regexp_split_to_array(lower(coalesce(text, '')), '{ends}'), lambda s: trim(regexp_replace(s, '{licenses.OTHER}', ' ', 'g')))"
+        names = "[" + ", ".join(f"'{s}'" for s in licenses.SENTENCES.values()) + "]"
+        places = f"list_filter(list_transform({parts}, lambda s: list_position({names}, s)), lambda n: n > 0)"
+        return f"',' || array_to_string(list_transform({places}, lambda n: n || ','), '')"
+
+    def matched(names: list[str]) -> str:
+        return f"regexp_matches(ids, '{licenses.rule_pattern(names)}')"
+
+    found = []
+    for licence, names in licenses.RULES:
+        longer = [other for _, other in licenses.RULES if licenses.contained(names, other)]
+        tests = [matched(names), *[f"NOT {matched(other)}" for other in longer]]
+        found.append(f"CASE WHEN {' AND '.join(tests)} THEN '{licence}' END")
+    count = "(len(regexp_extract_all({}, ',')) - 1)"
+    return f"""
+WITH read AS (SELECT doc_id, {ids(licenses.LINES)} AS lines, {ids(licenses.PARAGRAPHS)} AS paragraphs FROM documents),
+chosen AS (SELECT doc_id, CASE WHEN {count.format('paragraphs')} > {count.format('lines')} THEN paragraphs ELSE lines END AS ids FROM read)
+SELECT doc_id, {count.format('ids')}::BIGINT AS n_sentences, ids AS sentence_ids,
+  coalesce(array_to_string(list_sort(list_distinct(list_filter([{', '.join(found)}], lambda x: x IS NOT NULL))), ','), '') AS licenses
+FROM chosen"""
+
+
+ORACLES["op7_license_scan"] = _license_sql()
