@@ -7,16 +7,17 @@ their prefixes, and if the smaller size is at least t times the larger.
 
 1. Documents with equal shingle sets are collapsed into one set.
 2. Sets with equal prefixes and sizes are collapsed into one group.
-3. Groups that share a prefix shingle are candidates if their sizes and the number of
-   prefix shingles they share allow a link.
+3. Groups that share a shingle are candidates if their sizes allow a link and the shingle
+   is early enough in both: for two sizes the overlap needed is known, and it is missed
+   if none of the first size - overlap + 1 shingles of each is shared.
 4. Candidate groups are expanded into their member sets, which are verified exactly.
 
-Only components are asked for, so a set is first compared with one or two likely
-partners. After that, candidates are expanded only across components: a pair within a
+Only components are asked for, so a set is first compared with one likely partner, the
+set that shares most with others (a hub, as the original of many near copies is). After that, candidates are expanded only across components: a pair within a
 component cannot change it. No link between components is lost, and a cluster of
 thousands of near copies never becomes all of its pairs.
 
-The order comes from counters of a fixed number (8 MB of memory at any input size) that
+The order comes from counters of a fixed number (16 MB of memory at any input size) that
 all shingles of all documents are counted in by their hash. Shared counters make the
 order coarser on larger inputs, never the result different.
 """
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketwise.llm.components import components
@@ -37,8 +38,12 @@ from basketwise.session import stage
 
 # Similarity in hundredths.
 THRESHOLD = 80
-COUNTER_BITS = 21
-CHUNK_BITS = 16
+COUNTER_BITS = 23
+CHUNK_BITS = 18
+# Counters stop here; more frequent shingles are ordered by their hash.
+MOST_COUNTED = 65_535
+# A likely partner shares one of so many shingles in the prefix; others wait for the search.
+LIKELY_SHARE = 50
 # Bits of the map of wanted documents, a filter before an exact join.
 WANTED_BITS = 26
 BITMAP_BITS = 32_768
@@ -78,6 +83,7 @@ def _count_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 schema=schema,
             )
+    counters = np.minimum(counters, MOST_COUNTED).astype(np.uint16)
     for chunk, part in enumerate(counters.reshape(-1, 1 << CHUNK_BITS)):
         if part.any():
             packed = zlib.compress(part.tobytes(), 1)
@@ -88,21 +94,21 @@ def _count_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _add_counts(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sum of the counters of one chunk, cut at the largest 32-bit value."""
+    """The sum of the counters of one chunk, cut at MOST_COUNTED."""
     total = np.zeros(1 << CHUNK_BITS, np.uint64)
     for batch in batches:
         for packed in batch.column("counts").to_pylist():
-            total += np.frombuffer(zlib.decompress(packed), np.uint32)
-    total = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)
+            total += np.frombuffer(zlib.decompress(packed), np.uint16)
+    total = np.minimum(total, MOST_COUNTED).astype(np.uint16)
     yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["chunk", "counts"])
 
 
 def _counters(first: DataFrame) -> np.ndarray:
     chunks = first.where("chunk is not null").select("chunk", "counts")
     totals = chunks.groupBy("chunk").applyInArrow(_add_counts, "chunk int, counts binary").collect()
-    counters = np.zeros((1 << COUNTER_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.uint32)
+    counters = np.zeros((1 << COUNTER_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.uint16)
     for row in totals:
-        counters[row["chunk"]] = np.frombuffer(row["counts"], np.uint32)
+        counters[row["chunk"]] = np.frombuffer(row["counts"], np.uint16)
     return counters.reshape(-1)
 
 
@@ -176,16 +182,10 @@ def _sizes_allow(left: str, right: str, threshold: int):
     return F.least(left, right) * 100 >= F.greatest(left, right) * threshold
 
 
-def _least_shared(left: str, right: str, threshold: int):
-    """Prefix shingles that two linked sets of these sizes share at least.
-
-    Of the set whose prefix ends first in the order, the shared shingles are in both
-    prefixes or behind its own, where it has ceil(t n) - 1; the rest of the overlap that
-    the sizes need must be in the prefixes.
-    """
-    overlap = F.ceil((F.col(left) + F.col(right)) * threshold / (100 + threshold) - 1e-9)
-    behind = F.ceil(F.greatest(left, right) * threshold / 100 - 1e-9) - 1
-    return F.greatest(overlap - behind, F.lit(1))
+def _overlap(left: str, right: str, threshold: int):
+    """The overlap that two linked sets of these sizes have at least: ceil((n + m) t / (1 + t))."""
+    total = (F.col(left) + F.col(right)) * threshold
+    return F.floor((total + (99 + threshold)) / (100 + threshold)).cast("long")
 
 
 class _Verifier:
@@ -256,26 +256,31 @@ def similarity_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     members = prefixes.groupBy("set_id", "n", "prefix_id").agg(F.lit(1).alias("one"))
     names = members.groupBy("n", "prefix_id").agg(F.min("set_id").alias("group_id"))
     members = stage(members.join(names, ["n", "prefix_id"]).select("set_id", "group_id", "n"))
-    postings = groups.select("group_id", F.explode("prefix").alias("shingle"))
-    shared = postings.groupBy("shingle").agg(F.collect_list("group_id").alias("groups"))
-    shared = stage(shared.where(F.size("groups") > 1).select("shingle", F.explode("groups").alias("group_id")))
-    shared = stage(shared.join(members.select("group_id", "n").distinct(), "group_id"))
+    postings = groups.select("group_id", F.posexplode("prefix").alias("place", "shingle"))
+    shared = postings.groupBy("shingle").agg(F.collect_list(F.struct("group_id", "place")).alias("groups"))
+    shared = shared.where(F.size("groups") > 1).select("shingle", F.explode("groups").alias("g"))
+    shared = stage(shared.select("shingle", "g.group_id", "g.place"))
+    # How many shingles each group shares with others.
+    meets = shared.groupBy("group_id").agg(F.count("*").alias("meets"))
+    meets = meets.join(members.select("group_id", "n").distinct(), "group_id")
+    shared = stage(shared.join(meets, "group_id"))
     verifier = _Verifier(texts, sets, threshold)
 
-    # One likely partner for each set: its group's first member, and the neighbour by
-    # size that the group meets most often.
+    # One likely partner for each set: the first member of its group, and for that the
+    # hub it meets most often.
     inside = members.where("set_id <> group_id").select(
         F.col("group_id").alias("a"), F.col("set_id").alias("b"), F.col("n").alias("na"), F.col("n").alias("nb")
     )
-    by_size = Window.partitionBy("shingle").orderBy("n", "group_id")
+    hubs = shared.groupBy("shingle").agg(F.max(F.struct("meets", "n", "group_id")).alias("hub"))
     beside = (
-        shared.withColumns({"a": F.lag("group_id").over(by_size), "na": F.lag("n").over(by_size)})
-        .where(F.col("a").isNotNull() & _sizes_allow("na", "n", threshold))
+        shared.join(hubs, "shingle")
+        .select("group_id", "n", F.col("hub.group_id").alias("a"), F.col("hub.n").alias("na"))
+        .where((F.col("group_id") != F.col("a")) & _sizes_allow("na", "n", threshold))
         .groupBy("group_id", "n", "a", "na")
         .count()
+        .where(F.col("count") * LIKELY_SHARE >= F.greatest("n", "na"))
         .groupBy("group_id", "n")
-        .agg(F.max_by(F.struct("a", "na", "count"), F.struct("count", "a")).alias("best"))
-        .where(F.col("best.count") >= _least_shared("n", "best.na", threshold))
+        .agg(F.max_by(F.struct("a", "na"), F.struct("count", "a")).alias("best"))
         .select(F.col("best.a").alias("a"), F.col("group_id").alias("b"), F.col("best.na").alias("na"), F.col("n").alias("nb"))
     )
     likely = verifier.links(stage(inside.unionAll(beside)))
@@ -291,15 +296,15 @@ def similarity_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     mixed = shared.join(spans, ["group_id", "n"])
     across = mixed.groupBy("shingle").agg(F.min("low").alias("lowest"), F.max("high").alias("highest"))
     mixed = stage(mixed.join(across.where("lowest <> highest").select("shingle"), "shingle"))
-    left, right = (mixed.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("group_id", "n", "low", "high")]) for s in "ab")
+    left, right = (mixed.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("group_id", "n", "place", "low", "high")]) for s in "ab")
     one_class = (F.col("low_a") == F.col("high_a")) & (F.col("low_b") == F.col("high_b")) & (F.col("low_a") == F.col("low_b"))
+    overlap = _overlap("n_a", "n_b", threshold)
+    early = (F.col("place_a") <= F.col("n_a") - overlap) & (F.col("place_b") <= F.col("n_b") - overlap)
     group_pairs = (
         left.join(right, "shingle")
-        .where((F.col("group_id_a") < F.col("group_id_b")) & _sizes_allow("n_a", "n_b", threshold) & ~one_class)
-        .groupBy("group_id_a", "group_id_b", "n_a", "n_b")
-        .count()
-        .where(F.col("count") >= _least_shared("n_a", "n_b", threshold))
+        .where((F.col("group_id_a") < F.col("group_id_b")) & _sizes_allow("n_a", "n_b", threshold) & early & ~one_class)
         .select("group_id_a", "group_id_b")
+        .distinct()
     )
     within = spans.where("low <> high").select(F.col("group_id").alias("group_id_a"), F.col("group_id").alias("group_id_b"))
     ends = [classed.select(*[F.col(c).alias(f"{c}_{s}") for c in ("group_id", "set_id", "n", "class")]) for s in "ab"]
