@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketwise.llm.text import in_batches
 from basketwise.llm.tokens import encoder
 
 BUDGET = 1024
@@ -179,7 +180,7 @@ def format_windows(turns: DataFrame, tokenizer_path: str, budget: int = BUDGET,
         .repartition("conv_id")
         .sortWithinPartitions("conv_id", "turn", "role", "text")
     )
-    return ordered.mapInArrow(_format(tokenizer_path, budget, history), WINDOWS)
+    return ordered.transform(in_batches).mapInArrow(_format(tokenizer_path, budget, history), WINDOWS)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +219,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_back(windows: DataFrame) -> DataFrame:
     """Per conversation what its windows hold: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_windows."""
     ordered = windows.repartition("conv_id").sortWithinPartitions("conv_id", "window")
-    return ordered.select("conv_id", "window", "repeated", "text", "mask").mapInArrow(
+    return ordered.select("conv_id", "window", "repeated", "text", "mask").transform(in_batches).mapInArrow(
         _digest,
         "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long",
     )

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketwise.llm.text import LOWER, SHINGLE, byte_slices, runs, text_or_empty, word_bounds, word_hashes
+from basketwise.llm.text import LOWER, SHINGLE, byte_slices, in_batches, runs, text_or_empty, word_bounds, word_hashes
 
 # Containment in hundredths.
 THRESHOLD = 80
@@ -133,7 +133,7 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: int = THRESHOL
     found = []
     for k in range(blocks):
         block = [tuple(row) for row in listed.where(place == k).collect()]
-        found.append(texts.mapInArrow(_search(spark.sparkContext.broadcast(block), threshold), MATCHES))
+        found.append(texts.transform(in_batches).mapInArrow(_search(spark.sparkContext.broadcast(block), threshold), MATCHES))
     return reduce(DataFrame.unionAll, found)
 
 

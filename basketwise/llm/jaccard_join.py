@@ -17,7 +17,7 @@ set that shares most with others (a hub, as the original of many near copies is)
 component cannot change it. No link between components is lost, and a cluster of
 thousands of near copies never becomes all of its pairs.
 
-The order comes from counters of a fixed number (16 MB of memory at any input size) that
+The order comes from counters of a fixed number (8 MB of memory at any input size) that
 all shingles of all documents are counted in by their hash. Shared counters make the
 order coarser on larger inputs, never the result different.
 """
@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketwise.llm.components import components
-from basketwise.llm.text import byte_slices, mix, shingle_sets, text_or_empty
+from basketwise.llm.text import byte_slices, in_batches, mix, shingle_sets, text_or_empty
 from basketwise.session import stage
 
 # Similarity in hundredths.
 THRESHOLD = 80
-COUNTER_BITS = 23
-CHUNK_BITS = 18
+COUNTER_BITS = 22
+CHUNK_BITS = 17
 # Counters stop here; more frequent shingles are ordered by their hash.
 MOST_COUNTED = 65_535
 # A likely partner shares one of so many shingles in the prefix; others wait for the search.
@@ -212,7 +212,7 @@ class _Verifier:
         for row in maps:
             start = row["bucket"] * (BITMAP_BITS // 8)
             bits[start : start + BITMAP_BITS // 8] = np.frombuffer(row["bits"], np.uint8)
-        found = self.texts.withColumn("place", place).mapInArrow(
+        found = self.texts.withColumn("place", place).transform(in_batches).mapInArrow(
             _wanted_pass(spark.sparkContext.broadcast(bits)), "doc_id long, set_id long, hashes binary"
         )
         # A repeated document gives its set once.
@@ -222,7 +222,7 @@ class _Verifier:
             .join(sets.toDF("b", "right"), "b")
             .select("a", "b", "na", "nb", "left", "right")
         )
-        counted = sides.mapInArrow(_overlaps, "a long, b long, na long, nb long, shared long")
+        counted = sides.transform(in_batches).mapInArrow(_overlaps, "a long, b long, na long, nb long, shared long")
         reached = F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * self.threshold
         return stage(counted.where(reached).select("a", "b"))
 
@@ -238,7 +238,7 @@ def similarity_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    first = stage(texts.mapInArrow(_count_pass, PASS_ONE))
+    first = stage(texts.transform(in_batches).mapInArrow(_count_pass, PASS_ONE))
     named = first.where("chunk is null")
     counters = spark.sparkContext.broadcast(_counters(first))
     sets = stage(
@@ -249,7 +249,7 @@ def similarity_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     prefixes = stage(
         texts.where("doc_id is not null")
         .select("text")
-        .mapInArrow(_prefix_pass(counters, threshold), "set_id long, n long, prefix_id long, prefix array<long>")
+        .transform(in_batches).mapInArrow(_prefix_pass(counters, threshold), "set_id long, n long, prefix_id long, prefix array<long>")
     )
     # A group is named by its smallest member.
     groups = prefixes.groupBy("n", "prefix_id").agg(F.min("set_id").alias("group_id"), F.first("prefix").alias("prefix"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketwise.llm.text import text_or_empty
+from basketwise.llm.text import in_batches, text_or_empty
 from basketwise.llm.tokens import encoder
 
 TIERS = (256, 512, 1024, 2048)
@@ -182,4 +182,4 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers: tuple[int
     numbered = docs.select(
         F.col("doc_id").cast("long"), text_or_empty().alias("text"), F.spark_partition_id().alias("part")
     )
-    return numbered.mapInArrow(_pack(tokenizer_path, end_id, tiers), PIECES_DDL)
+    return numbered.transform(in_batches).mapInArrow(_pack(tokenizer_path, end_id, tiers), PIECES_DDL)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basketwise.llm.text import text_or_empty
+from basketwise.llm.text import in_batches, text_or_empty
 from basketwise.llm.tokens import encoder
 
 # Fixed values of the format: ids in a word, for selectors 2 to 15; each has 60 // count bits.
@@ -172,7 +172,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         .sortWithinPartitions("doc_id", "text")
         .select("doc_id", "text", F.spark_partition_id().alias("part"))
     )
-    ordered.mapInArrow(_segments(tokenizer_path, end_id), SEGMENTS_DDL).write.parquet(path)
+    ordered.transform(in_batches).mapInArrow(_segments(tokenizer_path, end_id), SEGMENTS_DDL).write.parquet(path)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +204,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     totals = segments.groupBy("part").agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    rows = segments.mapInArrow(_documents, "part int, doc_id long, within long, n_tokens long, ids binary")
+    rows = segments.transform(in_batches).mapInArrow(_documents, "part int, doc_id long, within long, n_tokens long, ids binary")
     return rows.join(F.broadcast(offsets), "part").select(
         "doc_id", (F.col("within") + F.col("before")).alias("start"), "n_tokens", "ids"
     )

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE = 5
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 SLICE_BYTES = 1 << 20
 
 # Words are runs of anything but space and the control characters 9 to 13.
@@ -44,6 +45,17 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def in_batches(df: DataFrame) -> DataFrame:
+    """`df`, in a session that hands whole texts to Python 1,000 rows at a time.
+
+    Spark's default of 10,000 is meant for short rows; another setting is left alone.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_ROWS, "10000") == "10000":
+        conf.set(BATCH_ROWS, "1000")
+    return df
+
+
 def mix(values: np.ndarray, key: int = 0) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     values = (values ^ (values >> np.uint64(32))) * MIX[key]

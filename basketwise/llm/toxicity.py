@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketwise.llm.labelled import MOST_LABELLED, held_out, labelled_texts
-from basketwise.llm.text import text_or_empty
+from basketwise.llm.text import in_batches, text_or_empty
 
 ORDER = 3
 DECAY = 0.6
@@ -264,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Toxici
     if not toxic_texts or not clean_texts:
         return ToxicityModel([], np.zeros(0), 0.0)
     counted = (
-        texts.mapInArrow(count, "unit string, toxic long, clean long")
+        texts.transform(in_batches).mapInArrow(count, "unit string, toxic long, clean long")
         .where("length(unit) > 1 and length(unit) <= 24")
         .groupBy("unit")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -291,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Toxici
             columns = [batch.column("labelled_id"), batch.column("label"), *[pa.array(c) for c in rows.T]]
             yield pa.record_batch(columns, names=["labelled_id", "label", *names])
 
-    seen = texts.mapInArrow(summarise, "labelled_id long, label int, " + ", ".join(f"{n} double" for n in names)).toPandas()
+    seen = texts.transform(in_batches).mapInArrow(summarise, "labelled_id long, label int, " + ", ".join(f"{n} double" for n in names)).toPandas()
     seen = seen.sort_values(list(seen.columns))
     model.logistic = _logistic(seen[names].to_numpy(), (seen["label"] != 0).to_numpy(float))
     return model
@@ -324,7 +324,7 @@ def with_score(docs: DataFrame, model: ToxicityModel, name: str = "score") -> Da
             _KNOWN.clear()
         return pa.array(model.score(texts.to_pylist(), _KNOWN.setdefault(id(model), {})))
 
-    return docs.withColumn(name, judge(text_or_empty()))
+    return in_batches(docs).withColumn(name, judge(text_or_empty()))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
