@@ -6,6 +6,8 @@ whose number comes first as text in front.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -298,30 +300,37 @@ def top_pair_labels(top: DataFrame) -> DataFrame:
 
 
 def recommend(
-    baskets: DataFrame, recs: DataFrame, details: DataFrame, exclude_owned: bool = False
+    baskets: DataFrame,
+    recs: DataFrame,
+    details: DataFrame,
+    exclude_owned: bool = False,
+    keys: Sequence[str] = ("basket_id",),
 ) -> DataFrame:
-    """Products recommended for every basket of (basket_id, product_num) rows.
+    """Products recommended for every basket of rows (keys, product_num).
+
+    A basket is what its key columns together name; rows with a null key belong to none.
 
     A product's weight is the sum of its counts over the items of the basket, an
     item listed twice counting twice; the score is the weight over the largest
     weight of the basket. Baskets without any recommendation give no rows.
     """
     # Repeated items are merged before the join and weighted afterwards.
-    items = baskets.groupBy("basket_id", "product_num").agg(F.count(F.lit(1)).alias("times"))
+    named = baskets.dropna(subset=list(keys))
+    items = named.groupBy(*keys, "product_num").agg(F.count(F.lit(1)).alias("times"))
     edges = _small(recs.select("src", "dst", "count"))
     weights = (
         items.join(edges, F.col("product_num") == F.col("src"))
-        .groupBy("basket_id", "dst")
+        .groupBy(*keys, "dst")
         .agg(F.sum(F.col("count") * F.col("times")).alias("weight"))
     )
     if exclude_owned:
-        owned = items.select("basket_id", F.col("product_num").alias("dst"))
-        weights = weights.join(owned, ["basket_id", "dst"], "left_anti")
-    best = F.max("weight").over(Window.partitionBy("basket_id"))
+        owned = items.select(*keys, F.col("product_num").alias("dst"))
+        weights = weights.join(owned, [*keys, "dst"], "left_anti")
+    best = F.max("weight").over(Window.partitionBy(*keys))
     scored = weights.withColumn("score", ratios.real(F.col("weight")) / ratios.real(best))
     names = details.select(F.col("product_num").alias("dst"), "department", "commodity")
     return scored.join(names, "dst", "left").select(
-        "basket_id",
+        *keys,
         F.col("dst").alias("product_num"),
         F.coalesce("department", F.lit(labels.UNKNOWN)).alias("department"),
         F.coalesce("commodity", F.lit(labels.UNKNOWN)).alias("commodity"),
@@ -329,6 +338,6 @@ def recommend(
     )
 
 
-def ordered_recommendations(recommended: DataFrame) -> DataFrame:
+def ordered_recommendations(recommended: DataFrame, keys: Sequence[str] = ("basket_id",)) -> DataFrame:
     """Recommendations by basket, the best score first, ties by product number."""
-    return recommended.orderBy("basket_id", F.desc("score"), "product_num")
+    return recommended.orderBy(*keys, F.desc("score"), "product_num")

@@ -22,13 +22,13 @@ def standardize_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[name.strip().upper() for name in df.columns])
 
 
-def rename_to_model(df: DataFrame, kind: str) -> DataFrame:
-    """Extract header names to model names; a missing column raises, others are left out."""
+def rename_to_model(df: DataFrame, kind: str, keep: Mapping[str, str] | None = None) -> DataFrame:
+    """Extract header names to model names; a missing column raises, others but those of `keep` are left out."""
     names = CSV_NAMES[kind]
     missing = [name for name in names if name not in df.columns]
     if missing:
         raise ValueError(f"{kind}: columns missing: {', '.join(missing)}")
-    return df.select(*[F.col(name).alias(target) for name, target in names.items()])
+    return df.select(*[F.col(name).alias(target) for name, target in {**names, **(keep or {})}.items()])
 
 
 def columns_of_type(df: DataFrame, kind: type[T.DataType] | tuple[type[T.DataType], ...]) -> list[str]:

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from basketwise.functions import dates, text
 from basketwise.operators.columns import standardize_nulls, strip_columns, trim_strings, trim_strings_right
-from basketwise.schema import DIMENSION_KEYS, REQUIRED, TABLES
-from basketwise.sinks import append_table
-from basketwise.session import stage
-from basketwise.sources.csv_files import read_retail_csv
+from basketwise.schema import REQUIRED, TABLES
+from basketwise.session import stage, staging
+from basketwise.sinks import REPEATED_KEY, STORED_KEY, append_table, mark_duplicates
+from basketwise.sources.csv_files import MALFORMED, read_retail_csv
 
 REASON = "reject_reason"
 
@@ -40,7 +40,8 @@ def type_rows(raw: DataFrame, kind: str) -> DataFrame:
     once although both the result and the reason depend on it.
     """
     fields = {f.name: f.dataType.simpleString() for f in TABLES[kind].fields}
-    cut = raw.select(*[text.strip(F.col(name)).alias(name) for name in fields])
+    broken = F.col(MALFORMED) if MALFORMED in raw.columns else F.lit(None).cast("string")
+    cut = raw.select(*[text.strip(F.col(name)).alias(name) for name in fields], broken.alias(MALFORMED))
     numeric = [name for name, sort in fields.items() if sort not in ("date", "string")]
     tested = cut.withColumns({f"{name} number": text.number_text(F.col(name)) for name in numeric})
     parsed = tested.withColumns(
@@ -49,7 +50,7 @@ def type_rows(raw: DataFrame, kind: str) -> DataFrame:
     zero = {name for name, sort in fields.items() if sort == "int" or sort.startswith("decimal")}
     if kind == "products":
         zero.add("product_num")
-    typed, problems = [], []
+    typed, problems = [], [(F.col(MALFORMED).isNotNull(), "wrong number of fields")]
     for name, sort in fields.items():
         value = F.col(name if sort == "string" else f"{name} value")
         if name in zero:
@@ -81,13 +82,15 @@ def split_valid(typed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def load_counts(staged: Mapping[str, DataFrame]) -> DataFrame:
-    """Input, loadable and rejected rows of each table."""
+    """Input, loadable, rejected and duplicate rows of each table; the last three add up to the first."""
+    duplicate = F.coalesce(F.col(REASON).isin(STORED_KEY, REPEATED_KEY), F.lit(False))
     parts = [
         df.agg(
             F.count(F.lit(1)).alias("input_rows"),
             F.count_if(F.col(REASON).isNull()).alias("good_rows"),
-            F.count_if(F.col(REASON).isNotNull()).alias("rejected_rows"),
-        ).select(F.lit(kind).alias("table_name"), "input_rows", "good_rows", "rejected_rows")
+            F.count_if(F.col(REASON).isNotNull() & ~duplicate).alias("rejected_rows"),
+            F.count_if(duplicate).alias("duplicate_rows"),
+        ).select(F.lit(kind).alias("table_name"), "input_rows", "good_rows", "rejected_rows", "duplicate_rows")
         for kind, df in staged.items()
     ]
     result = parts[0]
@@ -107,19 +110,27 @@ def ingest(
     paths: Mapping[str, str],
     target: str,
     dedupe_keys: Mapping[str, Sequence[str]] | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Load the three extracts into Parquet tables under `target`; returns the counts.
 
-    Each file is parsed once into a typed stored copy, from which the good rows are
-    appended to the tables and the rejects, with reasons, to rejects/<table>. Of the
-    dimension tables one row per key is kept unless other keys are given.
+    Each file is parsed once into a typed stored copy. Good rows are appended to the
+    tables, all others, with reasons, to rejects/<table>. Only for tables with
+    `dedupe_keys` is one row stored per key; the rows that lose are rejects too. The
+    stored copies are deleted at the end, also after an error.
     """
     check_batch(paths)
-    if dedupe_keys is None:
-        dedupe_keys = {kind: [key] for kind, key in DIMENSION_KEYS.items()}
-    staged = {kind: stage(type_rows(read_retail_csv(spark, paths[kind], kind), kind)) for kind in TABLES}
-    for kind, typed in staged.items():
-        good, rejects = split_valid(typed)
-        append_table(good, f"{target}/{kind}", dedupe_keys.get(kind, ()))
-        append_table(rejects, f"{target}/rejects/{kind}")
-    return load_counts(staged)
+    with staging(spark):
+        staged = {}
+        for kind in TABLES:
+            typed = stage(type_rows(read_retail_csv(spark, paths[kind], kind, multi_line), kind))
+            if dedupe_keys and dedupe_keys.get(kind):
+                typed = stage(mark_duplicates(typed, f"{target}/{kind}", dedupe_keys[kind], REASON))
+            staged[kind] = typed
+        for kind, typed in staged.items():
+            good, rejects = split_valid(typed)
+            append_table(good, f"{target}/{kind}")
+            append_table(rejects, f"{target}/rejects/{kind}")
+        counts = load_counts(staged)
+        # A row for each of the three tables.
+        return spark.createDataFrame(counts.collect(), counts.schema)

@@ -53,10 +53,10 @@ def pair_model_job(tables: Tables, folder: str, **settings) -> training.Trained:
 
 
 def recommend_job(tables: Tables, folder: str, exclude_owned: bool = False) -> DataFrame:
-    """Recommendations for every basket of the transactions from the stored tables."""
+    """Recommendations for every basket, a household's basket number, from the stored tables."""
     from basketwise.sources.tables import read_artifact
 
     spark = tables["transactions"].sparkSession
-    lines = tables["transactions"].selectExpr("basket_num AS basket_id", "product_num")
+    lines = tables["transactions"].select(*baskets.BASKET, "product_num")
     recs, details = (read_artifact(spark, folder, name) for name in ("recommendations", "product_details"))
-    return baskets.recommend(lines, recs, details, exclude_owned)
+    return baskets.recommend(lines, recs, details, exclude_owned, baskets.BASKET)

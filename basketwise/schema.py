@@ -87,9 +87,6 @@ REQUIRED = {
     "products": ["product_num"],
 }
 
-# The key by which a dimension holds one row.
-DIMENSION_KEYS = {"households": "hshd_num", "products": "product_num"}
-
 DEMOGRAPHICS = [
     "age_range",
     "marital_status",

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Rows a dimension may have before it is joined by shuffle instead of broadcast.
 # Callers project the dimension to its key and a few short attributes first, so
 # this keeps a broadcast in the tens of megabytes.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 # Paths of the stored copies, by session.
 STAGED: dict[SparkSession, list[str]] = {}
@@ -64,16 +67,32 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def staging(spark: SparkSession):
+    """Delete the copies that `stage` makes inside the block at its end, also after an error."""
+    before = len(STAGED.get(spark, []))
+    try:
+        yield
+    finally:
+        own = STAGED.get(spark, [])[before:]
+        del STAGED.get(spark, [])[before:]
+        _delete(spark, own)
+
+
 def drop_staged(spark: SparkSession) -> int:
     """Delete the copies `stage` made in this session; frames on them stop working.
 
     For the end of a job, when its results are stored. Returns how many there were.
     """
     paths = STAGED.pop(spark, [])
+    _delete(spark, paths)
+    return len(paths)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         target, files = hadoop_path(spark, path)
         files.delete(target, True)
-    return len(paths)
 
 
 def hadoop_path(spark: SparkSession, path: str):
@@ -82,9 +101,12 @@ def hadoop_path(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether `df` has at most `max_rows` rows; a count that reads no columns of its own."""
-    return df.count() <= max_rows
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether `df` has at most `max_rows` rows and `max_bytes` bytes of values."""
+    widths = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in df.columns]
+    row = sum(widths, F.lit(8 * len(widths)))
+    found = df.select(row.cast("long").alias("bytes")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    return found["n"] <= max_rows and (found["bytes"] or 0) <= max_bytes
 
 
 def spread(scan: DataFrame, *keys: str) -> DataFrame:

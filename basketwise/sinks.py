@@ -4,30 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketwise.session import hadoop_path
 
+# Reasons of valid rows that are not stored because of their key.
+STORED_KEY, REPEATED_KEY = "key already stored", "key repeated in the file"
 
-def append_table(df: DataFrame, path: str, dedupe_keys: Sequence[str] = ()) -> None:
-    """Append rows to a Parquet table; existing rows are kept.
 
-    A file loaded twice is stored twice. With `dedupe_keys`, rows whose key the
-    table already holds are left out, and of equal new keys one is kept.
-    """
-    if dedupe_keys:
-        df = new_rows(df, path, dedupe_keys)
+def append_table(df: DataFrame, path: str) -> None:
+    """Append rows to a Parquet table; existing rows are kept, so a file loaded twice is stored twice."""
     df.write.mode("append").parquet(path)
 
 
-def new_rows(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
-    """One row per key that the stored table does not have."""
-    df = df.dropDuplicates(list(keys))
-    if not table_exists(df, path):
-        return df
-    stored = df.sparkSession.read.parquet(path).select(*keys)
-    return df.join(stored, list(keys), "left_anti")
+def mark_duplicates(df: DataFrame, path: str, keys: Sequence[str], reason: str) -> DataFrame:
+    """Give `reason`, null so far, to rows whose key the table or an earlier row of `df` has.
+
+    Of equal keys in `df` the last row in the order of all its columns is kept, so a
+    repeated load decides alike. Equal rows are counted before they meet, so a row
+    repeated many times is no large group.
+    """
+    columns = [c for c in df.columns if c != reason]
+    valid = df.where(F.col(reason).isNull())
+    counted = valid.groupBy(*columns).agg(F.count("*").alias("copies"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc_nulls_last(c) for c in columns]))
+    numbered = counted.withColumn("place", place)
+    if table_exists(df, path):
+        stored = df.sparkSession.read.parquet(path).select(*keys).distinct().withColumn("held", F.lit(True))
+        numbered = numbered.join(stored, list(keys), "left")
+    else:
+        numbered = numbered.withColumn("held", F.lit(None).cast("boolean"))
+    again = numbered.select(*columns, "held", "place", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    why = F.when(F.col("held"), F.lit(STORED_KEY)).when((F.col("place") > 1) | (F.col("copy") > 1), F.lit(REPEATED_KEY))
+    return again.select(*columns, why.alias(reason)).unionByName(df.where(F.col(reason).isNotNull()))
 
 
 def table_exists(df: DataFrame, path: str) -> bool:
@@ -41,8 +51,9 @@ def append_jdbc(df: DataFrame, options: dict[str, str]) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header and no index, one file per partition."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header and no index, one file per partition; blanks stay and quotes are doubled."""
+    exact = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "quote": '"', "escape": '"'}
+    df.write.mode("overwrite").options(header=True, **exact).csv(path)
 
 
 def write_artifact(df: DataFrame, folder: str, name: str) -> None:

@@ -13,6 +13,10 @@ from basketwise.schema import TABLES
 DATABASE_NAMES = {"Date": "purchase_date"}
 
 
+# What a parallel read of a table needs.
+PARALLEL = ["partitionColumn", "lowerBound", "upperBound", "numPartitions"]
+
+
 def conform(df: DataFrame, kind: str) -> DataFrame:
     """Project `df` to the columns and types of table `kind`."""
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[kind].fields])
@@ -22,9 +26,8 @@ def load_tables(spark: SparkSession, source: str | Mapping[str, str]) -> dict[st
     """All three tables, whole, from a Parquet folder or from a JDBC database.
 
     `source` is the parent folder, or the JDBC options of the caller. A table's
-    own options are given under "<table>.<option>", so that a large table can be
-    read in parallel ("transactions.partitionColumn", "transactions.numPartitions"
-    and so on).
+    own options are given under "<table>.<option>". The transactions are read in
+    parallel, so partitionColumn, lowerBound, upperBound and numPartitions are required.
     """
     if isinstance(source, str):
         return {kind: spark.read.schema(schema).parquet(f"{source}/{kind}") for kind, schema in TABLES.items()}
@@ -43,6 +46,9 @@ def jdbc_options(options: Mapping[str, str], kind: str) -> dict[str, str]:
     merged = {**shared, **own}
     if "query" not in merged:
         merged.setdefault("dbtable", kind)
+    missing = [name for name in PARALLEL if name not in merged]
+    if kind == "transactions" and missing:
+        raise ValueError(f"transactions would be read by one task; give {', '.join(missing)}")
     return merged
 
 

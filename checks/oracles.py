@@ -170,12 +170,17 @@ FROM pairs LEFT JOIN stats a ON product1 = a.product_id LEFT JOIN stats b ON pro
 SELECT DISTINCT src AS product1_num, a.department AS product1_dept, a.commodity AS product1_comm,
   dst AS product2_num, b.department AS product2_dept, b.commodity AS product2_comm, "count" AS co_occurrence_count
 FROM recs JOIN details a ON src = a.product_num JOIN details b ON dst = b.product_num WHERE rank <= 5""",
+    "shared_numbers": """
+SELECT hshd_num, basket_num % 5 AS basket_num, product_num FROM transactions WHERE basket_num % 29 <> 0""",
+    "own_weights": """
+SELECT hshd_num, basket_num, dst, CAST(SUM("count") AS DOUBLE) AS weight
+FROM transactions JOIN recs ON product_num = src GROUP BY 1, 2, 3""",
     "weights": """
-SELECT basket_num AS basket_id, dst, CAST(SUM("count") AS DOUBLE) AS weight
-FROM transactions JOIN recs ON product_num = src GROUP BY 1, 2""",
+SELECT hshd_num, basket_num, dst, CAST(SUM("count") AS DOUBLE) AS weight
+FROM shared_numbers JOIN recs ON product_num = src GROUP BY 1, 2, 3""",
     "new_weights": """
 SELECT * FROM weights w WHERE NOT EXISTS
-  (SELECT 1 FROM transactions t WHERE t.basket_num = w.basket_id AND t.product_num = w.dst)""",
+  (SELECT 1 FROM shared_numbers t WHERE t.hshd_num = w.hshd_num AND t.basket_num = w.basket_num AND t.product_num = w.dst)""",
 }
 
 # Fixed values of the test data: the departments, and the columns of product stats.
@@ -322,7 +327,7 @@ FROM checked_lines WHERE reject_reason IS NULL""",
 SELECT reject_reason, COUNT(*) AS rows FROM checked_lines WHERE reject_reason IS NOT NULL GROUP BY reject_reason""",
     "ingest_counts": """
 SELECT 'transactions' AS table_name, COUNT(*) AS input_rows, COUNT(*) FILTER (WHERE reject_reason IS NULL) AS good_rows,
-  COUNT(*) FILTER (WHERE reject_reason IS NOT NULL) AS rejected_rows FROM checked_lines""",
+  COUNT(*) FILTER (WHERE reject_reason IS NOT NULL) AS rejected_rows, 0 AS duplicate_rows FROM checked_lines""",
     "cleaned_extract": """
 SELECT CAST(basket_num AS VARCHAR) AS BASKET_NUM, CAST(hshd_num AS VARCHAR) AS HSHD_NUM,
   CASE WHEN basket_num % 13 <> 0 THEN purchase_date END AS PURCHASE_,
@@ -478,13 +483,33 @@ SELECT product_num AS id, department, commodity, department || ' – ' || commod
 SELECT product1_dept || ' – ' || product1_comm || ' & ' || product2_dept || ' – ' || product2_comm AS pair,
   co_occurrence_count AS "count" FROM top_products""",
     "recommend": """
-SELECT basket_id, dst AS product_num, COALESCE(department, 'Unknown') AS department,
-  COALESCE(commodity, 'Unknown') AS commodity, weight / MAX(weight) OVER (PARTITION BY basket_id) AS score
+SELECT hshd_num, basket_num, dst AS product_num, COALESCE(department, 'Unknown') AS department,
+  COALESCE(commodity, 'Unknown') AS commodity, weight / MAX(weight) OVER (PARTITION BY hshd_num, basket_num) AS score
 FROM weights LEFT JOIN details ON dst = product_num""",
     "recommend_new_products": """
-SELECT basket_id, dst AS product_num, COALESCE(department, 'Unknown') AS department,
-  COALESCE(commodity, 'Unknown') AS commodity, weight / MAX(weight) OVER (PARTITION BY basket_id) AS score
+SELECT hshd_num, basket_num, dst AS product_num, COALESCE(department, 'Unknown') AS department,
+  COALESCE(commodity, 'Unknown') AS commodity, weight / MAX(weight) OVER (PARTITION BY hshd_num, basket_num) AS score
 FROM new_weights LEFT JOIN details ON dst = product_num""",
+    "recommended_from_stored_tables": """
+SELECT hshd_num, basket_num, dst AS product_num, COALESCE(department, 'Unknown') AS department,
+  COALESCE(commodity, 'Unknown') AS commodity, weight / MAX(weight) OVER (PARTITION BY hshd_num, basket_num) AS score
+FROM own_weights LEFT JOIN details ON dst = product_num""",
+    "formatted_values": """
+SELECT age_range, printf('$%.2f', SUM(hshd_size) / 4.0) AS amount,
+  format('{:,.1f}', AVG(CASE WHEN loyalty_flag = 'Y' THEN 1.0 ELSE 0.0 END) * 100) || '%' AS share
+FROM households GROUP BY age_range""",
+    "strict_dates": "SELECT DISTINCT basket_num, purchase_date AS day FROM transactions",
+    "pairs_of_no_lines": """
+SELECT COUNT(*) AS pairs, COUNT(*) AS details, COUNT(*) AS recommended FROM transactions WHERE basket_num < 0""",
+    "quoted_products": """
+SELECT CAST(product_num AS VARCHAR) AS product_num, '" ' || department || ', "A"" ' AS department, commodity, brand_type,
+  natural_organic_flag FROM products""",
+    "repeated_load_counts": """
+SELECT load, table_name, input_rows, good_rows, 0 AS rejected_rows, input_rows - good_rows AS duplicate_rows
+FROM (SELECT 'transactions' AS table_name, COUNT(*) AS input_rows, COUNT(*) AS first_rows, COUNT(*) AS second_rows FROM transactions
+  UNION ALL SELECT 'households', COUNT(*), COUNT(*), 0 FROM households
+  UNION ALL SELECT 'products', 2 * COUNT(*), COUNT(DISTINCT CASE WHEN product_num % 5 = 0 THEN 0 ELSE product_num END), 0 FROM products) c
+CROSS JOIN LATERAL (VALUES (1, first_rows), (2, second_rows)) AS l(load, good_rows)""",
     "household_labels": """
 SELECT hshd_num, CASE WHEN loyalty_flag = 'Y' THEN 'Loyal' ELSE 'Non-Loyal' END AS loyalty,
   homeowner_desc || ', ' || age_range AS segment FROM households""",

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from basketwise.functions import dates, labels, text
 from basketwise.models import training
 from basketwise.operators import baskets, columns, customers, dashboard, metrics, prepare, profile, ranking
-from basketwise.plans import ingest
+from basketwise.plans import ingest, jobs
 from basketwise.schema import CSV_NAMES
 from basketwise.session import ensure_checkpoint_dir, stage
 from basketwise.sinks import to_json_records, write_csv
 from basketwise.sources import star, tables
+from basketwise.sources.csv_files import read_csv_text
 
 REGISTERED = {}
 
@@ -33,8 +34,6 @@ CORRELATED = [
     "children",
 ]
 SCALED = ["total_spend", "purchase_count", "tenure"]
-# Smaller ensembles than the defaults, so that a check takes seconds.
-CHECK_TREES = 8
 
 
 def query(function):
@@ -252,16 +251,48 @@ def cleaned_extract(spark, folder):
     return ingest.clean_transactions(raw.withColumn("purchase_date", day).select(*padded))
 
 
+def _padded(frame, kind):
+    """A table as an extract: padded headers and values, all text."""
+    names = CSV_NAMES[kind].items()
+    return frame.select(*[F.concat(F.lit(" "), F.col(c).cast("string"), F.lit("   ")).alias(f" {h}  ") for h, c in names])
+
+
 def _ingested(spark, folder):
-    """The whole tables written as CSV extracts and loaded again."""
+    """The whole tables written as padded CSV extracts and loaded again."""
     place = f"{ensure_checkpoint_dir(spark)}/extracts-{uuid.uuid4().hex}"
     for kind, frame in star.load_tables(spark, folder).items():
-        names = CSV_NAMES[kind]
-        write_csv(frame.select(*[F.col(c).cast("string").alias(f"{h}  ") for h, c in names.items()]), f"{place}/{kind}.csv")
+        write_csv(_padded(frame, kind), f"{place}/{kind}.csv")
     ingest.ingest(spark, {kind: f"{place}/{kind}.csv" for kind in CSV_NAMES}, f"{place}/tables")
     return tables.load_tables(spark, f"{place}/tables")
 
 
+@query
+def quoted_products(spark, folder):
+    """Products whose departments hold commas, quotes and blanks, written and read as CSV."""
+    quoted = F.concat(F.lit('" '), F.col("department"), F.lit(', "A"" '))
+    frame = star.products(spark, folder).withColumn("department", quoted)
+    place = f"{ensure_checkpoint_dir(spark)}/extracts-{uuid.uuid4().hex}"
+    write_csv(frame, place)
+    return read_csv_text(spark, place)
+
+
+@query
+def repeated_load_counts(spark, folder):
+    """Two loads of the same extracts, households and products once per key: the counts of both."""
+    place = f"{ensure_checkpoint_dir(spark)}/extracts-{uuid.uuid4().hex}"
+    for kind, frame in star.load_tables(spark, folder).items():
+        # Every product occurs twice, under two brands; every fifth number cannot be read and becomes 0.
+        if kind == "products":
+            frame = frame.unionByName(frame.withColumn("brand_type", F.lit("OTHER")))
+            number = F.when(F.col("product_num") % 5 == 0, F.lit("?")).otherwise(F.col("product_num").cast("string"))
+            frame = frame.withColumn("product_num", number)
+        write_csv(_padded(frame, kind), f"{place}/{kind}.csv")
+    keys = {"households": ["hshd_num"], "products": ["product_num"]}
+    files = {kind: f"{place}/{kind}.csv" for kind in CSV_NAMES}
+    loads = [ingest.ingest(spark, files, f"{place}/tables", keys).withColumn("load", F.lit(n)) for n in (1, 2)]
+    return loads[0].unionByName(loads[1])
+
+
 @query
 def ingested_transactions(spark, folder):
     return _ingested(spark, folder)["transactions"]
@@ -665,15 +696,21 @@ def top_pair_labels(spark, folder):
     return baskets.top_pair_labels(top_product_pairs(spark, folder))
 
 
+def _shared_numbers(lines):
+    """Basket numbers that several households use, and some lines without one."""
+    number = F.when(F.col("basket_num") % 29 != 0, F.col("basket_num") % 5)
+    return lines.withColumn("basket_num", number)
+
+
 def _recommended(spark, folder, exclude_owned):
     pairs, details = _top_and_details(spark, folder)
-    bought = _lines(spark, folder, "basket_num", "product_num").withColumnRenamed("basket_num", "basket_id")
-    return baskets.recommend(bought, baskets.recommendations(pairs), details, exclude_owned)
+    bought = _shared_numbers(_lines(spark, folder, *KEYS))
+    return baskets.recommend(bought, baskets.recommendations(pairs), details, exclude_owned, baskets.BASKET)
 
 
 @query
 def recommend(spark, folder):
-    return baskets.ordered_recommendations(_recommended(spark, folder, False))
+    return baskets.ordered_recommendations(_recommended(spark, folder, False), baskets.BASKET)
 
 
 @query
@@ -681,6 +718,44 @@ def recommend_new_products(spark, folder):
     return _recommended(spark, folder, True)
 
 
+@query
+def recommended_from_stored_tables(spark, folder):
+    """The recommendation job on the artefacts that the basket job stored."""
+    place = f"{ensure_checkpoint_dir(spark)}/artefacts-{uuid.uuid4().hex}"
+    source = star.load_tables(spark, folder)
+    jobs.basket_tables(source, place)
+    return jobs.recommend_job(source, place)
+
+
+@query
+def formatted_values(spark, folder):
+    """Household balances as money and the share of loyal ones by age as a percentage."""
+    homes = star.households(spark, folder)
+    loyal = F.avg(F.when(F.col("loyalty_flag") == "Y", 1.0).otherwise(0.0))
+    amount = labels.money(F.sum("hshd_size").cast("double") / 4)
+    return homes.groupBy("age_range").agg(amount.alias("amount"), labels.percent(loyal).alias("share"))
+
+
+@query
+def strict_dates(spark, folder):
+    """Purchase dates as ISO text, read back strictly."""
+    text_day = F.date_format("purchase_date", "yyyy-MM-dd")
+    lines = _lines(spark, folder, "basket_num", "purchase_date").select("basket_num", text_day.alias("day"))
+    return lines.select("basket_num", dates.to_date_strict(F.col("day")).alias("day")).distinct()
+
+
+@query
+def pairs_of_no_lines(spark, folder):
+    """Empty input gives empty pairs, details and recommendations."""
+    lines = _lines(spark, folder, *KEYS).where("basket_num < 0")
+    pairs = baskets.basket_pairs(lines)
+    details = baskets.product_details(pairs, lines, star.products(spark, folder))
+    recs = baskets.recommend(lines, baskets.recommendations(pairs), details, keys=baskets.BASKET)
+    return spark.range(1).select(
+        *[F.lit(frame.count()).cast("long").alias(name) for name, frame in (("pairs", pairs), ("details", details), ("recommended", recs))]
+    )
+
+
 @query
 def household_labels(spark, folder):
     return star.households(spark, folder).select(
@@ -695,17 +770,17 @@ def household_labels(spark, folder):
 
 @lru_cache(maxsize=None)
 def _churn_model(spark, folder):
-    return training.train_churn(_churn(spark, folder), trees=CHECK_TREES)
+    return training.train_churn(_churn(spark, folder))
 
 
 @lru_cache(maxsize=None)
 def _clv_model(spark, folder):
-    return training.train_clv(_clv(spark, folder), trees=CHECK_TREES, depth=8)
+    return training.train_clv(_clv(spark, folder))
 
 
 @lru_cache(maxsize=None)
 def _pair_model(spark, folder):
-    return training.train_pair_model(stage(_pair_frame(spark, folder)), trees=CHECK_TREES)
+    return training.train_pair_model(stage(_pair_frame(spark, folder)))
 
 
 @query

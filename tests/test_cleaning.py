@@ -54,9 +54,9 @@ def test_integers(spark):
 
 
 def test_numbers(spark):
-    values = ["0.59", " 3.49", "n/a", None, "-1", "inf"]
+    values = ["12.40", " 7.05", "n/a", None, "-1", "inf"]
     assert convert(spark, values, text.to_number_or_zero) == [
-        Decimal(v) for v in ("0.59", "3.49", "0.00", "0.00", "-1.00", "0.00")
+        Decimal(v) for v in ("12.40", "7.05", "0.00", "0.00", "-1.00", "0.00")
     ]
 
 

@@ -4,27 +4,32 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketwise.plans import ingest
+from basketwise.session import STAGED
 from basketwise.sinks import to_json_records, write_csv
 from basketwise.sources import csv_files, tables
 from tests.conftest import as_dicts
 
+# The header names of the extracts; the rows are made up.
 TRANSACTIONS = (
     "BASKET_NUM       ,HSHD_NUM   ,PURCHASE_,PRODUCT_NUM   ,     SPEND,     UNITS,STORE_R,  WEEK_NUM,YEAR\r\n"
-    "2,18,17-Aug-18,1,0.59,1,CENTRAL,32,2018\r\n"
-    "9,19,17-Aug-18,2,3.49,1,WEST   ,32,2018\r\n"
-    "16,x,17-Aug-18,3,2.24,1,CENTRAL,32,2018\r\n"
-    "17,20,someday,3,2.24,1,CENTRAL,32,2018\r\n"
-    "18,20,17-Aug-98,3,n/a,many,EAST,33.5,NULL \r\n"
+    "501,71,03-Mar-17,1,12.40,3,NORTH,9,2017\r\n"
+    "502,72,05-Apr-17,2,7.05,2,SOUTH  ,14,2017\r\n"
+    "503,x,06-Apr-17,3,1.10,1,NORTH,14,2017\r\n"
+    "504,73,someday,3,1.10,1,NORTH,14,2017\r\n"
+    "505,73,21-May-98,3,n/a,many,COAST,21.5,NULL \r\n"
+    "506,73,21-May-98,3,1.00,1,COAST,21,1998,surplus\r\n"
+    "507,73,21-May-98\r\n"
 )
 HOUSEHOLDS = (
     "HSHD_NUM   ,L,AGE_RANGE                ,MARITAL,INCOME_RANGE  ,HOMEOWNER,HSHD_COMPOSITION,HH_SIZE    ,CHILDREN\r\n"
-    "18,Y,45-54      ,Married   ,50-74k    ,Renter,Single Female,5+  ,1\r\n"
-    "19,N,45-54      ,null      ,50-74k    ,Renter,Single Female,2  ,null\r\n"
-    "19,N,45-54      ,null      ,50-74k    ,Renter,Single Female,2  ,null\r\n"
+    "71,N,25-34      ,Single   ,75-99k    ,Owner,Two Adults,4+  ,2\r\n"
+    "72,Y,65+      ,null      ,35-49k    ,Owner,Two Adults,3  ,null\r\n"
+    "72,Y,65+      ,null      ,35-49k    ,Owner,Two Adults,3  ,null\r\n"
+    "72,Y,19-24      ,null      ,35-49k    ,Owner,Two Adults,3  ,null\r\n"
 )
 PRODUCTS = (
     "PRODUCT_NUM,DEPARTMENT      ,COMMODITY     ,BRAND_TY,NATURAL_ORGANIC_FLAG\r\n"
-    "1,NON-FOOD    ,PET      ,PRIVATE ,N\r\n2,FOOD    ,DAIRY      ,PRIVATE ,N\r\nbad,FOOD,DAIRY,PRIVATE,N\r\n"
+    '1,GARDEN    ,SEEDS      ,NATIONAL ,Y\r\n2,"TOYS, ""big"" ",GAMES      ,NATIONAL ,Y\r\nbad,TOYS,GAMES,NATIONAL,Y\r\n?,TOYS,DOLLS,NATIONAL,Y\r\n'
 )
 
 
@@ -42,30 +47,38 @@ def test_all_three_files_are_required(spark, paths, tmp_path):
     assert not (tmp_path / "out").exists()
 
 
+def counts_of(counts):
+    """(input, stored, rejected, duplicate) rows by table."""
+    return {r["table_name"]: tuple(r)[1:] for r in counts.collect()}
+
+
 def test_ingest(spark, paths, tmp_path):
     target = str(tmp_path / "out")
-    counts = {r["table_name"]: tuple(r)[1:] for r in ingest.ingest(spark, paths, target).collect()}
-    assert counts == {"transactions": (5, 3, 2), "households": (3, 3, 0), "products": (3, 3, 0)}
+    counts = counts_of(ingest.ingest(spark, paths, target))
+    assert counts == {"transactions": (7, 3, 4, 0), "households": (4, 4, 0, 0), "products": (4, 4, 0, 0)}
     loaded = tables.load_tables(spark, target)
+    assert {kind: df.count() for kind, df in loaded.items()} == {"transactions": 3, "households": 4, "products": 4}
     rows = {r["basket_num"]: r for r in loaded["transactions"].collect()}
-    assert sorted(rows) == [2, 9, 18]
-    assert rows[9]["store_region"] == "WEST"
-    last = rows[18]
+    assert sorted(rows) == [501, 502, 505]
+    assert rows[502]["store_region"] == "SOUTH"
+    last = rows[505]
     assert (str(last["purchase_date"]), str(last["spend"]), last["units"], last["week_num"], last["year"]) == (
-        "1998-08-17",
+        "1998-05-21",
         "0.00",
         0,
-        33,
+        21,
         0,
     )
     homes = {r["hshd_num"]: r for r in loaded["households"].collect()}
-    assert (homes[18]["hshd_size"], homes[18]["age_range"], homes[19]["children"]) == (0, "45-54", 0)
-    assert loaded["households"].count() == 2
-    assert sorted(r["product_num"] for r in loaded["products"].collect()) == [0, 1, 2]
+    assert (homes[71]["hshd_size"], homes[71]["age_range"], homes[72]["children"]) == (0, "25-34", 0)
+    products = {r["product_num"]: r["department"] for r in loaded["products"].where("product_num > 0").collect()}
+    assert products == {1: "GARDEN", 2: 'TOYS, "big"'}
     rejects = spark.read.parquet(f"{target}/rejects/transactions")
     assert sorted(r["reject_reason"] for r in rejects.collect()) == [
         "hshd_num missing or unreadable",
         "purchase_date missing or unreadable",
+        "wrong number of fields",
+        "wrong number of fields",
     ]
 
 
@@ -74,26 +87,59 @@ def test_loading_twice(spark, paths, tmp_path):
     ingest.ingest(spark, paths, target)
     ingest.ingest(spark, paths, target)
     loaded = tables.load_tables(spark, target)
-    assert {kind: df.count() for kind, df in loaded.items()} == {"transactions": 6, "households": 2, "products": 3}
-    keys = {"transactions": ["basket_num", "hshd_num", "product_num"], "households": ["hshd_num"], "products": ["product_num"]}
-    ingest.ingest(spark, paths, target, dedupe_keys=keys)
-    assert tables.load_tables(spark, target)["transactions"].count() == 6
+    assert {kind: df.count() for kind, df in loaded.items()} == {"transactions": 6, "households": 8, "products": 8}
+
+
+def test_one_row_per_key_on_request(spark, paths, tmp_path):
+    target = str(tmp_path / "out")
+    keys = {"households": ["hshd_num"], "products": ["product_num"]}
+    first = counts_of(ingest.ingest(spark, paths, target, keys))
+    assert first == {"transactions": (7, 3, 4, 0), "households": (4, 2, 0, 2), "products": (4, 3, 0, 1)}
+    second = counts_of(ingest.ingest(spark, paths, target, keys))
+    assert second == {"transactions": (7, 3, 4, 0), "households": (4, 0, 0, 4), "products": (4, 0, 0, 4)}
+    homes = {r["hshd_num"]: r["age_range"] for r in tables.load_tables(spark, target)["households"].collect()}
+    assert homes == {71: "25-34", 72: "65+"}
+    rejects = spark.read.parquet(f"{target}/rejects/households")
+    assert sorted(r["reject_reason"] for r in rejects.collect()) == ["key already stored"] * 4 + ["key repeated in the file"] * 2
+
+
+def test_no_stored_copy_remains(spark, paths, tmp_path):
+    before = list(STAGED.get(spark, []))
+    ingest.ingest(spark, paths, str(tmp_path / "out"))
+    with pytest.raises(Exception):
+        ingest.ingest(spark, {**paths, "products": str(tmp_path / "missing.csv")}, str(tmp_path / "out"))
+    assert STAGED.get(spark, []) == before
+
+
+def test_quoted_line_ends(spark, paths, tmp_path):
+    path = tmp_path / "products.csv"
+    path.write_text(PRODUCTS.replace("GARDEN    ", '"GARDEN\nHOUSE"'))
+    raw = csv_files.read_retail_csv(spark, str(path), "products", multi_line=True)
+    assert [r.department for r in raw.where("product_num = '1'").collect()] == ["GARDEN\nHOUSE"]
+    assert raw.where(f"{csv_files.MALFORMED} is not null").count() == 0
 
 
 def test_cleaner(spark, paths):
     cleaned = ingest.clean_transactions(csv_files.read_csv_text(spark, paths["transactions"]))
     rows = {r["BASKET_NUM"]: r for r in cleaned.collect()}
     assert cleaned.columns[:4] == ["BASKET_NUM", "HSHD_NUM", "PURCHASE_", "PRODUCT_NUM"]
-    assert (rows["9"]["STORE_R"], rows["9"]["WEEK_NUM"], str(rows["9"]["PURCHASE_"])) == ("WEST", 32, "2018-08-17")
-    assert (rows["18"]["WEEK_NUM"], rows["18"]["YEAR"], rows["17"]["PURCHASE_"]) == (None, None, None)
-    assert rows["18"]["SPEND"] == "n/a"
+    assert (rows["502"]["STORE_R"], rows["502"]["WEEK_NUM"], str(rows["502"]["PURCHASE_"])) == ("SOUTH", 14, "2017-04-05")
+    assert (rows["505"]["WEEK_NUM"], rows["505"]["YEAR"], rows["504"]["PURCHASE_"]) == (None, None, None)
+    assert rows["505"]["SPEND"] == "n/a"
 
 
 def test_csv_sink(spark, paths, tmp_path):
-    frame = csv_files.read_retail_csv(spark, paths["products"], "products")
+    frame = csv_files.read_retail_csv(spark, paths["products"], "products").drop(csv_files.MALFORMED)
+    write_csv(frame, str(tmp_path / "csv"))
+    again = csv_files.read_csv_text(spark, str(tmp_path / "csv"))
+    assert again.columns == frame.columns and sorted(again.collect()) == sorted(frame.collect())
+
+
+def test_csv_sink_keeps_blanks_and_quotes(spark, tmp_path):
+    frame = spark.createDataFrame([("  pad  ", 'a "b", c')], "`A  ` string, B string")
     write_csv(frame, str(tmp_path / "csv"))
-    again = spark.read.option("header", True).csv(str(tmp_path / "csv"))
-    assert again.columns == frame.columns and again.count() == 3
+    again = csv_files.read_csv_text(spark, str(tmp_path / "csv"))
+    assert again.columns == ["A  ", "B"] and [tuple(r) for r in again.collect()] == [("  pad  ", 'a "b", c')]
 
 
 def test_json_rows(spark):
@@ -102,13 +148,12 @@ def test_json_rows(spark):
 
 
 def test_jdbc_options():
-    options = {"url": "jdbc:x", "user": "u", "transactions.numPartitions": "8", "products.dbtable": "dbo.Products"}
-    assert tables.jdbc_options(options, "transactions") == {
-        "url": "jdbc:x",
-        "user": "u",
-        "numPartitions": "8",
-        "dbtable": "transactions",
-    }
+    parallel = {"partitionColumn": "basket_num", "lowerBound": "1", "upperBound": "9", "numPartitions": "8"}
+    options = {"url": "jdbc:x", "user": "u", "products.dbtable": "dbo.Products"}
+    with pytest.raises(ValueError, match="one task"):
+        tables.jdbc_options(options, "transactions")
+    options |= {f"transactions.{k}": v for k, v in parallel.items()}
+    assert tables.jdbc_options(options, "transactions") == {"url": "jdbc:x", "user": "u", "dbtable": "transactions", **parallel}
     assert tables.jdbc_options(options, "products")["dbtable"] == "dbo.Products"
 
 
