@@ -16,7 +16,7 @@ MAX_CATEGORIES = 2_000
 # Fixed values of the split: multiplier and modulus of the hash, parts of the hash
 # range, and the share of test rows as parts of a whole.
 HASH_FACTOR, HASH_SPAN = 2654435761, 4294967296
-SPLIT_RANGES = 1024
+SPLIT_RANGES = 16_384
 TEST_PARTS, ALL_PARTS = 1, 4
 
 
@@ -81,35 +81,32 @@ def one_hot(
 def mark_split(df: DataFrame, key: str, strata: str | None = None) -> DataFrame:
     """Add is_test: in each stratum the quarter of the rows with the smallest key hash.
 
-    The hash spreads evenly over its range, so the range is cut into equal parts:
-    counting the parts tells how many rows lie before each, and rows are ordered
-    only within their part. `df` is read twice and should be a stored frame.
+    The hash spreads evenly over its range, so the range is cut into equal parts and
+    counting the parts tells which of them holds the quarter's end. Only the rows of
+    that part are ordered, to find the last test row; all others are compared with it.
+    Rows that repeat a key stay together. `df` is read twice and should be a stored frame.
     """
-    groups = [strata] if strata else []
     hashed = F.pmod(F.pmod(F.col(key), F.lit(HASH_SPAN // 2)) * F.lit(HASH_FACTOR), F.lit(HASH_SPAN))
-    placed = df.withColumn("split_hash", hashed).withColumn(
-        "split_range", F.floor(F.col("split_hash") * SPLIT_RANGES / F.lit(HASH_SPAN)).cast("int")
-    )
+    placed = df.withColumn("split_hash", hashed).withColumn("split_stratum", F.col(strata) if strata else F.lit(0))
+    part = F.floor(F.col("split_hash") * SPLIT_RANGES / F.lit(HASH_SPAN)).cast("int")
+    keys = placed.select("split_stratum", "split_hash", F.col(key).alias("split_key"), part.alias("part"))
     # At most SPLIT_RANGES rows per stratum.
-    sizes = placed.groupBy(*groups, "split_range").agg(F.count(F.lit(1)).alias("size"))
-    earlier = Window.partitionBy(*groups).orderBy("split_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *[F.col(g).alias(f"of_{g}") for g in groups],
-        F.col("split_range").alias("of_range"),
-        F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"),
-        F.sum("size").over(Window.partitionBy(*groups)).alias("total"),
-    )
-    match = F.col("split_range") == F.col("of_range")
-    for g in groups:
-        match = match & F.col(g).eqNullSafe(F.col(f"of_{g}"))
-    order = Window.partitionBy(*groups, "split_range").orderBy("split_hash", key)
-    rank = F.col("offset") + F.row_number().over(order)
-    wanted = F.ceil(F.col("total") * TEST_PARTS / F.lit(ALL_PARTS))
-    return (
-        placed.join(F.broadcast(offsets), match)
-        .withColumn("is_test", (rank <= wanted).cast("int"))
-        .select(*df.columns, "is_test")
+    sizes = keys.groupBy("split_stratum", "part").agg(F.count(F.lit(1)).alias("size"))
+    whole = Window.partitionBy("split_stratum")
+    earlier = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("size").over(earlier), F.lit(0))
+    wanted = F.ceil(F.sum("size").over(whole) * TEST_PARTS / F.lit(ALL_PARTS))
+    ends = sizes.select(F.col("split_stratum").alias("stratum"), "part", "size", (wanted - offset).alias("left"))
+    ends = ends.where((F.col("left") > 0) & (F.col("left") <= F.col("size"))).drop("size")
+    inside = keys.join(ends, (F.col("split_stratum").eqNullSafe(F.col("stratum"))) & (keys["part"] == ends["part"]))
+    rank = F.row_number().over(Window.partitionBy("stratum").orderBy("split_hash", "split_key"))
+    last = inside.select("stratum", "left", "split_hash", "split_key", rank.alias("rank")).where("rank = left")
+    last = last.select("stratum", F.col("split_hash").alias("last_hash"), F.col("split_key").alias("last_key"))
+    until = (F.col("split_hash") < F.col("last_hash")) | (
+        (F.col("split_hash") == F.col("last_hash")) & (F.col(key) <= F.col("last_key"))
     )
+    joined = placed.join(last, F.col("split_stratum").eqNullSafe(F.col("stratum")))
+    return joined.select(*[placed[c] for c in df.columns], until.cast("int").alias("is_test"))
 
 
 def split(df: DataFrame, key: str, strata: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -454,7 +454,7 @@ running AS (SELECT pos, neg, SUM(neg) OVER (ORDER BY s) - neg AS below FROM scor
 SELECT round(CAST(SUM(pos * (below + neg / 2e0)) AS DOUBLE) / (CAST(SUM(pos) AS DOUBLE) * CAST(SUM(neg) AS DOUBLE)), 9) AS auc
 FROM running""",
     "regression_metrics": """
-SELECT round(AVG(e * e), -2) AS mse, round(sqrt(AVG(e * e)), 3) AS rmse, round(AVG(abs(e)), 3) AS mae,
+SELECT round(round(AVG(e * e) * pow(10e0, 8 - floor(log10(AVG(e * e))))) / pow(10e0, 8 - floor(log10(AVG(e * e)))), 6) AS mse, round(sqrt(AVG(e * e)), 3) AS rmse, round(AVG(abs(e)), 3) AS mae,
   round(1e0 - AVG(e * e) / var_pop(clv_12_month), 6) AS r2
 FROM (SELECT clv_12_month, clv_12_month - annual_clv AS e FROM clv) errors""",
     "multi_item_baskets": """
@@ -510,6 +510,22 @@ FROM (SELECT 'transactions' AS table_name, COUNT(*) AS input_rows, COUNT(*) AS f
   UNION ALL SELECT 'households', COUNT(*), COUNT(*), 0 FROM households
   UNION ALL SELECT 'products', 2 * COUNT(*), COUNT(DISTINCT CASE WHEN product_num % 5 = 0 THEN 0 ELSE product_num END), 0 FROM products) c
 CROSS JOIN LATERAL (VALUES (1, first_rows), (2, second_rows)) AS l(load, good_rows)""",
+    "churn_score_facts": """
+SELECT COUNT(*) AS "rows", COUNT(DISTINCT hshd_num) AS households, 0 AS outside, CAST(SUM(churned) AS BIGINT) AS churned,
+  0 AS wrong_class FROM churn""",
+    "churn_risk_facts": "SELECT COUNT(DISTINCT hshd_num) AS households, 0 AS out_of_order FROM churn",
+    "churn_test_facts": """
+SELECT CAST(churned AS INT) AS label, CAST(ceil(COUNT(*) / 4e0) AS BIGINT) AS "rows" FROM churn GROUP BY churned""",
+    "churn_importance_facts": "SELECT 1e0 AS total, 0 AS negative, 0 AS out_of_order, 0 AS repeated FROM transactions LIMIT 1",
+    "clv_score_facts": """
+SELECT COUNT(*) AS "rows", COUNT(DISTINCT hshd_num) AS households, 0 AS outside, 4 AS tiers,
+  round(SUM(clv_12_month), 2) AS true_total FROM clv""",
+    "clv_ranking_facts": "SELECT COUNT(DISTINCT hshd_num) AS households, 0 AS out_of_order FROM clv",
+    "clv_importance_facts": "SELECT 1e0 AS total, 0 AS negative, 0 AS out_of_order, 0 AS repeated FROM transactions LIMIT 1",
+    "pair_score_facts": """
+SELECT COUNT(*) AS "rows", 0 AS missing, round(SUM(normalized_count), 6) AS true_total FROM pair_frame""",
+    "pair_importance_facts": "SELECT 1e0 AS total, 0 AS negative, 0 AS out_of_order, 0 AS repeated FROM transactions LIMIT 1",
+    "stored_model_facts": """SELECT COUNT(*) AS "rows", 0 AS different FROM churn""",
     "household_labels": """
 SELECT hshd_num, CASE WHEN loyalty_flag = 'Y' THEN 'Loyal' ELSE 'Non-Loyal' END AS loyalty,
   homeowner_desc || ', ' || age_range AS segment FROM households""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketwise.functions import dates, labels, text
@@ -68,6 +68,13 @@ def _rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(F.col(n), digits) + F.lit(0.0) for n in names})
 
 
+def _digits(name: str, digits: int):
+    """A number's first digits: its last bits depend on the order of a sum."""
+    number = F.col(name)
+    unit = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(F.abs(number))))
+    return F.when(number == 0, F.lit(0.0)).otherwise(F.round(F.round(number * unit) / unit, 6))
+
+
 # --- scans, projections and profiles ------------------------------------------------
 
 
@@ -567,7 +574,7 @@ def regression_metrics(spark, folder):
     features = customers.clv_features(lines, star.products(spark, folder), departments=[])
     result = metrics.regression_metrics(features, VALUE, "annual_clv")
     return result.select(
-        F.round("mse", -2).alias("mse"),
+        _digits("mse", 9).alias("mse"),
         F.round("rmse", 3).alias("rmse"),
         F.round("mae", 3).alias("mae"),
         F.round("r2", 6).alias("r2"),
@@ -783,6 +790,124 @@ def _pair_model(spark, folder):
     return training.train_pair_model(stage(_pair_frame(spark, folder)))
 
 
+def _probability_facts(scored, score):
+    """Rows, keys and scores outside 0 to 1 of a scored frame."""
+    outside = F.col(score).isNull() | (F.col(score) < 0) | (F.col(score) > 1)
+    return scored.agg(
+        F.count("*").alias("rows"), F.countDistinct("hshd_num").alias("households"), F.count_if(outside).alias("outside")
+    )
+
+
+def _order_facts(ranked, value):
+    """Rows of a ranking, and how many do not follow on the one before."""
+    # A ranking of households is checked in the order it is returned in, part by part.
+    place = F.monotonically_increasing_id().alias("place")
+    marked = stage(ranked.select("hshd_num", value, place))
+    before = Window.partitionBy(F.shiftright("place", 33)).orderBy("place")
+    wrong = (F.lag(value).over(before) < F.col(value)) | (
+        (F.lag(value).over(before) == F.col(value)) & (F.lag("hshd_num").over(before) > F.col("hshd_num"))
+    )
+    return marked.select("hshd_num", wrong.alias("wrong")).agg(
+        F.countDistinct("hshd_num").alias("households"), F.count_if("wrong").alias("out_of_order")
+    )
+
+
+def _importance_facts(trained):
+    """The importances of all features add up to 1, none is negative and the list falls."""
+    ranked = training.feature_importance(trained.model, None, trained.data.sparkSession)
+    behind = F.lag("importance").over(Window.orderBy(F.desc("importance"), "feature")) < F.col("importance")
+    return ranked.select("feature", "importance", behind.alias("behind")).agg(
+        F.round(F.sum("importance"), 6).alias("total"),
+        F.count_if(F.col("importance") < 0).alias("negative"),
+        F.count_if("behind").alias("out_of_order"),
+        (F.count("*") - F.countDistinct("feature")).alias("repeated"),
+    )
+
+
+@query
+def churn_score_facts(spark, folder):
+    trained = _churn_model(spark, folder)
+    scored = training.score_churn(trained.model, trained.data)
+    wrong_label = F.count_if((F.col("churn_prob") > 0.5) != (F.col("prediction") == 1.0)).alias("wrong_class")
+    facts = _probability_facts(scored, "churn_prob").withColumn("one", F.lit(1))
+    sums = scored.agg(F.sum(F.col("churned").cast("long")).alias("churned"), wrong_label).withColumn("one", F.lit(1))
+    return facts.join(sums, "one").drop("one")
+
+
+@query
+def churn_risk_facts(spark, folder):
+    trained = _churn_model(spark, folder)
+    return _order_facts(training.churn_risk(training.score_churn(trained.model, trained.data)), "churn_prob")
+
+
+@query
+def churn_test_facts(spark, folder):
+    """The four cells of the test set add up to its rows, by label."""
+    trained = _churn_model(spark, folder)
+    cells = metrics.confusion_matrix(training.score_churn(trained.model, trained.test), "churned", "prediction")
+    return cells.groupBy("label").agg(F.sum("count").alias("rows"))
+
+
+@query
+def churn_importance_facts(spark, folder):
+    return _importance_facts(_churn_model(spark, folder))
+
+
+@query
+def clv_score_facts(spark, folder):
+    """Households per tier of the predicted value; ties aside, quarters."""
+    trained = _clv_model(spark, folder)
+    scored = training.score_clv(trained.model, trained.data)
+    return scored.agg(
+        F.count("*").alias("rows"),
+        F.countDistinct("hshd_num").alias("households"),
+        F.count_if(F.col("predicted_clv").isNull() | (F.col("predicted_clv") < 0)).alias("outside"),
+        F.countDistinct("clv_tier").alias("tiers"),
+        F.round(F.sum("clv_12_month"), 2).alias("true_total"),
+    )
+
+
+@query
+def clv_ranking_facts(spark, folder):
+    trained = _clv_model(spark, folder)
+    return _order_facts(training.clv_ranking(training.score_clv(trained.model, trained.data)), "predicted_clv")
+
+
+@query
+def clv_importance_facts(spark, folder):
+    return _importance_facts(_clv_model(spark, folder))
+
+
+@query
+def pair_score_facts(spark, folder):
+    trained = _pair_model(spark, folder)
+    scored = training.score_pairs(trained.model, trained.data)
+    return scored.agg(
+        F.count("*").alias("rows"),
+        F.count_if(F.col("prediction").isNull() | F.isnan("prediction")).alias("missing"),
+        F.round(F.sum("normalized_count"), 6).alias("true_total"),
+    )
+
+
+@query
+def pair_importance_facts(spark, folder):
+    return _importance_facts(_pair_model(spark, folder))
+
+
+@query
+def stored_model_facts(spark, folder):
+    """Households whose churn score differs after the model was stored and loaded again."""
+    trained = _churn_model(spark, folder)
+    place = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+    training.save_model(trained.model, place)
+    first, again = (
+        training.score_churn(model, trained.data).select("hshd_num", F.col("churn_prob").alias(name))
+        for model, name in ((trained.model, "first"), (training.load_model(place), "again"))
+    )
+    both = first.join(again, "hshd_num")
+    return both.agg(F.count("*").alias("rows"), F.count_if(F.col("first") != F.col("again")).alias("different"))
+
+
 @query
 def churn_scores(spark, folder):
     trained = _churn_model(spark, folder)
