@@ -44,6 +44,7 @@ CHUNK_BITS = 17
 MOST_COUNTED = 65_535
 # A likely partner shares one of so many shingles in the prefix; others wait for the search.
 LIKELY_SHARE = 50
+PLACE_SPAN = 1 << 31
 # Bits of the map of wanted documents, a filter before an exact join.
 WANTED_BITS = 26
 BITMAP_BITS = 32_768
@@ -188,6 +189,20 @@ def _overlap(left: str, right: str, threshold: int):
     return F.floor((total + (99 + threshold)) / (100 + threshold)).cast("long")
 
 
+def _has_partner(threshold: int):
+    """Whether the next smaller or larger size in a sorted list allows a link; if not, none in it does."""
+
+    def near(entry, place):
+        groups, size = F.col("groups"), F.floor(entry["at"] / PLACE_SPAN)
+        before = F.floor(F.get(groups, place - 1)["at"] / PLACE_SPAN)
+        after = F.floor(F.get(groups, place + 1)["at"] / PLACE_SPAN)
+        return F.coalesce(before * 100 >= size * threshold, F.lit(False)) | F.coalesce(
+            size * 100 >= after * threshold, F.lit(False)
+        )
+
+    return near
+
+
 class _Verifier:
     """Exact similarity of pairs of sets, read from one document of each set."""
 
@@ -256,13 +271,18 @@ def similarity_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     members = prefixes.groupBy("set_id", "n", "prefix_id").agg(F.lit(1).alias("one"))
     names = members.groupBy("n", "prefix_id").agg(F.min("set_id").alias("group_id"))
     members = stage(members.join(names, ["n", "prefix_id"]).select("set_id", "group_id", "n"))
-    postings = groups.select("group_id", F.posexplode("prefix").alias("place", "shingle"))
-    shared = postings.groupBy("shingle").agg(F.collect_list(F.struct("group_id", "place")).alias("groups"))
-    shared = shared.where(F.size("groups") > 1).select("shingle", F.explode("groups").alias("g"))
-    shared = stage(shared.select("shingle", "g.group_id", "g.place"))
+    # Size and place in one number, that lists are sorted by.
+    placed = (F.col("n") * PLACE_SPAN + F.col("place")).alias("at")
+    postings = groups.select("group_id", "n", F.posexplode("prefix").alias("place", "shingle")).select("shingle", "group_id", placed)
+    shared = postings.groupBy("shingle").agg(F.collect_list(F.struct("at", "group_id")).alias("groups"))
+    shared = shared.where(F.size("groups") > 1).select("shingle", F.sort_array("groups").alias("groups"))
+    shared = shared.select("shingle", F.explode(F.filter("groups", _has_partner(threshold))).alias("g"))
+    size = F.floor(F.col("g.at") / PLACE_SPAN)
+    shared = stage(
+        shared.select("shingle", "g.group_id", size.alias("n"), (F.col("g.at") - size * PLACE_SPAN).alias("place"))
+    )
     # How many shingles each group shares with others.
     meets = shared.groupBy("group_id").agg(F.count("*").alias("meets"))
-    meets = meets.join(members.select("group_id", "n").distinct(), "group_id")
     shared = stage(shared.join(meets, "group_id"))
     verifier = _Verifier(texts, sets, threshold)
 
