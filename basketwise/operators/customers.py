@@ -18,6 +18,7 @@ from basketwise.operators.columns import columns_with_prefix, dept_column
 from basketwise.operators.dimension import sum_by_dimension
 from basketwise.operators.ranking import exact_quantiles
 from basketwise.schema import MONEY_TOTAL
+from basketwise.session import stage
 
 WINDOW_DAYS = 90
 MAX_DEPARTMENTS = 2_000
@@ -174,12 +175,12 @@ def retained_households(transactions: DataFrame, days: int = WINDOW_DAYS) -> Dat
 
 def churn_label(transactions: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
     """1 for training households without a purchase after the cutoff, else 0."""
-    last_day = _cutoff_date(transactions, days)
     date = F.col("purchase_date")
+    # One row per household, stored, so that the lines are read once.
+    spans = stage(transactions.groupBy("hshd_num").agg(F.min(date).alias("first_seen"), F.max(date).alias("last_seen")))
+    last_day = _cutoff_date(spans.select(F.col("last_seen").alias("purchase_date")), days)
     return (
-        transactions.where(F.col("hshd_num").isNotNull())
-        .groupBy("hshd_num")
-        .agg(F.min(date).alias("first_seen"), F.max(date).alias("last_seen"))
+        spans.where(F.col("hshd_num").isNotNull())
         .where(F.col("first_seen") <= last_day)
         .select("hshd_num", (F.col("last_seen") <= last_day).cast("int").alias("churned"))
     )

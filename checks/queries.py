@@ -229,7 +229,7 @@ def _raw_lines(spark, folder):
 
 
 def _typed(spark, folder):
-    return stage(ingest.type_rows(_raw_lines(spark, folder), "transactions"))
+    return ingest.type_rows(_raw_lines(spark, folder), "transactions")
 
 
 @query
@@ -372,12 +372,12 @@ def cutoff(spark, folder):
 
 @query
 def training_lines(spark, folder):
-    return customers.split_period(_stored_lines(spark, folder, *star.ALL_COLUMNS))[0]
+    return customers.split_period(_lines(spark, folder, *star.ALL_COLUMNS))[0]
 
 
 @query
 def evaluation_lines(spark, folder):
-    return customers.split_period(_stored_lines(spark, folder, *star.ALL_COLUMNS))[1]
+    return customers.split_period(_lines(spark, folder, *star.ALL_COLUMNS))[1]
 
 
 @query
@@ -392,17 +392,17 @@ def customer_features(spark, folder):
 
 @query
 def churned_households(spark, folder):
-    return customers.churned_households(_stored_lines(spark, folder, *HISTORY))
+    return customers.churned_households(_lines(spark, folder, *HISTORY))
 
 
 @query
 def retained_households(spark, folder):
-    return customers.retained_households(_stored_lines(spark, folder, *HISTORY))
+    return customers.retained_households(_lines(spark, folder, *HISTORY))
 
 
 @query
 def churn_label(spark, folder):
-    return customers.churn_label(_stored_lines(spark, folder, *HISTORY))
+    return customers.churn_label(_lines(spark, folder, *HISTORY))
 
 
 @query
@@ -412,24 +412,24 @@ def churn_features(spark, folder):
 
 @query
 def churn_rate(spark, folder):
-    return customers.churn_rate(customers.churn_label(_stored_lines(spark, folder, *HISTORY)))
+    return customers.churn_rate(customers.churn_label(_lines(spark, folder, *HISTORY)))
 
 
 @query
 def category_spend(spark, folder):
-    training_part, _ = customers.split_period(_stored_lines(spark, folder, *DEPARTMENT_SPEND))
+    training_part, _ = customers.split_period(_lines(spark, folder, *DEPARTMENT_SPEND))
     return customers.category_spend(training_part, star.products(spark, folder))
 
 
 @query
 def category_pivot(spark, folder):
-    training_part, _ = customers.split_period(_stored_lines(spark, folder, *DEPARTMENT_SPEND))
+    training_part, _ = customers.split_period(_lines(spark, folder, *DEPARTMENT_SPEND))
     return customers.category_pivot(training_part, star.products(spark, folder))
 
 
 @query
 def future_spend(spark, folder):
-    return customers.future_spend(_stored_lines(spark, folder, "hshd_num", "purchase_date", "spend"))
+    return customers.future_spend(_lines(spark, folder, "hshd_num", "purchase_date", "spend"))
 
 
 @query
