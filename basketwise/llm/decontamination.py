@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketwise.llm.text import LOWER, SHINGLE, byte_slices, in_batches, runs, text_or_empty, word_bounds, word_hashes
+from basketwise.llm.text import LOWER, SHINGLE, byte_slices, in_batches, runs, text_or_empty, without_ids, word_bounds, word_hashes
 
 # Containment in hundredths.
 THRESHOLD = 80
@@ -139,5 +139,4 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: int = THRESHOL
 
 def clean_documents(docs: DataFrame, items: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of `docs` that contain no item, with all their columns; a null doc_id stays."""
-    leaks = contained_items(docs, items, threshold).select(F.col("doc_id").alias("leaking_id")).distinct()
-    return docs.join(leaks, docs["doc_id"] == leaks["leaking_id"], "left_anti")
+    return without_ids(docs, contained_items(docs, items, threshold).select("doc_id"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketwise.llm.components import components
-from basketwise.llm.text import byte_slices, in_batches, mix, shingle_sets, text_or_empty
+from basketwise.llm.text import byte_slices, in_batches, mix, shingle_sets, text_or_empty, without_ids
 from basketwise.session import stage
 
 # Similarity in hundredths.
@@ -356,5 +356,4 @@ def one_of_each(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     a doc_id all stay or none. All columns of `docs` are kept.
     """
     classes = similarity_classes(docs, threshold)
-    copies = classes.where("component_id < doc_id").select(F.col("doc_id").alias("copy_id")).distinct()
-    return docs.join(copies, docs["doc_id"] == copies["copy_id"], "left_anti")
+    return without_ids(docs, classes.where("component_id < doc_id").select("doc_id"))

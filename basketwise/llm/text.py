@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketwise.session import fits_broadcast, stage
+
 SHINGLE = 5
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 SLICE_BYTES = 1 << 20
@@ -56,6 +58,18 @@ def in_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id is not in the one column of `ids`.
+
+    The ids are stored and counted. As many as a broadcast may have are sent to the
+    texts where they lie; with more, both sides are shuffled.
+    """
+    name = "_".join(["gone", *docs.columns])
+    gone = stage(ids.toDF(name).where(F.col(name).isNotNull()).distinct())
+    gone = F.broadcast(gone) if fits_broadcast(gone) else gone
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
+
+
 def mix(values: np.ndarray, key: int = 0) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     values = (values ^ (values >> np.uint64(32))) * MIX[key]
