@@ -78,7 +78,7 @@ RULES = [
 
 # A sentence ends at a sign before white space or the text's end. It also ends at a line
 # end, as that of a header does, or else at an empty line only, as in wrapped paragraphs:
-# a text is read both ways and the way with more known sentences counts, lines on a tie.
+# a text is read both ways at once, and the known sentences of both count.
 LINES = r"[.!?;:]\s|[.!?;:]$|\n"
 PARAGRAPHS = r"[.!?;:]\s|[.!?;:]$|\n\n"
 OTHER = "[^a-z0-9]+"
@@ -96,51 +96,58 @@ def rule_pattern(names: list[str]) -> str:
     return "," + ",(?:[0-9]+,)*".join(NUMBERS[name] for name in names) + ","
 
 
-def sentences(text: Column, ends: str) -> Column:
-    """Normalised sentences of a text in order; those without letters and digits are left out."""
-    parts = F.split(F.lower(text), ends)
-    return F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, OTHER, " "))), lambda s: s != "")
+def normalised(sentence: Column) -> Column:
+    return F.trim(F.regexp_replace(sentence, OTHER, " "))
 
 
-def sentence_ids(text: Column, ends: str) -> Column:
-    """Numbers of the known sentences in order, each between commas, or one comma."""
-    known = F.create_map(*[F.lit(v) for name, sentence in SENTENCES.items() for v in (sentence, NUMBERS[name])])
-    numbers = F.filter(F.transform(sentences(text, ends), lambda s: known[s]), lambda n: n.isNotNull())
-    return F.concat(F.lit(","), F.array_join(F.transform(numbers, lambda n: F.concat(n, F.lit(","))), ""))
+def sentence_ids(text: Column) -> Column:
+    """Numbers of the known sentences in order of the text.
+
+    Ends of PARAGRAPHS are ends of LINES too, so a sentence between the former holds whole
+    lines. It gives the numbers of its known lines and, where no line has it, its own first.
+    """
+    known = F.create_map(*[F.lit(v) for name, sentence in SENTENCES.items() for v in (sentence, int(NUMBERS[name]))])
+
+    def of_sentence(sentence: Column) -> Column:
+        whole = F.array_compact(F.array(known[normalised(sentence)]))
+        lines = F.array_compact(F.transform(F.split(sentence, "\n"), lambda line: known[normalised(line)]))
+        both = F.concat(F.array_except(whole, lines), lines)
+        return F.when(F.contains(sentence, F.lit("\n")), both).otherwise(whole)
+
+    return F.flatten(F.transform(F.split(F.lower(text), PARAGRAPHS), of_sentence))
 
 
 def licenses(ids: Column) -> Column:
     """Sorted distinct licences of the matched rules that no longer matched rule contains."""
+    between = listed(ids)
     found = []
     for licence, names in RULES:
         longer = [other for _, other in RULES if contained(names, other)]
-        matched = F.rlike(ids, F.lit(rule_pattern(names)))
+        matched = F.rlike(between, F.lit(rule_pattern(names)))
         for other in longer:
-            matched = matched & ~F.rlike(ids, F.lit(rule_pattern(other)))
+            matched = matched & ~F.rlike(between, F.lit(rule_pattern(other)))
         found.append(F.when(matched, F.lit(licence)))
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))
 
 
+def listed(ids: Column) -> Column:
+    """The numbers as text, each between commas, or one comma."""
+    return F.concat(F.lit(","), F.array_join(F.transform(ids, lambda n: F.concat(n.cast("string"), F.lit(","))), ""))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_sentences, sentence_ids, licenses) of every row.
 
-    n_sentences counts the known sentences, sentence_ids has their numbers in order
-    between commas, licenses the names joined by commas. A null or empty text has none.
+    n_sentences counts the known sentences of both readings, sentence_ids has their numbers
+    in order between commas, licenses the names joined by commas. A null or empty text has none.
     Whole texts are read; rows that repeat or lack a doc_id are scanned like others.
     Columns other than doc_id and text are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    read = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        sentence_ids(text, LINES).alias("lines"),
-        sentence_ids(text, PARAGRAPHS).alias("paragraphs"),
-    )
-
-    count = lambda ids: F.size(F.split(ids, ",")) - 2
-    ids = F.when(count("paragraphs") > count("lines"), F.col("paragraphs")).otherwise(F.col("lines"))
-    return read.select("doc_id", ids.alias("sentence_ids")).select(
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sentence_ids(text).alias("ids"))
+    return read.select(
         "doc_id",
-        count("sentence_ids").cast("long").alias("n_sentences"),
-        "sentence_ids",
-        F.array_join(licenses(F.col("sentence_ids")), ",").alias("licenses"),
+        F.size("ids").cast("long").alias("n_sentences"),
+        listed(F.col("ids")).alias("sentence_ids"),
+        F.array_join(licenses(F.col("ids")), ",").alias("licenses"),
     )

@@ -176,6 +176,29 @@ def test_license_rules(spark):
     assert rows[5].sentence_ids == ","
 
 
+def test_licenses_of_both_readings_of_a_text_count(spark):
+    header = "Title\nLicensed under CC BY 4.0."
+    apache = (
+        'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in\ncompliance with the License.'
+    )
+    texts = [
+        MIT + "\n" + header,
+        header + "\n\n" + MIT,
+        apache + "\n\n" + header,
+        # More sentences by lines than by paragraphs.
+        "Head\nReleased under the MIT License\nLicensed under CC BY 4.0\nMIT License\n\nThis work is licensed under "
+        "the GNU\nGeneral Public License version 3.",
+        # A line that is a sentence of its own, with signs around it, counts once, twice if it is there twice.
+        "---\nLicensed under CC BY 4.0\n---",
+        "Licensed under CC BY 4.0\nLicensed under CC BY 4.0",
+        # The whole is known, and so is one of its lines.
+        "Released under\nthe MIT license",
+    ]
+    rows = sorted(licenses.scan(documents(spark, enumerate(texts))).collect(), key=lambda r: r.doc_id)
+    assert [r.licenses for r in rows] == ["CC-BY-4.0,MIT", "CC-BY-4.0,MIT", "Apache-2.0,CC-BY-4.0", "CC-BY-4.0,GPL-3.0-only,MIT", "CC-BY-4.0", "CC-BY-4.0", "MIT"]
+    assert [r.n_sentences for r in rows] == [4, 4, 3, 4, 1, 2, 2]
+
+
 def test_license_scan_is_native_and_without_shuffle(spark):
     plan = licenses.scan(awkward(spark, extra=True))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
