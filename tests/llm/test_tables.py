@@ -199,6 +199,72 @@ def test_licenses_of_both_readings_of_a_text_count(spark):
     assert [r.n_sentences for r in rows] == [4, 4, 3, 4, 1, 2, 2]
 
 
+BSD2 = (
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following "
+    "conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and "
+    "the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of "
+    "conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n"
+)
+BSD3 = BSD2 + (
+    "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products "
+    "derived from\n   this software without specific prior written permission.\n\n"
+)
+GNU = (
+    "This program is free software; you can redistribute it and/or modify it\nunder the terms of the GNU{} General Public License as "
+    "published by the\nFree Software Foundation; {}version {} of the License{}.\n\n"
+)
+LATER = ", or (at your\noption) any later version"
+
+
+def test_licenses_of_the_default_table(spark):
+    cases = {
+        BSD2: "BSD-2-Clause",
+        BSD3: "BSD-3-Clause",
+        BSD3.replace("the copyright holder", "Example Inc."): "BSD-3-Clause",
+        BSD2 + BSD3: "BSD-2-Clause,BSD-3-Clause",
+        BSD3 + BSD2: "BSD-2-Clause,BSD-3-Clause",
+        BSD3 + BSD3: "BSD-3-Clause",
+        GNU.format("", "", "2", ""): "GPL-2.0-only",
+        GNU.format("", "either ", "2", LATER): "GPL-2.0-or-later",
+        GNU.format("", "either ", "2", LATER) + GNU.format(" Lesser", "either ", "3", LATER): "GPL-2.0-or-later,LGPL-3.0-or-later",
+        GNU.format(" Affero", "either ", "3", LATER).replace("Foundation;", "Foundation,"): "AGPL-3.0-or-later",
+        GNU.format(" Affero", "either ", "3", LATER): "AGPL-3.0-or-later",
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy": "MPL-2.0",
+        "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is "
+        "available at https://www.eclipse.org/legal/epl-2.0/": "EPL-2.0",
+        "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and "
+        "redistribute it\nfreely, subject to the following restrictions:\n": "Zlib",
+        "Distributed under the Boost Software License, Version 1.0.\n(See file": "BSL-1.0",
+        "/* SPDX-License-Identifier: (GPL-2.0+ WITH Classpath-exception-2.0) OR mit */\nint x;": "GPL-2.0-or-later,MIT",
+        "# spdx-license-identifier: PostgreSQL -- see the file": "PostgreSQL",
+        "SPDX-License-Identifier: BSD-3-Clause\n\n" + BSD2: "BSD-2-Clause,BSD-3-Clause",
+    }
+    rows = sorted(licenses.scan(documents(spark, enumerate(cases))).collect(), key=lambda r: r.doc_id)
+    assert [r.licenses for r in rows] == list(cases.values())
+
+
+def test_the_whole_apache_header_is_one_rule(spark):
+    header = (
+        'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the '
+        "License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by "
+        "applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\nWITHOUT "
+        "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n"
+    )
+    (whole,) = [names for _, names in licenses.DEFAULT_RULES if "apache-url" in names]
+    (row,) = licenses.scan(documents(spark, [(1, header)]), rules=[("Apache-2.0", whole)]).collect()
+    assert (row.licenses, row.n_sentences) == ("Apache-2.0", 5)
+
+
+def test_license_tables_are_arguments(spark):
+    table, rules = {"a": "use it", "b": "but * owe me a beer"}, [("Use", ["a"]), ("Beer", ["a", "b"])]
+    texts = ["Use it. But you owe me a beer!", "Use it.", "But owe me a beer. Released under the MIT License.", "Use it. But you owe me a beer. Use it."]
+    rows = sorted(licenses.scan(documents(spark, enumerate(texts)), table, rules).collect(), key=lambda r: r.doc_id)
+    assert [r.licenses for r in rows] == ["Beer", "Use", "", "Beer,Use"]
+    assert licenses.scan(documents(spark, [(1, "Use it.")]), {}, []).first().licenses == ""
+    with pytest.raises(ValueError):
+        licenses.scan(documents(spark, []), table, [("Use", ["c"])])
+
+
 def test_license_scan_is_native_and_without_shuffle(spark):
     plan = licenses.scan(awkward(spark, extra=True))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
