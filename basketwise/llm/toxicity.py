@@ -45,7 +45,7 @@ NEGATIVE_UNITS = 12_000
 HARD_NEGATIVES = 2_000
 POSITIVE_LANDMARKS = 48
 NEGATIVE_LANDMARKS = 8
-LONGEST_LANDMARK = 10
+LANDMARK_GROUP = 16
 # Units of less evidence (log-likelihood ratio) are not learned from.
 LEAST_EVIDENCE = 6.0
 MOST_UNITS = 400_000
@@ -113,15 +113,19 @@ def kernel(strings: list[str], landmarks: list[str], rows: int = 256) -> np.ndar
     result = np.zeros((len(strings), len(landmarks)), np.float32)
     if not strings or not landmarks:
         return result
-    right = _codes(landmarks, -1)[None]
+    # Landmarks of like length go together, so that few places are padding.
+    by_length = sorted(range(len(landmarks)), key=lambda k: len(landmarks[k]))
+    groups = [by_length[k : k + LANDMARK_GROUP] for k in range(0, len(by_length), LANDMARK_GROUP)]
+    rights = [(group, _codes([landmarks[k] for k in group], -1)[None]) for group in groups]
     own = np.array([_kernel(_codes([s], -2), _codes([s], -1)[None])[0, 0] for s in landmarks])
     order = sorted(range(len(strings)), key=lambda k: len(strings[k]))
     for first in range(0, len(order), rows):
         chosen = order[first : first + rows]
         left = _codes([strings[k] for k in chosen], -2)
         self_kernel = _kernel(left, np.where(left == -2, -1, left)[:, None])[:, 0]
-        scale = np.sqrt(np.maximum(self_kernel, 1e-12)[:, None] * np.maximum(own, 1e-12))
-        result[chosen] = (_kernel(left, right) / scale) ** POWER
+        for group, right in rights:
+            scale = np.sqrt(np.maximum(self_kernel, 1e-12)[:, None] * np.maximum(own[group], 1e-12))
+            result[np.ix_(chosen, group)] = (_kernel(left, right) / scale) ** POWER
     return result
 
 
@@ -220,14 +224,14 @@ def train_machine(positive: list[tuple[str, float]], negative: list[str]) -> Tox
     landmarks: list[str] = []
     names = [unit for unit, _ in positive]
     near = kernel(names, names)
-    closest = np.array([float(len(name) > LONGEST_LANDMARK) for name in names])
+    closest = np.zeros(len(names))
     strength = np.array([e for _, e in positive]) ** 0.5
     while len(landmarks) < POSITIVE_LANDMARKS and (closest < 1).any():
         best = int(np.argmax(strength * (1 - closest)))
         landmarks.append(names[best])
         closest = np.maximum(closest, near[:, best])
         closest[best] = 1
-    landmarks += [unit for unit in negative if len(unit) <= LONGEST_LANDMARK][:NEGATIVE_LANDMARKS]
+    landmarks += negative[:NEGATIVE_LANDMARKS]
     values, vectors = np.linalg.eigh(kernel(landmarks, landmarks).astype(float))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
     toxic, clean = kernel(names, landmarks) @ root, kernel(negative, landmarks) @ root

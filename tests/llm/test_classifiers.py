@@ -110,6 +110,21 @@ def test_gapped_insults_stay_toxic():
     assert near.min() > model.decide(clean).max() + 0.3
 
 
+def test_long_insults_are_landmarks_too():
+    insult = "schwachkopfige"
+    assert len(insult) == 14
+    insults = [(insult, 50.0), ("scum", 50.0), ("x" * 4 + "abcdefghijklmnopqrst", 50.0)]
+    pick = random.Random(2)
+    clean = sorted({"".join(pick.choice(["ing", "th", "er", "on", "an", "re"]) for _ in range(3)) for _ in range(150)})
+    model = toxicity.train_machine(insults, clean)
+    assert {unit for unit, _ in insults} <= set(model.landmarks)
+    assert model.decide([unit for unit, _ in insults]).min() > 0.5 and model.decide(clean).max() < 0
+    assert model.decide(["schwa7chkopfige", "schwachkopffige"]).min() > model.decide(clean).max() + 0.3
+    strings = [*clean[:5], *(unit for unit, _ in insults)] * 8
+    alone = [toxicity.kernel(strings, [unit])[:, 0] for unit in strings]
+    assert np.allclose(toxicity.kernel(strings, strings).T, alone, atol=1e-5)
+
+
 def test_toxicity_on_held_out_documents(spark):
     docs = spark.read.parquet(f"{LARGER}/documents.parquet")
     labels = spark.read.parquet(f"{LARGER}/labels.parquet")
