@@ -1,7 +1,8 @@
 """Toxicity: a support vector machine on a gapped string kernel, with Nyström landmarks.
 
-Texts are cut into units: words without signs, and runs of letters that stand alone, so
-that "i d i o t" and "id-iot" are one unit. The kernel of two units counts the
+Texts are cut into units: words without signs, and runs of letters that stand alone but
+for signs, so that "i d i o t", "i - d - i - o - t", "i. d. i. o. t." and "id-iot" are one
+unit. The kernel of two units counts the
 subsequences of three characters they share, each weighted down by every character it
 spans. Inserted letters and digits lengthen the spans of an insult but leave its
 subsequences, so it stays close to the plain one.
@@ -56,16 +57,25 @@ ROUNDS = 4
 
 def units(text: str) -> list[str]:
     """The units of a whole text in order."""
-    found, spelled = [], []
+    found, spelled, plain = [], [], []
+
+    def join() -> None:
+        # Of fewer letters every token stays what it is, signs too.
+        nonlocal found
+        found += ["".join(spelled)] if len(spelled) >= SPELLED else plain
+        spelled.clear()
+        plain.clear()
+
     for token in text.lower().split():
-        if len(token) == 1 and token.isalnum():
-            spelled.append(token)
+        unit = token if token.isalpha() else SIGNS.sub("", token)
+        if len(unit) == 1 and unit.isalnum():
+            spelled.append(unit)
+        elif unit or not spelled:
+            join()
+            found.append(unit)
             continue
-        if spelled:
-            found += ["".join(spelled)] if len(spelled) >= SPELLED else spelled
-            spelled = []
-        found.append(token if token.isalpha() else SIGNS.sub("", token))
-    found += ["".join(spelled)] if len(spelled) >= SPELLED else spelled
+        plain.append(unit)
+    join()
     return found
 
 

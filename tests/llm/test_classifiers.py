@@ -99,6 +99,13 @@ def test_units_join_spelled_letters_and_drop_signs():
     assert "".join(toxicity.windows("x" * 100)).count("x") >= 100
 
 
+def test_spelled_letters_are_joined_across_signs():
+    for spelled in ("I D I O T", "i - d - i - o - t", "i. d. i. o. t.", "*i* *d* ... i / o (t)!"):
+        assert toxicity.units(f"you {spelled} there") == ["you", "idiot", "there"]
+    assert toxicity.units("- a - b - the ##") == ["", "a", "", "b", "", "the", ""]
+    assert toxicity.units("") == [] and toxicity.units("- x") == ["", "x"]
+
+
 def test_gapped_insults_stay_toxic():
     insults = [("idiot", 50.0), ("scum", 50.0), ("worthless", 50.0), ("pathetic", 50.0)]
     pick = random.Random(2)
