@@ -84,12 +84,15 @@ def mark_split(df: DataFrame, key: str, strata: str | None = None) -> DataFrame:
     The hash spreads evenly over its range, so the range is cut into equal parts and
     counting the parts tells which of them holds the quarter's end. Only the rows of
     that part are ordered, to find the last test row; all others are compared with it.
-    Rows that repeat a key stay together. `df` is read twice and should be a stored frame.
+    Rows that repeat a key stay together. Rows with a null key are not counted and are
+    training rows. `df` is read twice and should be a stored frame.
     """
     hashed = F.pmod(F.pmod(F.col(key), F.lit(HASH_SPAN // 2)) * F.lit(HASH_FACTOR), F.lit(HASH_SPAN))
     placed = df.withColumn("split_hash", hashed).withColumn("split_stratum", F.col(strata) if strata else F.lit(0))
     part = F.floor(F.col("split_hash") * SPLIT_RANGES / F.lit(HASH_SPAN)).cast("int")
-    keys = placed.select("split_stratum", "split_hash", F.col(key).alias("split_key"), part.alias("part"))
+    keys = placed.where(F.col(key).isNotNull()).select(
+        "split_stratum", "split_hash", F.col(key).alias("split_key"), part.alias("part")
+    )
     # At most SPLIT_RANGES rows per stratum.
     sizes = keys.groupBy("split_stratum", "part").agg(F.count(F.lit(1)).alias("size"))
     whole = Window.partitionBy("split_stratum")
@@ -105,8 +108,8 @@ def mark_split(df: DataFrame, key: str, strata: str | None = None) -> DataFrame:
     until = (F.col("split_hash") < F.col("last_hash")) | (
         (F.col("split_hash") == F.col("last_hash")) & (F.col(key) <= F.col("last_key"))
     )
-    joined = placed.join(last, F.col("split_stratum").eqNullSafe(F.col("stratum")))
-    return joined.select(*[placed[c] for c in df.columns], until.cast("int").alias("is_test"))
+    joined = placed.join(last, F.col("split_stratum").eqNullSafe(F.col("stratum")), "left")
+    return joined.select(*[placed[c] for c in df.columns], F.coalesce(until.cast("int"), F.lit(0)).alias("is_test"))
 
 
 def split(df: DataFrame, key: str, strata: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -258,7 +258,7 @@ def cleaned_extract(spark, folder):
     return ingest.clean_transactions(raw.withColumn("purchase_date", day).select(*padded))
 
 
-def _padded(frame, kind):
+def _padded_extract(frame, kind):
     """A table as an extract: padded headers and values, all text."""
     names = CSV_NAMES[kind].items()
     return frame.select(*[F.concat(F.lit(" "), F.col(c).cast("string"), F.lit("   ")).alias(f" {h}  ") for h, c in names])
@@ -268,7 +268,7 @@ def _ingested(spark, folder):
     """The whole tables written as padded CSV extracts and loaded again."""
     place = f"{ensure_checkpoint_dir(spark)}/extracts-{uuid.uuid4().hex}"
     for kind, frame in star.load_tables(spark, folder).items():
-        write_csv(_padded(frame, kind), f"{place}/{kind}.csv")
+        write_csv(_padded_extract(frame, kind), f"{place}/{kind}.csv")
     ingest.ingest(spark, {kind: f"{place}/{kind}.csv" for kind in CSV_NAMES}, f"{place}/tables")
     return tables.load_tables(spark, f"{place}/tables")
 
@@ -293,7 +293,7 @@ def repeated_load_counts(spark, folder):
             frame = frame.unionByName(frame.withColumn("brand_type", F.lit("OTHER")))
             number = F.when(F.col("product_num") % 5 == 0, F.lit("?")).otherwise(F.col("product_num").cast("string"))
             frame = frame.withColumn("product_num", number)
-        write_csv(_padded(frame, kind), f"{place}/{kind}.csv")
+        write_csv(_padded_extract(frame, kind), f"{place}/{kind}.csv")
     keys = {"households": ["hshd_num"], "products": ["product_num"]}
     files = {kind: f"{place}/{kind}.csv" for kind in CSV_NAMES}
     loads = [ingest.ingest(spark, files, f"{place}/tables", keys).withColumn("load", F.lit(n)) for n in (1, 2)]

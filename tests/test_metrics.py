@@ -131,6 +131,15 @@ def test_split_takes_the_smallest_hashes(spark):
     assert {k for k, t in marked.items() if t} == set(order[:2])
 
 
+def test_split_keeps_rows_without_a_key(spark):
+    rows = [(None if k % 2 else k, "half") for k in range(40)] + [(None, "none")] * 3 + [(k, None) for k in range(8)]
+    marked = prepare.mark_split(spark.createDataFrame(rows, "k bigint, y string"), "k", "y").collect()
+    assert len(marked) == len(rows) and all(r["is_test"] in (0, 1) for r in marked)
+    assert not any(r["is_test"] for r in marked if r["k"] is None)
+    held = [r["y"] for r in marked if r["is_test"]]
+    assert held.count("half") == 5 and held.count(None) == 2 and len(held) == 7
+
+
 def test_one_hot(spark):
     frame = spark.createDataFrame([("b", 1), ("a", 2), (None, 3), ("it's", 4)], "c string, n int")
     rows = as_dicts(prepare.one_hot(frame, ["c", "n"]).orderBy("n"))

@@ -1,5 +1,8 @@
 """Every registered query with SQL gives the same rows as DuckDB."""
 
+import ast
+from pathlib import Path
+
 import pytest
 
 from checks.compare import compare, duckdb_connection
@@ -31,3 +34,11 @@ def test_foreign_keys_hold(connection):
         (SELECT count(*) FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region))"""
     ).fetchall()
     assert missing == [(0, 0, 0, 0)]
+
+
+def test_no_module_defines_a_name_twice():
+    root = Path(__file__).resolve().parent.parent
+    for path in [*root.glob("*.py"), *root.glob("basketwise/**/*.py"), *root.glob("checks/*.py"), *root.glob("tests/**/*.py")]:
+        tree = ast.parse(path.read_text())
+        names = [node.name for node in tree.body if isinstance(node, (ast.FunctionDef, ast.ClassDef))]
+        assert len(names) == len(set(names)), path
