@@ -1,4 +1,4 @@
-"""The ten operators as queries over the whole tables of a folder, and the SQL of those that SQL can express."""
+"""The operators as queries over the whole tables of a folder, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from basketwise.llm import (
+    centroids,
     chat,
     decontamination,
     jaccard_join,
@@ -17,9 +18,11 @@ from basketwise.llm import (
     sharding,
     simple8b,
     token_rollup,
+    topk,
     toxicity,
 )
 from basketwise.llm.text import table
+from basketwise.llm.vectors import whole_vectors
 from basketwise.session import ensure_checkpoint_dir, stage
 
 REGISTERED = {}
@@ -111,6 +114,16 @@ def op10_packing(spark, folder):
     )
 
 
+@query
+def op11_top_k(spark, folder):
+    return topk.best_matches(whole_vectors(table(spark, folder, "embeddings")), "vec_id % 20 = 0")
+
+
+@query
+def op12_centroids(spark, folder):
+    return centroids.clusters_of(whole_vectors(table(spark, folder, "embeddings"), centroids.COMPONENTS))
+
+
 # --- SQL -----------------------------------------------------------------------------
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -172,3 +185,45 @@ FROM chosen"""
 
 
 ORACLES["op7_license_scan"] = _license_sql()
+
+
+WHOLE_VECTORS = """SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+ORACLES["op11_top_k"] = f"""
+WITH v AS ({WHOLE_VECTORS}),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+  ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= {topk.BEST}"""
+
+
+def _centroid_sql() -> str:
+    """Three rounds and the last assignment, a component of a vector or centroid in each row."""
+    nearest = """SELECT vec_id, min_by(k, d * 100 + k) AS k, min(d) AS d FROM (
+  SELECT vec_id, k, sum((x.v - c.v) * (x.v - c.v))::BIGINT AS d FROM x JOIN {} c USING (i) GROUP BY vec_id, k) GROUP BY vec_id"""
+    steps = [
+        f"v AS (SELECT * FROM ({WHOLE_VECTORS}) WHERE len(e) = {centroids.COMPONENTS})",
+        "x AS (SELECT vec_id, unnest(range(len(e))) AS i, unnest(e) AS v FROM v)",
+        f"""first AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k FROM v
+  ORDER BY sha256('1:' || vec_id) LIMIT {centroids.CLUSTERS})""",
+        "c0 AS MATERIALIZED (SELECT k, i, v FROM first JOIN x USING (vec_id))",
+    ]
+    for step in range(centroids.ROUNDS):
+        steps += [
+            f"a{step} AS MATERIALIZED ({nearest.format(f'c{step}')})",
+            f"""m{step} AS (SELECT k, i, ((s - ((s % n) + n) % n) // n)::BIGINT AS v
+  FROM (SELECT k, i, sum(v)::BIGINT AS s, count(*) AS n FROM a{step} JOIN x USING (vec_id) GROUP BY k, i))""",
+            f"""c{step + 1} AS MATERIALIZED (SELECT c.k, c.i, coalesce(m.v, c.v) AS v
+  FROM c{step} c LEFT JOIN m{step} m ON c.k = m.k AND c.i = m.i)""",
+        ]
+    last = f"c{centroids.ROUNDS}"
+    steps.append(f"a AS MATERIALIZED ({nearest.format(last)})")
+    return f"""
+WITH {', '.join(steps)}
+SELECT vec_id, k::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a JOIN (SELECT k, sha256(string_agg(v::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM {last} GROUP BY k) USING (k)"""
+
+
+ORACLES["op12_centroids"] = _centroid_sql()
