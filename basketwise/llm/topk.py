@@ -1,16 +1,18 @@
 """Exact top-k search by inner product over an impact-ordered index, a score at a time.
 
-The vectors are dealt into shards of a few thousand. A shard's index has a posting list
-for every component, sorted by value; a run of equal values is a segment. For a query,
-the impact of a segment is the absolute product of its value with the query's component.
-Impacts are quantised to powers of two, and all segments of a class, of every component,
-are added to the accumulators before any of the next class.
-
-After a class, a posting not yet seen changes a score by the class's lower end at most, so
-each vector's score is known within (components not seen) x (lower end). Vectors that
-cannot reach the k-th best lower bound are out: that is the proof. Once it costs less
-to score the possible members exactly than to go on, they are, in whole numbers. Equal
-vectors are one entry of the index, so copies in any number cost one posting each.
+The vectors are dealt into shards of a few thousand. The impact of a component is its
+absolute value, quantised to powers of two. A shard's index has a posting segment for
+every class of impacts and every component: the values of that class. Embeddings have no
+absent components, so a segment is a row of as many places as there are entries, and all
+segments of a class make a matrix. Classes are processed by descending impact: the
+segments of a class, times the queries' components, are added to the accumulators of a
+block of queries at once.
+
+What the classes to come can still add to an entry is bounded by the lengths (stored in
+the index) of the part of the vector not yet seen and of the query. Entries that cannot
+reach the k-th best lower bound are out: that is the proof. Once it costs less to score
+a query's possible members exactly than to go on, they are, in whole numbers. Equal
+vectors are one entry of the index, so copies in any number cost as much as one.
 
 Queries come in batches of bounded bytes, sent to all tasks; a shard answers each with
 its best k rows, and the best k of all shards are the result.
@@ -30,73 +32,76 @@ from basketwise.session import stage
 
 BEST = 20
 SHARD_ROWS = 4_096
+BLOCK = 256
 QUERY_BYTES = 16 << 20
+# An entry scored exactly costs as much as so many in the product of a class.
+EXACT_COST = 8
+# Bounds are floating-point numbers and are widened by more than their error.
+ROOM = 1 + 1e-4
 # Orders rows without vec_id behind all others.
 NO_ID = np.iinfo(np.int64).max
 FOUND = "query_row long, query_id long, row long, vec_id long, score long"
 
 
 class ImpactIndex:
-    """Posting lists of the distinct vectors of a shard, and the rows that have them."""
+    """Segments of the distinct vectors of a shard, and the rows that have them."""
 
     def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
         self.vectors, entry = np.unique(vectors, axis=0, return_inverse=True)
         order = np.lexsort((rows, ids, entry.reshape(-1)))
         self.rows, self.ids = rows[order], ids[order]
         self.starts = np.searchsorted(entry.reshape(-1)[order], np.arange(len(self.vectors) + 1))
-        count, self.size = self.vectors.shape
-        by_value = np.argsort(self.vectors, axis=0, kind="stable").T
-        values = np.take_along_axis(self.vectors.T, by_value, axis=1)
-        self.entries, self.values = by_value.reshape(-1), values.reshape(-1)
-        self.peaks = np.abs(self.vectors).max(axis=0, initial=0)
-        # One sorted key for all lists: the component, then the value.
-        self.width = 2 * int(self.peaks.max(initial=0)) + 4
-        self.keys = self.values + np.repeat(np.arange(self.size) * self.width, count)
-        self.processed = self.rescored = 0
-
-    def _class(self, query: np.ndarray, used: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Entries and products of the postings whose absolute value is in low .. high - 1."""
-        base = used * self.width
-        bounds = np.concatenate((base + low, base + high, base - high + 1, base - low + 1))
-        places = np.searchsorted(self.keys, bounds).reshape(4, -1)
-        first, end = np.concatenate((places[0], places[2])), np.concatenate((places[1], places[3]))
-        lengths = end - first
-        before = np.cumsum(lengths) - lengths
-        chosen = np.repeat(first - before, lengths) + np.arange(lengths.sum())
-        return self.entries[chosen], self.values[chosen] * np.repeat(np.tile(query[used], 2), lengths)
-
-    def search(self, query: np.ndarray, own_row: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows, ids and scores of the shard's best k rows but `own_row`, the best first, ties to smaller ids."""
+        self.size = self.vectors.shape[1]
+        sizes = np.abs(self.vectors)
+        self.peak = int(sizes.max(initial=0))
+        # Whole numbers below 2^24 are exact in four bytes.
+        self.exact = np.float32 if self.size * self.peak * self.peak < 1 << 24 else np.float64
+        impact = np.frexp(sizes.astype(float))[1]
+        self.classes = []
+        for number in range(self.peak.bit_length(), 0, -1):
+            segments = np.where(impact == number, self.vectors, 0).T.astype(self.exact)
+            later = np.where(impact < number, sizes, 0).astype(float)
+            self.classes.append((segments, np.sqrt((later * later).sum(axis=1)), later.sum(axis=1), later.max(initial=0)))
+        self.products = self.rescored = 0
+
+    def search(self, queries: np.ndarray, own_rows: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each query its number and the rows, ids and scores of the shard's best k rows but its own, ties to smaller ids."""
         count = len(self.vectors)
-        padded = np.zeros(self.size, np.int64)
-        padded[: min(self.size, len(query))] = query[: self.size]
-        used = np.flatnonzero((padded != 0) & (self.peaks > 0))
-        strength = np.abs(padded[used])
-        peaks = strength * self.peaks[used]
-        total, seen = np.zeros(count), np.zeros(count, np.int64)
-        possible = np.arange(count)
-        high = self.peaks[used] + 1
-        level = 1 << int(peaks.max(initial=0)).bit_length()
-        left = count * len(used)
-        while level and len(used):
-            level >>= 1
-            # With level 0 all postings but those of value 0, which add nothing.
-            low = np.minimum(level // strength + 1, high)
-            entries, products = self._class(padded, used, low, high)
-            high = low
-            left -= len(entries)
-            self.processed += len(entries)
-            total += np.bincount(entries, products, count)
-            seen += np.bincount(entries, minlength=count)
-            # Sums below 2^53 are exact; beyond it, room for their rounding.
-            room = np.minimum((len(used) - seen) * float(level), np.minimum(peaks, level).sum()) + peaks.sum() * 1e-12
+        asked = np.zeros((len(queries), self.size), np.int64)
+        width = min(self.size, queries.shape[1])
+        asked[:, :width] = queries[:, :width]
+        kind = self.exact if self.size * self.peak * int(np.abs(asked).max(initial=0)) < 1 << 24 else np.float64
+        weights = asked.astype(kind)
+        lengths = np.abs(asked).astype(float)
+        lengths = np.sqrt((lengths * lengths).sum(axis=1)), lengths.max(axis=1, initial=0), lengths.sum(axis=1)
+        # Sums beyond 2^53 are rounded.
+        error = lengths[2] * self.peak * 1e-12
+        left = np.arange(len(asked))
+        totals = np.zeros((len(asked), count), kind)
+        for step, (segments, straight, along, largest) in enumerate(self.classes):
+            totals += weights[left] @ segments
+            self.products += len(left) * count
+            room = np.minimum(lengths[0][left, None] * straight, lengths[1][left, None] * along)
+            room = np.minimum(room, lengths[2][left, None] * largest) * ROOM + error[left, None]
             if count > k:
-                bound = np.partition(total - room, count - k - 1)[count - k - 1]
-                possible = np.flatnonzero(total + room >= bound)
-            if len(possible) * self.size <= left:
-                break
+                bound = np.partition(totals - room, count - k - 1, axis=1)[:, count - k - 1 : count - k]
+                possible = totals + room >= bound
+            else:
+                possible = np.ones((len(left), count), bool)
+            to_come = len(self.classes) - step - 1
+            done = possible.sum(axis=1) * EXACT_COST <= to_come * count if to_come else np.ones(len(left), bool)
+            for place in np.flatnonzero(done):
+                number = left[place]
+                yield number, *self._exact(asked[number], np.flatnonzero(possible[place]), own_rows[number], k)
+            left, totals = left[~done], totals[~done]
+            if not len(left):
+                return
+        for number in left:  # all vectors are zero
+            yield number, *self._exact(asked[number], np.arange(count), own_rows[number], k)
+
+    def _exact(self, query: np.ndarray, possible: np.ndarray, own_row: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         self.rescored += len(possible)
-        scores = self.vectors[possible] @ padded
+        scores = self.vectors[possible] @ query
         if len(possible) > k + 1:
             least = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
             possible, scores = possible[scores >= least], scores[scores >= least]
@@ -118,11 +123,11 @@ def _search_shards(queries, k: int, shard_rows: int):
         ids = held.column("vec_id").fill_null(NO_ID).to_numpy()
         index = ImpactIndex(held.column("row").to_numpy(), ids, matrix(held.column("vector")))
         asked_rows, asked_ids, asked = queries.value
-        for first in range(0, len(asked), 256):
+        for first in range(0, len(asked), BLOCK):
             columns = [[], [], [], [], []]
-            for row, name, query in zip(asked_rows[first:], asked_ids[first : first + 256], asked[first:]):
-                rows, ids, scores = index.search(query, row, k)
-                found = (np.full(len(rows), row), np.full(len(rows), name), rows, ids, scores)
+            own = asked_rows[first : first + BLOCK]
+            for number, rows, ids, scores in index.search(asked[first : first + BLOCK], own, k):
+                found = (np.full(len(rows), own[number]), np.full(len(rows), asked_ids[first + number]), rows, ids, scores)
                 for column, values in zip(columns, found):
                     column.append(values)
             arrays = [pa.array(np.concatenate(c), pa.int64()) for c in columns]

@@ -71,23 +71,35 @@ def test_vectors_too_large_for_whole_numbers_take_no_part(spark):
     assert [r.vec_id for r in whole_vectors(embeddings(spark, ODD)).collect()] == [None, 11, 15, 35, 40, 40, 45]
 
 
-def test_search_stops_before_all_postings():
+def test_search_stops_before_all_classes():
     rng = np.random.default_rng(5)
     vectors = np.floor(rng.normal(0, 8, (3000, 64))).astype(np.int64)
     index = topk.ImpactIndex(np.arange(3000), np.arange(3000), vectors)
-    for own in range(0, 3000, 100):
-        rows, _, scores = index.search(vectors[own], own, 20)
-        exact = vectors @ vectors[own]
-        exact[own] = exact.min() - 1
+    own = np.arange(0, 3000, 100)
+    found = {own[n]: (rows, scores) for n, rows, _, scores in index.search(vectors[own], own, 20)}
+    assert len(found) == 30
+    for number, (rows, scores) in found.items():
+        exact = vectors @ vectors[number]
+        exact[number] = exact.min() - 1
         assert rows.tolist() == np.lexsort((np.arange(3000), -exact))[:20].tolist()
         assert scores.tolist() == exact[rows].tolist()
-    assert index.processed < 0.9 * 30 * vectors.size and index.rescored < 0.2 * 30 * 3000
+    assert index.products < 0.9 * 30 * 3000 * len(index.classes) and index.rescored < 0.3 * 30 * 3000
+
+
+@pytest.mark.parametrize("scale", [1, 1 << 11, 1 << 23])
+def test_scores_of_any_size_are_whole(scale):
+    rng = np.random.default_rng(6)
+    vectors = rng.integers(-scale, scale + 1, (300, 8))
+    index = topk.ImpactIndex(np.arange(300), np.arange(300), vectors)
+    for number, rows, _, scores in index.search(vectors[:40], np.arange(40), 5):
+        exact = [(-int(sum(int(a) * int(b) for a, b in zip(v, vectors[number]))), n) for n, v in enumerate(vectors) if n != number]
+        assert [(-int(s), int(r)) for s, r in zip(scores, rows)] == sorted(exact)[:5]
 
 
 def test_copies_are_one_entry_of_the_index():
     vectors = np.array([[1, 2]] * 500 + [[2, 1]])
     index = topk.ImpactIndex(np.arange(501), np.arange(501)[::-1].copy(), vectors)
-    rows, ids, scores = index.search(np.array([1, 1]), 3, 4)
+    [(_, rows, ids, scores)] = index.search(np.array([[1, 1]]), np.array([3]), 4)
     assert len(index.vectors) == 2 and ids.tolist() == [0, 1, 2, 3] and scores.tolist() == [3] * 4
 
 
