@@ -14,6 +14,7 @@ from basketwise.llm import (
     jaccard_join,
     licenses,
     packing,
+    prefix_trie,
     quality,
     sharding,
     simple8b,
@@ -124,6 +125,11 @@ def op12_centroids(spark, folder):
     return centroids.clusters_of(whole_vectors(table(spark, folder, "embeddings"), centroids.COMPONENTS))
 
 
+@query
+def op13_prefix_trie(spark, folder):
+    return prefix_trie.conversation_trie(table(spark, folder, "conversations"))
+
+
 # --- SQL -----------------------------------------------------------------------------
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -227,3 +233,30 @@ FROM a JOIN (SELECT k, sha256(string_agg(v::VARCHAR, ',' ORDER BY i)) AS centroi
 
 
 ORACLES["op12_centroids"] = _centroid_sql()
+
+# The crc32 of a decimal number, from a table of 256 remainders.
+CRC_TABLE = """list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
+  lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"""
+CRC32 = """xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda a, b: xor(a >> 8, remainders[xor(a & 255, b) + 1])), 4294967295)"""
+
+ORACLES["op13_prefix_trie"] = f"""
+WITH own AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS s
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+planned AS (SELECT conv_id, s, {CRC32} % {prefix_trie.MOST_SHARED + 1} AS h, conv_id - conv_id % {prefix_trie.FAMILY} AS base
+  FROM own, (SELECT {CRC_TABLE} AS remainders)),
+rebuilt AS (SELECT p.conv_id, list_concat(coalesce(b.s[1:p.h], []), p.s[p.h + 1:]) AS s
+  FROM planned p LEFT JOIN own b ON b.conv_id = p.base),
+prefixes AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS depth FROM rebuilt),
+nodes AS (SELECT s[1:depth] AS k, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+  sha256(coalesce(string_agg(CASE WHEN len(s) = depth THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM prefixes GROUP BY s[1:depth], depth),
+children AS (SELECT k[1:depth - 1] AS k, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY k[1:depth - 1]),
+valued AS (SELECT n.*, coalesce(n_children, 0) AS n_children,
+  CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(n.k[depth].text, '{WORDS}')) END AS saved
+  FROM nodes n LEFT JOIN children c ON c.k = n.k),
+totals AS (SELECT k[1:a] AS k, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM valued) GROUP BY k[1:a])
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves::BIGINT AS n_leaves,
+  saved_tokens::BIGINT AS saved_tokens, v.ends_sha256
+FROM valued v JOIN totals t ON t.k = v.k LEFT JOIN nodes p ON p.depth = v.depth - 1 AND p.k = v.k[1:v.depth - 1]"""

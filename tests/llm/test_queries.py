@@ -22,7 +22,7 @@ def test_queries_equal_their_sql(spark, name):
 
 
 def test_all_queries_are_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in REGISTERED) == list(range(1, 13))
+    assert sorted(int(name[2:].split("_")[0]) for name in REGISTERED) == list(range(1, 14))
 
 
 def test_pipeline_stages_take_effect(spark):
