@@ -64,18 +64,30 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     STAGED.setdefault(df.sparkSession, []).append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    copy = df.sparkSession.read.schema(df.schema).parquet(path)
+    copy.staged_path = path
+    return copy
+
+
+def release(*copies: DataFrame) -> None:
+    """Delete copies made by `stage` that no later step reads; frames on them stop working."""
+    for copy in copies:
+        held = STAGED.get(copy.sparkSession, [])
+        if copy.staged_path in held:
+            held.remove(copy.staged_path)
+            _delete(copy.sparkSession, [copy.staged_path])
 
 
 @contextmanager
 def staging(spark: SparkSession):
     """Delete the copies that `stage` makes inside the block at its end, also after an error."""
-    before = len(STAGED.get(spark, []))
+    before = set(STAGED.get(spark, []))
     try:
         yield
     finally:
-        own = STAGED.get(spark, [])[before:]
-        del STAGED.get(spark, [])[before:]
+        held = STAGED.get(spark, [])
+        own = [path for path in held if path not in before]
+        held[:] = [path for path in held if path in before]
         _delete(spark, own)
 
 
