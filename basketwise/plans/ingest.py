@@ -2,19 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from basketwise import batches
 from basketwise.functions import dates, text
 from basketwise.operators.columns import standardize_nulls, strip_columns, trim_strings, trim_strings_right
 from basketwise.schema import REQUIRED, TABLES
-from basketwise.session import stage, staging
-from basketwise.sinks import REPEATED_KEY, STORED_KEY, append_table, mark_duplicates
+from basketwise.session import staging
+from basketwise.sinks import REPEATED_KEY, STORED_KEY, mark_duplicates
 from basketwise.sources.csv_files import MALFORMED, read_retail_csv
+from basketwise.sources.tables import ACCEPTED, load_table
 
 REASON = "reject_reason"
+COUNTED = ["input_rows", "good_rows", "rejected_rows", "duplicate_rows"]
+
+
+# The steps of cleaning a transactions file, in order.
+CLEANING: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "names cut": strip_columns,
+    "values cut": trim_strings,
+    "nulls named": standardize_nulls,
+    "ends cut": trim_strings_right,
+    "numbers and dates read": lambda df: df.withColumns(
+        {
+            "WEEK_NUM": text.to_int_or_null(F.col("WEEK_NUM")),
+            "YEAR": text.to_int_or_null(F.col("YEAR")),
+            "PURCHASE_": dates.parse_purchase_date(F.col("PURCHASE_")),
+        }
+    ),
+}
 
 
 def clean_transactions(raw: DataFrame) -> DataFrame:
@@ -23,14 +42,43 @@ def clean_transactions(raw: DataFrame) -> DataFrame:
     Keys and amounts stay text; week and year become whole numbers or null, the
     purchase date a date or null.
     """
-    cleaned = trim_strings_right(standardize_nulls(trim_strings(strip_columns(raw))))
-    return cleaned.withColumns(
-        {
-            "WEEK_NUM": text.to_int_or_null(F.col("WEEK_NUM")),
-            "YEAR": text.to_int_or_null(F.col("YEAR")),
-            "PURCHASE_": dates.parse_purchase_date(F.col("PURCHASE_")),
-        }
-    )
+    return _cleaned(raw, lambda df, step: df)
+
+
+def store_cleaned(raw: DataFrame, path: str) -> DataFrame:
+    """Write the cleaned file and count, on the way, what every step was given and what it made of it.
+
+    One row per step and column: rows, nulls, values that are a word for null, and values
+    with blanks around them. Step "raw" is the file itself.
+    """
+    seen: dict[str, Observation] = {}
+    names: dict[str, list[str]] = {}
+
+    def watch(df: DataFrame, step: str) -> DataFrame:
+        seen[step], names[step] = Observation(), df.columns
+        counts = [F.count(F.lit(1)).alias("rows")]
+        for i, name in enumerate(df.columns):
+            value = F.col(f"`{name}`").cast("string")
+            counts.append(F.count_if(value.isNull()).alias(f"nulls{i}"))
+            counts.append(F.count_if(F.lower(F.trim(value)) == "null").alias(f"words{i}"))
+            counts.append(F.count_if(value != F.trim(value)).alias(f"padded{i}"))
+        return df.observe(seen[step], *counts)
+
+    _cleaned(raw, watch).write.parquet(path)
+    rows = []
+    for place, (step, observed) in enumerate(seen.items()):
+        found = observed.get
+        for i, name in enumerate(names[step]):
+            rows.append((place, step, name.strip(), found["rows"], found[f"nulls{i}"], found[f"words{i}"], found[f"padded{i}"]))
+    schema = "place int, step string, column_name string, rows long, nulls long, null_words long, padded long"
+    return raw.sparkSession.createDataFrame(rows, schema)
+
+
+def _cleaned(raw: DataFrame, watch: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    frame = watch(raw, "raw")
+    for step, clean in CLEANING.items():
+        frame = watch(clean(frame), step)
+    return frame
 
 
 def type_rows(raw: DataFrame, kind: str) -> DataFrame:
@@ -81,18 +129,16 @@ def split_valid(typed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return typed.where(F.col(REASON).isNull()).drop(REASON), typed.where(F.col(REASON).isNotNull())
 
 
-def load_counts(staged: Mapping[str, DataFrame]) -> DataFrame:
-    """Input, loadable, rejected and duplicate rows of each table; the last three add up to the first."""
+def _count_columns() -> list[Column]:
+    """Input, loadable, rejected and duplicate rows; the last three add up to the first."""
     duplicate = F.coalesce(F.col(REASON).isin(STORED_KEY, REPEATED_KEY), F.lit(False))
-    parts = [
-        df.agg(
-            F.count(F.lit(1)).alias("input_rows"),
-            F.count_if(F.col(REASON).isNull()).alias("good_rows"),
-            F.count_if(F.col(REASON).isNotNull() & ~duplicate).alias("rejected_rows"),
-            F.count_if(duplicate).alias("duplicate_rows"),
-        ).select(F.lit(kind).alias("table_name"), "input_rows", "good_rows", "rejected_rows", "duplicate_rows")
-        for kind, df in staged.items()
-    ]
+    counts = [F.count(F.lit(1)), F.count_if(F.col(REASON).isNull()), F.count_if(F.col(REASON).isNotNull() & ~duplicate), F.count_if(duplicate)]
+    return [count.alias(name) for count, name in zip(counts, COUNTED)]
+
+
+def load_counts(typed: Mapping[str, DataFrame]) -> DataFrame:
+    """The counts of typed tables that are not being stored, each from one pass."""
+    parts = [df.agg(*_count_columns()).select(F.lit(kind).alias("table_name"), *COUNTED) for kind, df in typed.items()]
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -105,32 +151,48 @@ def check_batch(paths: Mapping[str, str | None]) -> None:
         raise ValueError("all three files are required: transactions, households, products")
 
 
+def store_typed(typed: DataFrame, path: str) -> dict[str, int]:
+    """Write typed rows, accepted and rejected ones apart, and count them on the way; the counts by name."""
+    seen = Observation()
+    marked = typed.observe(seen, *_count_columns()).withColumn(ACCEPTED, F.col(REASON).isNull())
+    marked.write.partitionBy(ACCEPTED).parquet(path)
+    return {name: seen.get[name] for name in COUNTED}
+
+
 def ingest(
     spark: SparkSession,
     paths: Mapping[str, str],
     target: str,
     dedupe_keys: Mapping[str, Sequence[str]] | None = None,
     multi_line: bool = False,
+    batch: str | None = None,
+    on_stored: Callable[[str], None] | None = None,
 ) -> DataFrame:
-    """Load the three extracts into Parquet tables under `target`; returns the counts.
+    """Load the three extracts as one batch under `target`; returns the counts.
 
-    Each file is parsed once into a typed stored copy. Good rows are appended to the
-    tables, all others, with reasons, to rejects/<table>. Only for tables with
-    `dedupe_keys` is one row stored per key; the rows that lose are rejects too. The
-    stored copies are deleted at the end, also after an error.
+    Each file is parsed, written and counted in one pass; rows that cannot be loaded are kept
+    with their reasons (`sources.tables.load_rejects`). All three tables appear together or,
+    if anything fails, not at all. A batch with a name is loaded once: repeating it changes
+    nothing and returns its counts. Without a name every load is a new one.
+
+    Only for tables with `dedupe_keys` is one row stored per key; the rows that lose are
+    rejects too. Such loads of one target must follow each other. `on_stored` is called
+    with each table's name after it is written.
     """
     check_batch(paths)
-    with staging(spark):
-        staged = {}
-        for kind in TABLES:
-            typed = stage(type_rows(read_retail_csv(spark, paths[kind], kind, multi_line), kind))
-            if dedupe_keys and dedupe_keys.get(kind):
-                typed = stage(mark_duplicates(typed, f"{target}/{kind}", dedupe_keys[kind], REASON))
-            staged[kind] = typed
-        for kind, typed in staged.items():
-            good, rejects = split_valid(typed)
-            append_table(good, f"{target}/{kind}")
-            append_table(rejects, f"{target}/rejects/{kind}")
-        counts = load_counts(staged)
-        # A row for each of the three tables.
-        return spark.createDataFrame(counts.collect(), counts.schema)
+
+    def write(folder: str) -> dict:
+        counts = {}
+        with staging(spark):
+            for kind in TABLES:
+                typed = type_rows(read_retail_csv(spark, paths[kind], kind, multi_line), kind)
+                if dedupe_keys and dedupe_keys.get(kind):
+                    typed = mark_duplicates(typed, load_table(spark, target, kind), dedupe_keys[kind], REASON)
+                counts[kind] = store_typed(typed, f"{folder}/{kind}")
+                if on_stored:
+                    on_stored(kind)
+        return counts
+
+    counts = batches.store(spark, target, batch, write).notes
+    rows = [(kind, *(counts[kind][name] for name in COUNTED)) for kind in TABLES]
+    return spark.createDataFrame(rows, "table_name string, " + ", ".join(f"{name} long" for name in COUNTED))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketwise.session import hadoop_path
+from basketwise.operators.skew import join_spread
+from basketwise.session import stage
 
 # Reasons of valid rows that are not stored because of their key.
 STORED_KEY, REPEATED_KEY = "key already stored", "key repeated in the file"
@@ -18,31 +19,26 @@ def append_table(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def mark_duplicates(df: DataFrame, path: str, keys: Sequence[str], reason: str) -> DataFrame:
-    """Give `reason`, null so far, to rows whose key the table or an earlier row of `df` has.
+def mark_duplicates(df: DataFrame, stored: DataFrame, keys: Sequence[str], reason: str) -> DataFrame:
+    """Give `reason`, null so far, to rows whose key `stored` or another row of `df` has.
 
     Of equal keys in `df` the last row in the order of all its columns is kept, so a
-    repeated load decides alike. Equal rows are counted before they meet, so a row
-    repeated many times is no large group.
+    repeated load decides alike. The winner of a key is found by an aggregation that is
+    combined before its shuffle, and rows learn of it by their own number, so a key that
+    very many rows share is no large group.
     """
     columns = [c for c in df.columns if c != reason]
-    valid = df.where(F.col(reason).isNull())
-    counted = valid.groupBy(*columns).agg(F.count("*").alias("copies"))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc_nulls_last(c) for c in columns]))
-    numbered = counted.withColumn("place", place)
-    if table_exists(df, path):
-        stored = df.sparkSession.read.parquet(path).select(*keys).distinct().withColumn("held", F.lit(True))
-        numbered = numbered.join(stored, list(keys), "left")
-    else:
-        numbered = numbered.withColumn("held", F.lit(None).cast("boolean"))
-    again = numbered.select(*columns, "held", "place", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    why = F.when(F.col("held"), F.lit(STORED_KEY)).when((F.col("place") > 1) | (F.col("copy") > 1), F.lit(REPEATED_KEY))
-    return again.select(*columns, why.alias(reason)).unionByName(df.where(F.col(reason).isNotNull()))
-
-
-def table_exists(df: DataFrame, path: str) -> bool:
-    target, files = hadoop_path(df.sparkSession, path)
-    return files.exists(target)
+    # The stored copy fixes the numbers.
+    numbered = stage(df.withColumn("row_number", F.monotonically_increasing_id()))
+    valid = numbered.where(F.col(reason).isNull())
+    # Nulls come before all values, as in a falling order with nulls last.
+    last = F.max(F.struct(*[F.col(c) for c in columns], "row_number")).alias("last")
+    winners = valid.groupBy(*keys).agg(last).select(F.col("last.row_number").alias("row_number"), F.lit(True).alias("first"))
+    held = join_spread(valid.select(*keys, "row_number"), stored.select(*keys).distinct(), keys, "left_semi")
+    held = held.select("row_number", F.lit(True).alias("held"))
+    marked = numbered.join(winners, "row_number", "left").join(held, "row_number", "left")
+    why = F.when(F.col("held"), F.lit(STORED_KEY)).when(F.col("first").isNull(), F.lit(REPEATED_KEY))
+    return marked.select(*columns, F.when(F.col(reason).isNotNull(), F.col(reason)).otherwise(why).alias(reason))
 
 
 def append_jdbc(df: DataFrame, options: dict[str, str]) -> None:

@@ -6,12 +6,17 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from basketwise import batches
 from basketwise.schema import TABLES
+from basketwise.session import hadoop_path
 
 # Database column names that differ from the model's.
 DATABASE_NAMES = {"Date": "purchase_date"}
 
+# The folders of a batch's accepted and rejected rows are named by this column.
+ACCEPTED = "accepted"
 
 # What a parallel read of a table needs.
 PARALLEL = ["partitionColumn", "lowerBound", "upperBound", "numPartitions"]
@@ -23,14 +28,14 @@ def conform(df: DataFrame, kind: str) -> DataFrame:
 
 
 def load_tables(spark: SparkSession, source: str | Mapping[str, str]) -> dict[str, DataFrame]:
-    """All three tables, whole, from a Parquet folder or from a JDBC database.
+    """All three tables, whole, from a folder or from a JDBC database.
 
-    `source` is the parent folder, or the JDBC options of the caller. A table's
+    `source` is the parent folder, of loaded batches or of one Parquet folder per table, or the JDBC options of the caller. A table's
     own options are given under "<table>.<option>". The transactions are read in
     parallel, so partitionColumn, lowerBound, upperBound and numPartitions are required.
     """
     if isinstance(source, str):
-        return {kind: spark.read.schema(schema).parquet(f"{source}/{kind}") for kind, schema in TABLES.items()}
+        return {kind: load_table(spark, source, kind) for kind in TABLES}
     return {
         kind: conform(
             spark.read.format("jdbc").options(**jdbc_options(source, kind)).load().withColumnsRenamed(DATABASE_NAMES), kind
@@ -39,6 +44,24 @@ def load_tables(spark: SparkSession, source: str | Mapping[str, str]) -> dict[st
     }
 
 
+def load_table(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """A table of a folder: the accepted rows of its committed batches, and the plain folder of the table if there is one."""
+    found = batches.paths(spark, folder, f"{kind}/{ACCEPTED}=true")
+    return _read_parts(spark, [*found, f"{folder}/{kind}"], TABLES[kind])
+
+
+def load_rejects(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """The rows of committed batches that were not stored, with their reject_reason."""
+    found = batches.paths(spark, folder, f"{kind}/{ACCEPTED}=false")
+    return _read_parts(spark, found, T.StructType([*TABLES[kind].fields, T.StructField("reject_reason", T.StringType())]))
+
+
+def _read_parts(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
+    """Those of the folders that exist; a batch without such rows has none."""
+    present = [path for path in paths if (place := hadoop_path(spark, path))[1].exists(place[0])]
+    return spark.read.schema(schema).parquet(*present) if present else spark.createDataFrame([], schema)
+
+
 def jdbc_options(options: Mapping[str, str], kind: str) -> dict[str, str]:
     """Shared options plus those of one table; the table name defaults to its kind."""
     shared = {key: value for key, value in options.items() if key.split(".", 1)[0] not in TABLES}

@@ -3,9 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from basketwise import batches
 from basketwise.plans import ingest
 from basketwise.session import STAGED
-from basketwise.sinks import to_json_records, write_csv
+from basketwise.sinks import mark_duplicates, to_json_records, write_csv
 from basketwise.sources import csv_files, tables
 from tests.conftest import as_dicts
 
@@ -73,7 +74,7 @@ def test_ingest(spark, paths, tmp_path):
     assert (homes[71]["hshd_size"], homes[71]["age_range"], homes[72]["children"]) == (0, "25-34", 0)
     products = {r["product_num"]: r["department"] for r in loaded["products"].where("product_num > 0").collect()}
     assert products == {1: "GARDEN", 2: 'TOYS, "big"'}
-    rejects = spark.read.parquet(f"{target}/rejects/transactions")
+    rejects = tables.load_rejects(spark, target, "transactions")
     assert sorted(r["reject_reason"] for r in rejects.collect()) == [
         "hshd_num missing or unreadable",
         "purchase_date missing or unreadable",
@@ -99,10 +100,74 @@ def test_one_row_per_key_on_request(spark, paths, tmp_path):
     assert second == {"transactions": (7, 3, 4, 0), "households": (4, 0, 0, 4), "products": (4, 0, 0, 4)}
     homes = {r["hshd_num"]: r["age_range"] for r in tables.load_tables(spark, target)["households"].collect()}
     assert homes == {71: "25-34", 72: "65+"}
-    rejects = spark.read.parquet(f"{target}/rejects/households")
+    rejects = tables.load_rejects(spark, target, "households")
     assert sorted(r["reject_reason"] for r in rejects.collect()) == ["key already stored"] * 4 + ["key repeated in the file"] * 2
 
 
+class Killed(Exception):
+    pass
+
+
+def test_a_load_that_dies_leaves_nothing_and_can_be_repeated(spark, paths, tmp_path):
+    target = str(tmp_path / "out")
+
+    def die(kind):
+        if kind == "households":
+            raise Killed
+
+    with pytest.raises(Killed):
+        ingest.ingest(spark, paths, target, batch="monday", on_stored=die)
+    assert batches.committed(spark, target) == []
+    assert all(df.isEmpty() for df in tables.load_tables(spark, target).values())
+    first = counts_of(ingest.ingest(spark, paths, target, batch="monday"))
+    again = counts_of(ingest.ingest(spark, paths, target, batch="monday"))
+    assert first == again == {"transactions": (7, 3, 4, 0), "households": (4, 4, 0, 0), "products": (4, 4, 0, 0)}
+    ingest.ingest(spark, paths, target, batch="tue/sday ü")
+    assert {b.name for b in batches.committed(spark, target)} == {"monday", "tue/sday ü"}
+    loaded = tables.load_tables(spark, target)
+    assert {kind: df.count() for kind, df in loaded.items()} == {"transactions": 6, "households": 8, "products": 8}
+
+
+def test_an_attempt_that_was_killed_outright_is_not_read(spark, tmp_path):
+    target = str(tmp_path / "out")
+
+    def write(folder):
+        spark.range(3).write.parquet(f"{folder}/part")
+        return {"rows": 3}
+
+    # What a killed process leaves: an attempt without a manifest, and a manifest cut short.
+    write(f"{target}/batches/a/dead")
+    (tmp_path / "out" / "batches" / "a" / "COMMITTED").write_text('{"attempt": "dead"')
+    assert batches.paths(spark, target, "part") == []
+    batch = batches.store(spark, target, "a", write)
+    assert batch.notes == {"rows": 3} and batch == batches.find(spark, target, "a")
+    assert spark.read.parquet(*batches.paths(spark, target, "part")).count() == 3
+
+
+def test_of_two_writers_of_a_batch_one_wins(spark, tmp_path):
+    target = str(tmp_path / "out")
+
+    def slow(folder):
+        # Another writer commits the same name meanwhile.
+        batches.store(spark, target, "a", lambda place: {"by": "fast"} if spark.range(1).write.parquet(place) is None else {})
+        spark.range(5).write.parquet(folder)
+        return {"by": "slow"}
+
+    assert batches.store(spark, target, "a", slow).notes == {"by": "fast"}
+    [batch] = batches.committed(spark, target)
+    assert batch.notes == {"by": "fast"} and len(list((tmp_path / "out" / "batches" / "a").iterdir())) <= 3
+
+
+def test_one_key_with_most_rows_is_marked_in_parts(spark):
+    rows = [(0, k % 7, None) for k in range(300)] + [(k, 1, None) for k in range(1, 20)] + [(None, 1, "bad")] * 3
+    frame = spark.createDataFrame(rows, "key long, value int, reason string").repartition(8)
+    marked = mark_duplicates(frame, spark.createDataFrame([(3,), (4,)], "key long"), ["key"], "reason")
+    found = {(r.key, r.value if r.reason is None else None, r.reason): r["count"] for r in marked.groupBy("key", "value", "reason").count().collect()}
+    assert found[(0, 6, None)] == 1 and marked.count() == len(rows)
+    assert marked.where("reason = 'key already stored'").count() == 2
+    assert marked.where("reason = 'key repeated in the file'").count() == 299 and marked.where("reason = 'bad'").count() == 3
+
+
 def test_no_stored_copy_remains(spark, paths, tmp_path):
     before = list(STAGED.get(spark, []))
     ingest.ingest(spark, paths, str(tmp_path / "out"))
