@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketwise.session import stage
+from basketwise.session import release, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = stage(large.where("a <> b").distinct())
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(least, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        old = stars
         stars = stage(small.unionAll(least.select("a", F.col("low").alias("b"))).distinct())
+        release(large, old)
         before, state = state, _state(stars)
         if state == before:
             break

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.accumulators import AccumulatorParam
 
 from basketwise.llm import decontamination, jaccard_join
 from basketwise.llm.components import components
@@ -99,11 +101,79 @@ def test_one_large_group_of_copies_is_not_paired(spark, monkeypatch):
     verified = []
     links = jaccard_join._Verifier.links
     monkeypatch.setattr(jaccard_join._Verifier, "links", lambda self, pairs: verified.append(pairs.count()) or links(self, pairs))
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
     found = jaccard_join.similarity_classes(documents(spark, rows)).collect()
     assert {r.component_id for r in found} == {0}
     assert sum(verified) < 1_500  # all pairs are 44,850
 
 
+def test_no_task_holds_a_template_whole(spark, monkeypatch):
+    """Thousands of documents of one template: the rows that a task gets at once stay bounded."""
+    pick = random.Random(8)
+    rows = []
+    for k in range(6_000):
+        copy = BASE.split()[:60]
+        copy[pick.randrange(60)] = f"neu{k}"
+        rows.append((k, " ".join(copy)))
+
+    def watched(function):
+        def run(threshold):
+            inner = function(threshold)
+
+            def count(batches):
+                seen = 0
+
+                def counted():
+                    nonlocal seen
+                    for batch in batches:
+                        seen += batch.num_rows
+                        yield batch
+
+                yield from inner(counted())
+                sizes.add(seen)
+
+            return count
+
+        return run
+
+    class Sizes(AccumulatorParam):
+        def zero(self, value):
+            return []
+
+        def addInPlace(self, left, right):
+            return left + (right if isinstance(right, list) else [right])
+
+    sizes = spark.sparkContext.accumulator([], Sizes())
+    monkeypatch.setattr(jaccard_join, "_linked", watched(jaccard_join._linked))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = jaccard_join.similarity_classes(documents(spark, rows)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.component_id for r in found} == {0}
+    largest = sizes.value
+    assert sum(largest) >= 6_000 and max(largest) < 0.6 * sum(largest)
+
+
+def test_sets_of_one_name_are_told_apart(spark):
+    rows = corpus(3)
+    found = jaccard_join.similarity_classes(documents(spark, rows), name_bits=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == classes_of(rows)
+
+
+def test_postings_without_a_partner_are_left_out():
+    at = lambda n, place=0: n * jaccard_join.PLACE_SPAN + place
+    postings = [(1, at(100), 5), (2, at(50), 6), (2, at(100), 7), (2, at(120), 8), (2, at(200), 9), (3, at(7), 10), (4, at(9), 11), (4, at(9), 12), (5, at(1), 13)]
+    for size in (1, 2, 4, 9):
+        batches = [
+            pa.record_batch([pa.array(c, pa.int64()) for c in zip(*postings[k : k + size])], names=["shingle", "at", "group_id"])
+            for k in range(0, len(postings), size)
+        ]
+        kept = [g for b in jaccard_join._with_partner(80)(iter(batches)) for g in b.column("group_id").to_pylist()]
+        # The first and the last row of a task may have partners elsewhere.
+        assert kept == [5, 7, 8, 11, 12, 13]
+
+
 def items_in(docs, items, threshold=80):
     found = []
     for doc_id, text in docs:
