@@ -1,7 +1,9 @@
 """Chat formatting in budgeted windows.
 
 A conversation is cut between turns into windows of at most `budget` tokens, chosen from
-the prefix sums of the tokens of its turns. A window after the first starts with the
+the prefix sums of the tokens of its turns as they are written, marks and signs of escape
+included; they are counted where the rows lie, before conversations are brought together.
+A window after the first starts with the
 conversation's system turn, if it opens with one, and with as many of the preceding
 turns as fit the history budget; both are repeated and never targets again. The loss
 mask covers the text of each new assistant turn, so every assistant text is a target
@@ -30,8 +32,6 @@ from basketwise.llm.tokens import encoder
 BUDGET = 1024
 HISTORY = 256
 TARGET, SYSTEM = "assistant", "system"
-# Tokens of the marks and line ends of a turn, on top of those of its role and text.
-TURN_TOKENS = 8
 OPEN, CLOSE = "<turn>", "</turn>"
 ESCAPED = re.compile(r"\\|</?turn>")
 MARKS = re.compile(r"\\(?:\\|n|</?turn>)|<turn>|</turn>\n")
@@ -115,23 +115,28 @@ def formatted_window(window: list[tuple[tuple[str, str], bool]]) -> tuple[str, l
     return "".join(parts), mask
 
 
-def _conversations(batches: Iterator[pa.RecordBatch], count_tokens) -> Iterator[tuple[int | None, int, tuple[str, str]]]:
+def _with_tokens(turns: DataFrame, tokenizer_path: str) -> DataFrame:
+    """`turns` with the tokens of each formatted turn."""
+
+    @F.arrow_udf("long")
+    def count(roles: pa.Array, texts: pa.Array) -> pa.Array:
+        written = ["".join(turn_parts(role, text)) for role, text in zip(roles.to_pylist(), texts.to_pylist())]
+        return pa.array([len(ids) for ids in encoder(tokenizer_path).encode(pa.array(written, pa.string()))], pa.int64())
+
+    return in_batches(turns).withColumn("tokens", count("role", "text"))
+
+
+def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int, tuple[str, str]]]:
     """(conv_id, tokens, (role, text)) of sorted rows."""
     for batch in batches:
-        roles, texts = (batch.column(name).to_pylist() for name in ("role", "text"))
-        sizes = count_tokens(batch.column("role"), batch.column("text"))
-        for conv_id, role, text, size in zip(batch.column("conv_id").to_pylist(), roles, texts, sizes):
-            yield conv_id, size, (role or "", text or "")
+        conv_ids, sizes, roles, texts = (batch.column(name).to_pylist() for name in ("conv_id", "tokens", "role", "text"))
+        for conv_id, size, role, text in zip(conv_ids, sizes, roles, texts):
+            yield conv_id, size, (role, text)
 
 
-def _format(tokenizer_path: str, budget: int, history: int):
+def _format(budget: int, history: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path).encode
-
-        def count_tokens(roles, texts):
-            return [len(a) + len(b) + TURN_TOKENS for a, b in zip(encode(roles), encode(texts))]
-
-        rows = _conversations(batches, count_tokens)
+        rows = _conversations(batches)
         held, out = next(rows, None), []
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int32()))]
         names = ["conv_id", "window", "first_turn", "n_turns", "repeated", "tokens", "text", "mask"]
@@ -172,15 +177,13 @@ def format_windows(turns: DataFrame, tokenizer_path: str, budget: int = BUDGET,
     conversation. An empty table gives no rows. Rows are sorted within partitions and
     read as a stream, so a task holds one window of a conversation however long it is.
     """
-    ordered = (
-        turns.select(
-            F.col("conv_id").cast("long"), F.col("turn").cast("long"),
-            *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text")],
-        )
-        .repartition("conv_id")
-        .sortWithinPartitions("conv_id", "turn", "role", "text")
+    read = turns.select(
+        F.col("conv_id").cast("long"), F.col("turn").cast("long"),
+        *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text")],
     )
-    return ordered.transform(in_batches).mapInArrow(_format(tokenizer_path, budget, history), WINDOWS)
+    counted = _with_tokens(read, tokenizer_path)
+    ordered = counted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return ordered.transform(in_batches).mapInArrow(_format(budget, history), WINDOWS)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,8 +9,10 @@ item is lost. Items are partitioned by size, in powers of two; a partition is se
 only with those shingles of a document whose hash is at most its largest minimum value,
 a small share of all. What the signatures find is verified on the shingles' words.
 
-Items are taken in blocks of bounded text, each sent to one pass over the documents.
-Signatures of the documents are never stored or moved.
+Items are taken in blocks of bounded text, one at a time: a block is sent to one pass over
+the documents, its matches are stored, and it is gone before the next is read. A block
+holds the texts and signatures of its items; the shingles of an item are made when a
+document may contain it. Signatures of the documents are never stored or moved.
 """
 
 from __future__ import annotations
@@ -25,11 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketwise.llm.text import LOWER, SHINGLE, byte_slices, in_batches, runs, text_or_empty, without_ids, word_bounds, word_hashes
+from basketwise.session import stage
 
 # Containment in hundredths.
 THRESHOLD = 80
 # Text of a block of items; an item that is longer has a block of its own size.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
+# Items whose shingles a task keeps for the next documents.
+KEPT = 1_000
 
 MATCHES = "doc_id long, item_id long, shared long, item_shingles long"
 
@@ -48,7 +53,8 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int, str]], threshold: int):
         self.threshold = threshold
-        self.items = []  # (item_id, run length, shingles)
+        self.items = []  # (item_id, run length, text)
+        self.kept: dict[int, set] = {}
         entries = defaultdict(list)
         for item_id, text in items:
             raw = np.frombuffer(text.encode(), np.uint8)
@@ -60,7 +66,7 @@ class ItemIndex:
             hashes = np.unique(hashes)
             signature = hashes[: len(hashes) - -(-threshold * len(hashes) // 100) + 1]
             entries[length, len(hashes).bit_length()] += [(h, len(self.items)) for h in signature.tolist()]
-            self.items.append((item_id, length, shingles_of(words_of(text.encode()), length)))
+            self.items.append((item_id, length, text.encode()))
         self.tables = defaultdict(list)
         for (length, _), found in entries.items():
             found.sort()
@@ -89,13 +95,22 @@ class ItemIndex:
         words = words_of(raw)
         sets = {}
         for item in sorted(candidates):
-            item_id, length, wanted = self.items[item]
+            item_id, length, _ = self.items[item]
+            wanted = self._shingles(item)
             if length not in sets:
                 sets[length] = shingles_of(words, length)
             shared = len(wanted & sets[length])
             if shared * 100 >= len(wanted) * self.threshold:
                 yield item_id, shared, len(wanted)
 
+    def _shingles(self, item: int) -> set[tuple[bytes, ...]]:
+        if item not in self.kept:
+            if len(self.kept) >= KEPT:
+                self.kept.clear()
+            _, length, raw = self.items[item]
+            self.kept[item] = shingles_of(words_of(raw), length)
+        return self.kept[item]
+
 
 def _search(block, threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,8 +147,12 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: int = THRESHOL
     place = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     found = []
     for k in range(blocks):
-        block = [tuple(row) for row in listed.where(place == k).collect()]
-        found.append(texts.transform(in_batches).mapInArrow(_search(spark.sparkContext.broadcast(block), threshold), MATCHES))
+        block = spark.sparkContext.broadcast([tuple(row) for row in listed.where(place == k).collect()])
+        searched = texts.transform(in_batches).mapInArrow(_search(block, threshold), MATCHES)
+        if blocks > 1:
+            searched = stage(searched)
+            block.destroy()
+        found.append(searched)
     return reduce(DataFrame.unionAll, found)
 
 

@@ -3,11 +3,12 @@
 Documents with equal texts are one group and stay together. Groups sorted by size,
 largest first, enter the bin with the least room that still holds them, found in a
 balanced tree of the bins by room. Groups of one size are alike, so the packing works
-on how many groups there are of each size class: a class is placed bin by bin. Sizes
-keep 12 leading bits, rounded up, so there are fewer than 2,048 classes for each
-doubling of size, whatever the number of groups, and a bin's real load is at most its
-planned one. The driver packs these counts only; groups get their bins from their
-rank within the class, and that is counted in ranges, in parallel.
+on how many groups there are of each size class: a class is placed bin by bin. For a
+given capacity the classes are the exact sizes; of b bytes in all there are fewer than
+the root of 2 b of them. For a given number of shards sizes keep 12 leading bits, rounded
+up, so there are fewer than 2,048 classes for each doubling of size, and a bin's real
+load is at most its planned one. The driver packs these counts only; groups get their
+bins from their rank within the class, and that is counted in ranges, in parallel.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketwise.operators.skew import join_spread
 from basketwise.session import stage
 
 SHARDS = 8
 LEADING_BITS = 12
-# Ranges that the members of a class or shard are numbered in.
-RANGES = 64
+# Members of a class or shard are numbered in ranges, this many or of about so many rows each.
+RANGES, RANGE_ROWS = 64, 250_000
 # Tries to find the least capacity that fits.
 TRIES = 40
 
@@ -139,12 +141,13 @@ def size_class(size: Column) -> Column:
     return (F.ceil(size / step) * step).cast("long")
 
 
-def numbered(df: DataFrame, key: str, order: Sequence[str], name: str, ranges: int = RANGES) -> DataFrame:
+def numbered(df: DataFrame, key: str, order: Sequence[str], name: str) -> DataFrame:
     """A number from 0 within each key, without all rows of a key in one task.
 
     `df` should be a stored frame. The rows of a key are dealt to ranges by their hash,
     numbered there, and raised by the counts of the ranges before.
     """
+    ranges = max(RANGES, -(-df.count() // RANGE_ROWS))
     placed = df.withColumn("range", F.pmod(F.xxhash64(*order), F.lit(ranges)).cast("int"))
     counts = placed.groupBy(key, "range").agg(F.count("*").alias("rows"))
     earlier = Window.partitionBy(key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -166,8 +169,7 @@ def _assigned(groups: DataFrame, placed: list[tuple[int, int, int]]) -> DataFram
     plan = spark.createDataFrame(rows, "class long, shard int, first long, last long")
     ranked = numbered(groups, "class", ["group"], "rank")
     spans = plan.groupBy("class").agg(F.collect_list(F.struct("first", "last", "shard")).alias("spans"))
-    # As many rows as there are size classes, each with as many spans as shards at most.
-    found = ranked.join(F.broadcast(spans), "class")
+    found = join_spread(ranked, spans, ["class"], "inner")
     holds = F.filter("spans", lambda s: (s["first"] <= F.col("rank")) & (F.col("rank") < s["last"]))
     return found.select("group", holds[0]["shard"].alias("shard"))
 
@@ -190,7 +192,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, capacity: int | None = None) ->
             F.unhex(F.sha2(content, 256)).alias("group"),
         )
     )
-    groups = stage(rows.groupBy("group").agg(F.sum("size").alias("bytes")).select("group", size_class(F.col("bytes")).alias("class")))
+    size = F.col("bytes") if capacity else size_class(F.col("bytes"))
+    groups = stage(rows.groupBy("group").agg(F.sum("size").alias("bytes")).select("group", size.alias("class")))
     classes = [(row["class"], row["count"]) for row in groups.groupBy("class").count().collect()]
     placed = best_fit_decreasing(classes, capacity)[0] if capacity else even_bins(classes, shards)
     chosen = _assigned(groups, placed)

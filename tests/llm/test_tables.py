@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from basketwise.llm import chat, licenses, sharding, token_rollup
 from basketwise.llm.queries import PROBE
@@ -85,6 +86,23 @@ def test_a_group_larger_than_a_share_has_a_shard_of_its_own(spark):
     assert max(load) == 30_100 and max(rest) - min(rest) <= 500
 
 
+def test_fixed_capacity_packs_exact_sizes(spark):
+    docs = [(1, "a" * 5_000), (2, "b" * 4_998)]
+    assert {r.shard for r in sharding.shard(documents(spark, docs), capacity=10_000).collect()} == {0}
+    pick = random.Random(9)
+    for capacity in (5_000, 9_973):
+        docs = [(k, f"{k}" * pick.randrange(1, 900)) for k in range(150)] + [(1000, "5"), (1001, "5")]
+        groups = {}
+        for _, text in docs:
+            groups[text] = groups.get(text, 0) + len(text) + 1
+        rows = sharding.shard(documents(spark, docs), capacity=capacity).collect()
+        load = {}
+        for r in rows:
+            load[r.shard] = load.get(r.shard, 0) + r.size
+        assert sorted(load) == list(range(len(load))) and max(load.values()) <= capacity
+        assert sorted(capacity - used for used in load.values()) == plain_best_fit(groups.values(), capacity)
+
+
 def test_fixed_capacity_and_awkward_rows(spark):
     rows = sharding.shard(awkward(spark, extra=True), capacity=2_000).collect()
     assert len(rows) == 13 and max(r.shard for r in rows) >= 2
@@ -118,7 +136,7 @@ def test_signed_batches_and_repeated_commits(spark, tmp_path):
 
 def test_a_write_that_died_is_replaced(spark, tmp_path):
     store = token_rollup.RollupStore(spark, str(tmp_path / "store"))
-    broken = tmp_path / "store" / "deltas" / "batch=one"
+    broken = tmp_path / "store" / "batches" / "one" / "dead" / "deltas"
     broken.mkdir(parents=True)
     (broken / "part-0.parquet").write_bytes(b"half")
     assert store.committed() == []
@@ -126,6 +144,43 @@ def test_a_write_that_died_is_replaced(spark, tmp_path):
     assert [tuple(r) for r in store.totals().collect()] == [("a", "en", "v1", 1, 4)]
 
 
+def test_compaction_keeps_totals_and_names(spark, tmp_path):
+    store = token_rollup.RollupStore(spark, str(tmp_path / "store"))
+    batch = [spark.createDataFrame([("insert", f"s{k % 2}", "en", "v1", k, None, None)], CHANGES) for k in range(4)]
+    assert store.compact() == 0
+    store.commit("b0", batch[0])
+    store.commit("b1", batch[1])
+    assert store.compact() == 2 and store.compact() == 0
+    store.commit("b2", batch[2])
+    assert store.commit("b0", batch[3]) is False and store.commit("b2", batch[3]) is False
+    assert store.committed() == ["b0", "b1", "b2"]
+    assert sorted(tuple(r) for r in store.totals().collect()) == [("s0", "en", "v1", 2, 2), ("s1", "en", "v1", 1, 1)]
+    store.commit("b3", batch[3])
+    assert store.compact() == 2 and store.commit("b1", batch[1]) is False
+    assert sorted(tuple(r) for r in store.totals().collect()) == [("s0", "en", "v1", 2, 2), ("s1", "en", "v1", 2, 4)]
+    assert [p.name for p in (tmp_path / "store" / "batches").iterdir()] == []
+
+
+def test_of_two_writers_of_one_batch_one_counts(spark, tmp_path):
+    store = token_rollup.RollupStore(spark, str(tmp_path / "store"))
+    changes = spark.createDataFrame([("insert", "a", "en", "v1", 4, None, None)], CHANGES)
+    real, done = token_rollup.signed_deltas, []
+
+    def slow(frame):
+        # Meanwhile another writer commits the same name.
+        token_rollup.signed_deltas = real
+        done.append(token_rollup.RollupStore(spark, store.path).commit("one", changes))
+        return real(frame)
+
+    token_rollup.signed_deltas = slow
+    try:
+        done.append(store.commit("one", changes))
+    finally:
+        token_rollup.signed_deltas = real
+    assert done == [True, False]
+    assert [tuple(r) for r in store.totals().collect()] == [("a", "en", "v1", 1, 4)]
+
+
 def test_unknown_changes_are_refused(spark, tmp_path):
     store = token_rollup.RollupStore(spark, str(tmp_path / "store"))
     with pytest.raises(Exception, match="unknown change"):
@@ -135,17 +190,38 @@ def test_unknown_changes_are_refused(spark, tmp_path):
     assert store.committed() == []
 
 
+VERSIONS = {name: public_tokenizers.path(f"{name}.json") for name in ("word_bpe_49k", "byte_bpe_50k")}
+
+
 def test_documents_as_changes(spark, tmp_path):
+    """Each batch leaves the counts of the library, and the last one row of each text."""
+    library = {name: Tokenizer.from_file(path) for name, path in VERSIONS.items()}
+    docs = awkward(spark, extra=True)
+    texts = [r.text or "" for r in docs.collect()]
+    sizes = {name: [len(t.encode(text, add_special_tokens=False).ids) for text in texts] for name, t in library.items()}
     store = token_rollup.RollupStore(spark, str(tmp_path / "store"))
-    for name, changes in token_rollup.document_changes(awkward(spark, extra=True)).items():
+    found = []
+    for name, changes in token_rollup.document_changes(docs, VERSIONS).items():
         store.commit(name, changes)
-    (total,) = store.totals().collect()
-    # Thirteen rows; the copies with a larger number of the first text and of the empty one are gone.
-    assert (total.documents, total.tokenizer_version) == (10, "pieces-2") or total.documents == 11
+        found.append([(r.tokenizer_version, r.documents, r.tokens) for r in store.totals().collect()])
+    single = {text: size for text, size in zip(texts, sizes["byte_bpe_50k"])}
+    assert found == [
+        [("word_bpe_49k", 13, sum(sizes["word_bpe_49k"]))],
+        [("byte_bpe_50k", 13, sum(sizes["byte_bpe_50k"]))],
+        # Rows that repeat a text go, with the same number or none too.
+        [("byte_bpe_50k", len(single), sum(single.values()))],
+    ]
     empty = token_rollup.RollupStore(spark, str(tmp_path / "empty"))
-    for name, changes in token_rollup.document_changes(documents(spark, [])).items():
+    for name, changes in token_rollup.document_changes(documents(spark, []), VERSIONS).items():
         empty.commit(name, changes)
-    assert empty.totals().collect() == [] and empty.committed() == ["dedupe", "load", "recount"]
+    assert empty.totals().collect() == [] and empty.committed() == ["dedupe", "load", "recount-byte_bpe_50k"]
+
+
+def test_the_row_of_the_smallest_number_stays(spark):
+    rows = [(None, "a"), (5, "a"), (3, "a"), (3, "a"), (9, None), (8, ""), (7, "b")]
+    counted = token_rollup.counted_documents(documents(spark, rows).repartition(3), VERSIONS)
+    gone = sorted((str(r.doc_id) for r in token_rollup.copies_of(counted).collect()))
+    assert gone == ["3", "5", "9", "None"]
 
 
 # --- licences ------------------------------------------------------------------------
@@ -313,9 +389,11 @@ def test_windows_read_back(spark, budget, history):
     windows = chat.format_windows(conversations(spark, rows), BYTES, budget, history)
     found = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(windows).collect()}
     assert found == expected(rows)
+    library = Tokenizer.from_file(BYTES)
     for w in windows.collect():
         fresh = w.n_turns - w.repeated
         assert fresh >= 1 and (w.tokens <= budget or fresh == 1)
+        assert w.tokens == len(library.encode(w.text, add_special_tokens=False).ids)
         turns = list(chat.read_turns(w.text))
         assert len(turns) == w.n_turns
         if w.window and w.repeated and w.conv_id in (0, 3, 6, 9):
