@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketwise.operators.skew import join_spread
 from basketwise.session import release, stage
 
 
@@ -13,22 +14,23 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round links each node's larger neighbours to its smallest one, then its
     smaller neighbours, which halves long chains; rounds end when nothing changes.
-    A hub keeps one row per neighbour and is combined before its shuffle. Self-loops,
-    repeated and reversed edges change nothing; rows with a null end are left out.
+    A hub keeps one row per neighbour, is combined before its shuffle, and learns of its
+    smallest neighbour by a join that spreads its rows. Self-loops, repeated and reversed
+    edges change nothing; rows with a null end are left out.
     """
     linked = edges.select("a", "b").where("a <> b")
     stars = stage(linked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(stars)
     while True:
         both = stars.unionAll(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        lowest = stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")))
+        large = join_spread(both.where("b > a"), lowest, ["a"], "inner").select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = stage(large.where("a <> b").distinct())
-        least = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(least, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        least = stage(large.groupBy("a").agg(F.min("b").alias("low")))
+        small = join_spread(large, least, ["a"], "inner").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         old = stars
         stars = stage(small.unionAll(least.select("a", F.col("low").alias("b"))).distinct())
-        release(large, old)
+        release(lowest, large, least, old)
         before, state = state, _state(stars)
         if state == before:
             break
