@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,6 +79,17 @@ def release(*copies: DataFrame) -> None:
             _delete(copy.sparkSession, [copy.staged_path])
 
 
+def stage_alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """Stage the frame that `make` returns and delete every other copy that was made on the way."""
+    before = set(STAGED.get(spark, []))
+    copy = stage(make())
+    held = STAGED[spark]
+    extra = [path for path in held if path not in before and path != copy.staged_path]
+    held[:] = [path for path in held if path not in extra]
+    _delete(spark, extra)
+    return copy
+
+
 @contextmanager
 def staging(spark: SparkSession):
     """Delete the copies that `stage` makes inside the block at its end, also after an error."""
