@@ -3,6 +3,12 @@
 Documents are judged, cleaned of near copies and of benchmark passages, and packed. The
 first four stages keep all columns of the documents; the last gives the pieces of the
 packed sequences.
+
+Null and empty texts fail the plain quality rules and go with the first stage, as do all
+of fewer than 50 words. Rows that repeat a doc_id stay or go together; a row without
+doc_id is judged by its text, but no near copy or benchmark passage takes it out. Other
+columns, whatever their names, pass through. Without labels only the plain rules take
+documents out, without benchmark items no passage does; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from pyspark.sql import functions as F
 
 from basketwise.llm import decontamination, jaccard_join, packing, quality, toxicity
 from basketwise.llm.text import table
-from basketwise.session import stage
+from basketwise.session import release, stage_alone
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 1
@@ -60,6 +66,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over the documents of a folder; every result but the last is stored and read again."""
     docs = table(spark, sf_dir, "documents")
     *stored, (_, last) = STAGES
-    for _, step in stored:
-        docs = stage(step(spark, docs, sf_dir))
+    for number, (_, step) in enumerate(stored):
+        kept = stage_alone(spark, lambda: step(spark, docs, sf_dir))
+        if number:
+            release(docs)
+        docs = kept
     return last(spark, docs, sf_dir)
