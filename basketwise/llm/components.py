@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketwise.operators.skew import join_spread
-from basketwise.session import release, stage
+from basketwise.session import BROADCAST_ROWS, release, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,16 +21,21 @@ def components(edges: DataFrame) -> DataFrame:
     linked = edges.select("a", "b").where("a <> b")
     stars = stage(linked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(stars)
+
+    def joined(rows: DataFrame, table: DataFrame) -> DataFrame:
+        # Few edges need no care, and no counts of their own.
+        return rows.join(table, "a") if state[0] <= BROADCAST_ROWS else join_spread(rows, table, ["a"], "inner")
+
     while True:
         both = stars.unionAll(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")))
-        large = join_spread(both.where("b > a"), lowest, ["a"], "inner").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        large = joined(both.where("b > a"), lowest).select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = stage(large.where("a <> b").distinct())
-        least = stage(large.groupBy("a").agg(F.min("b").alias("low")))
-        small = join_spread(large, least, ["a"], "inner").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("low"))
+        small = joined(large, least).where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         old = stars
         stars = stage(small.unionAll(least.select("a", F.col("low").alias("b"))).distinct())
-        release(lowest, large, least, old)
+        release(large, old)
         before, state = state, _state(stars)
         if state == before:
             break

@@ -44,10 +44,10 @@ from pyspark.sql import functions as F
 from basketwise.llm.components import components
 from basketwise.llm.text import byte_slices, in_batches, mix, shingle_sets, text_or_empty, without_ids
 from basketwise.operators.skew import join_spread
-from basketwise.session import release, stage
+from basketwise.session import fits_broadcast, release, stage
 
 THRESHOLD = 80
-COUNTERS = 64
+COUNTERS = 16
 LEAST_BITS, MOST_BITS = 16, 26
 CHUNK_BITS = 16
 # Counters stop here; more frequent shingles are ordered by their hash.
@@ -155,24 +155,26 @@ def _new_names(named: DataFrame) -> dict:
 
 
 def _prefix_pass(shared, threshold: int):
-    """Per document: name, size, prefix and name of the prefix of its set."""
+    """Per document: its number, and name, size, prefix and name of the prefix of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, renamed, name_bits = shared.value
         shift = np.uint64(64 - (len(counts).bit_length() - 1))
         for batch in batches:
-            for _, _, data, offsets in byte_slices(batch.column("text")):
+            numbers = batch.column("doc_id").to_pylist()
+            for first, _, data, offsets in byte_slices(batch.column("text")):
                 rows = []
-                for hashes in shingle_sets(data, offsets):
+                for number, hashes in zip(numbers[first:], shingle_sets(data, offsets)):
                     if not len(hashes):
                         continue
                     size = len(hashes) - needed(len(hashes), threshold) + 1
                     order = np.lexsort((hashes, counts[hashes >> shift]))[:size]
                     prefix = hashes[order]
-                    rows.append((set_id(hashes, renamed, name_bits), len(hashes), *set_name(np.sort(prefix)), prefix.astype(np.int64)))
-                ids, sizes, names, checks, prefixes = zip(*rows) if rows else ((), (), (), (), ())
-                columns = [*(pa.array(c, pa.int64()) for c in (ids, sizes, names, checks)), pa.array(list(prefixes), pa.list_(pa.int64()))]
-                yield pa.record_batch(columns, names=["set_id", "n", "prefix_id", "prefix_check", "prefix"])
+                    names = (set_id(hashes, renamed, name_bits), len(hashes), *set_name(np.sort(prefix)))
+                    rows.append((number, *names, prefix.astype(np.int64)))
+                *longs, prefixes = zip(*rows) if rows else [()] * 6
+                columns = [*(pa.array(c, pa.int64()) for c in longs), pa.array(list(prefixes), pa.list_(pa.int64()))]
+                yield pa.record_batch(columns, names=["doc_id", "set_id", "n", "prefix_id", "prefix_check", "prefix"])
 
     return run
 
@@ -315,7 +317,9 @@ class _Verifier:
             _wanted_pass(shared), "doc_id long, set_id long, hashes binary"
         )
         # A repeated document gives its set again, which changes nothing.
-        located = found.join(wanted, ["set_id", "doc_id"]).select("hub", "block", "member", "set_id", "hashes")
+        # A list of checked size is sent to the sets, so that they are shuffled once.
+        places = F.broadcast(wanted) if fits_broadcast(wanted) else wanted
+        located = found.join(places, ["set_id", "doc_id"]).select("hub", "block", "member", "set_id", "hashes")
         located = located.repartition("hub", "block").sortWithinPartitions("hub", "block", "member")
         edges = stage(located.transform(in_batches).mapInArrow(_linked(self.threshold), "a long, b long"))
         release(degrees, sided, blocks, wanted)
@@ -350,19 +354,26 @@ def similarity_classes(docs: DataFrame, threshold: int = THRESHOLD, name_bits: i
     )
     prefixes = stage(
         texts.where("doc_id is not null")
-        .select("text")
         .transform(in_batches)
-        .mapInArrow(_prefix_pass(counters, threshold), "set_id long, n long, prefix_id long, prefix_check long, prefix array<long>")
+        .mapInArrow(_prefix_pass(counters, threshold), "doc_id long, set_id long, n long, prefix_id long, prefix_check long, prefix array<long>")
     )
     # A group is named by its smallest member.
     group = ["n", "prefix_id", "prefix_check"]
-    groups = prefixes.groupBy(*group).agg(F.min("set_id").alias("group_id"), F.first("prefix").alias("prefix"))
     members = prefixes.groupBy("set_id", *group).agg(F.lit(1).alias("one"))
     names = members.groupBy(*group).agg(F.min("set_id").alias("group_id"))
     members = stage(members.join(names, group).select("set_id", "group_id", "n"))
+    # One document has the prefix of its whole group. The others are few unless most
+    # documents are copies; prefixes are shuffled only if they are many.
+    heads = members.where("set_id = group_id").select("set_id").join(sets.select("set_id", "doc_id"), "set_id")
+    others = stage(prefixes.select("doc_id", "set_id").join(heads, ["doc_id", "set_id"], "left_anti").distinct())
+    if fits_broadcast(others):
+        chosen = prefixes.join(F.broadcast(others), ["doc_id", "set_id"], "left_anti")
+    else:
+        chosen = prefixes.join(heads, ["doc_id", "set_id"], "left_semi")
     # Size and place in one number, that postings are sorted by.
     placed = (F.col("n") * PLACE_SPAN + F.col("place")).alias("at")
-    postings = groups.select("group_id", "n", F.posexplode("prefix").alias("place", "shingle")).select("shingle", placed, "group_id")
+    postings = chosen.select(F.col("set_id").alias("group_id"), "n", F.posexplode("prefix").alias("place", "shingle"))
+    postings = postings.select("shingle", placed, "group_id")
     sorted_ = postings.repartitionByRange("shingle", "at", "group_id").sortWithinPartitions("shingle", "at", "group_id")
     size = F.floor(F.col("at") / PLACE_SPAN)
     posted = stage(
@@ -370,7 +381,7 @@ def similarity_classes(docs: DataFrame, threshold: int = THRESHOLD, name_bits: i
             "shingle", "group_id", size.alias("n"), (F.col("at") - size * PLACE_SPAN).alias("place")
         )
     )
-    release(prefixes)
+    release(prefixes, others)
     # How many shingles each group shares with others.
     meets = posted.groupBy("group_id").agg(F.count("*").alias("meets"))
     shared = stage(posted.join(meets, "group_id"))

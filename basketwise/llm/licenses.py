@@ -171,7 +171,6 @@ SPDX_OLD = {
 LINES = r"[.!?;:]\s|[.!?;:]$|\n"
 PARAGRAPHS = r"[.!?;:]\s|[.!?;:]$|\n\n"
 OTHER = "[^a-z0-9]+"
-NUMBERS = {name: str(k) for k, name in enumerate(SENTENCES, 1)}
 
 
 def contained(short: Sequence[str], long: Sequence[str]) -> bool:
@@ -180,11 +179,6 @@ def contained(short: Sequence[str], long: Sequence[str]) -> bool:
     return len(short) < len(long) and all(name in rest for name in short)
 
 
-def rule_pattern(names: list[str]) -> str:
-    """A pattern for the numbers of a text, each between commas."""
-    return "," + ",(?:[0-9]+,)*".join(NUMBERS[name] for name in names) + ","
-
-
 def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(sentence, OTHER, " "))
 

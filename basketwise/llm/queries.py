@@ -160,29 +160,65 @@ JOIN (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id) USING
 
 
 def _license_sql() -> str:
-    """The scan with the same tables of sentences and rules."""
-
-    def ids(ends: str) -> str:
-        parts = f"list_transform(regexp_split_to_array(lower(coalesce(text, '')), '{ends}'), lambda s: trim(regexp_replace(s, '{licenses.OTHER}', ' ', 'g')))"
-        names = "[" + ", ".join(f"'{s}'" for s in licenses.SENTENCES.values()) + "]"
-        places = f"list_filter(list_transform({parts}, lambda s: list_position({names}, s)), lambda n: n > 0)"
-        return f"',' || array_to_string(list_transform({places}, lambda n: n || ','), '')"
-
-    def matched(names: list[str]) -> str:
-        return f"regexp_matches(ids, '{licenses.rule_pattern(names)}')"
+    """The scan with the same tables: both readings of a text, all rules, and lines with an SPDX tag."""
+    sentences, rules = licenses.DEFAULT_SENTENCES, licenses.DEFAULT_RULES
+    numbers = {name: k for k, name in enumerate(sentences, 1)}
+
+    def text(value: str) -> str:
+        return "'" + value.replace("'", "''") + "'"
+
+    def number(sentence: str) -> str:
+        whole = "[" + ", ".join(text(s) for s in sentences.values()) + "]"
+        found = [f"list_position({whole}, {sentence})"]
+        for k, known in enumerate(sentences.values(), 1):
+            if "*" in known:
+                words = ".*".join(part for part in known.split("*"))
+                # One star stands for one character at least, more of them for any.
+                words = f"^{words}$" if known.count("*") > 1 else f"^{words.replace('.*', '.+')}$"
+                found.append(f"CASE WHEN regexp_matches({sentence}, {text(words)}) THEN {k} END")
+        return f"coalesce({', '.join(found)})"
+
+    plain = f"trim(regexp_replace({{}}, '{licenses.OTHER}', ' ', 'g'))"
+    lines = f"list_transform(string_split(s, chr(10)), lambda l: {number(plain.format('l'))})"
+    known_lines = f"list_filter({lines}, lambda n: n IS NOT NULL)"
+    whole = f"list_filter([{number(plain.format('s'))}], lambda n: n IS NOT NULL)"
+
+    def times(names) -> str:
+        wanted = [numbers[name] for name in names]
+        size, places = len(wanted), "[" + ", ".join(map(str, wanted)) + "]"
+        back = f"n - n % {size} + (k = {wanted[0]})::BIGINT" if isinstance(names, tuple) else "n"
+        step = f"CASE WHEN k = {places}[n % {size} + 1] THEN n + 1 ELSE {back} END"
+        return f"(list_reduce(list_concat([0::BIGINT], ids), lambda n, k: {step}) // {size})"
+
+    nested = {k: [j for j, (_, other) in enumerate(rules) if licenses.contained(names, other)] for k, (_, names) in enumerate(rules)}
+
+    def own(chosen: list[int]) -> str:
+        parts = []
+        for j in chosen:
+            inner = [i for i in nested[j] if i in chosen]
+            parts.append(f"(t{j} - {own(inner)})" if inner else f"t{j}")
+        return "(" + " + ".join(parts) + ")"
 
     found = []
-    for licence, names in licenses.RULES:
-        longer = [other for _, other in licenses.RULES if licenses.contained(names, other)]
-        tests = [matched(names), *[f"NOT {matched(other)}" for other in longer]]
-        found.append(f"CASE WHEN {' AND '.join(tests)} THEN '{licence}' END")
-    count = "(len(regexp_extract_all({}, ',')) - 1)"
+    for k, (licence, _) in enumerate(rules):
+        taken = f" - {own(nested[k])}" if any(rules[j][0] != licence for j in nested[k]) else ""
+        found.append(f"CASE WHEN t{k}{taken} > 0 THEN {text(licence)} END")
+    spelling = {licence.lower(): licence for licence, _ in rules} | {old.lower(): new for old, new in licenses.SPDX_OLD.items()}
+    spelled = "MAP {" + ", ".join(f"{text(k)}: {text(v)}" for k, v in spelling.items()) + "}"
+    line = r"regexp_replace(regexp_replace(l, '[()]', ' ', 'g'), '(?i)[ \t]+with[ \t]+[^ \t]+', ' ', 'g')"
+    names = rf"list_filter(regexp_split_to_array({line}, '(?i)[ \t]+(?:and|or)[ \t]+|[ \t]+'), lambda x: x <> '')"
+    tagged = f"flatten(list_transform(regexp_extract_all(text, '{licenses.SPDX_LINE}', 1), lambda l: {names}))"
     return f"""
-WITH read AS (SELECT doc_id, {ids(licenses.LINES)} AS lines, {ids(licenses.PARAGRAPHS)} AS paragraphs FROM documents),
-chosen AS (SELECT doc_id, CASE WHEN {count.format('paragraphs')} > {count.format('lines')} THEN paragraphs ELSE lines END AS ids FROM read)
-SELECT doc_id, {count.format('ids')}::BIGINT AS n_sentences, ids AS sentence_ids,
-  coalesce(array_to_string(list_sort(list_distinct(list_filter([{', '.join(found)}], lambda x: x IS NOT NULL))), ','), '') AS licenses
-FROM chosen"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+parts AS (SELECT *, regexp_split_to_array(lower(text), '{licenses.PARAGRAPHS}') AS sentences FROM d),
+read AS (SELECT doc_id, flatten(list_transform(sentences, lambda s: CASE WHEN contains(s, chr(10))
+    THEN list_concat(list_filter({whole}, lambda n: NOT list_contains({known_lines}, n)), {known_lines}) ELSE {whole} END)) AS ids,
+  CASE WHEN contains(lower(text), '{licenses.SPDX_TAG}')
+    THEN list_transform({tagged}, lambda n: coalesce({spelled}[lower(n)], n)) ELSE [] END AS named FROM parts),
+met AS (SELECT *, {', '.join(f'{times(rule)} AS t{k}' for k, (_, rule) in enumerate(rules))} FROM read)
+SELECT doc_id, len(ids)::BIGINT AS n_sentences, ',' || array_to_string(list_transform(ids, lambda n: n || ','), '') AS sentence_ids,
+  array_to_string(list_sort(list_distinct(list_concat(list_filter([{', '.join(found)}], lambda x: x IS NOT NULL), named))), ',') AS licenses
+FROM met"""
 
 
 ORACLES["op7_license_scan"] = _license_sql()

@@ -81,6 +81,17 @@ def test_quality_finds_bad_documents_and_keeps_clean_ones(spark):
 END, BLANK = chr(toxicity.END), chr(toxicity.BLANK)
 
 
+def test_quality_of_documents_it_has_not_seen(spark):
+    folder = DATA.replace("0.001", "0.1")
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    tested = labels.where(held_out(F.col("doc_id")) & F.col("quality").isNotNull())
+    model = quality.fit(docs, labels.where(~held_out(F.col("doc_id"))))
+    judged = quality.with_verdict(docs.join(tested, "doc_id"), model).where("not verdict.base_failed")
+    found = {(r.quality, r.kept): r["count"] for r in judged.groupBy("quality", F.col("verdict.kept").alias("kept")).count().collect()}
+    assert found.get((0, True), 0) <= 0.05 * found[0, False] and found[0, False] > 40
+    assert found.get((1, False), 0) <= 0.01 * found[1, True] and found[1, True] > 400
+
+
 def gapped(text):
     """Weights of all subsequences by position; blanks take a place but are no characters."""
     marked, found = chr(toxicity.START) + text, Counter()

@@ -203,6 +203,7 @@ def test_contained_items_equal_brute_force(spark):
         at = pick.randrange(len(text) + 1)
         docs.append((k, " ".join(text[:at] + [w.upper() for w in passage] + text[at:])))
     docs += [(None, docs[3][1]), (3, docs[3][1]), (200, None)]
+    docs.append((201, " ".join(f"q{pick.randrange(500)}" for _ in range(30_000)) + " " + items[2][1] + " q1 " + items[4][1]))
     table = spark.createDataFrame(items, "item_id long, text string")
     want = items_in(docs, items)
     assert len(want) > 20

@@ -4,14 +4,16 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from basketwise.llm import chat, licenses, sharding, token_rollup
-from basketwise.llm.queries import PROBE
+from basketwise.llm.queries import ORACLES, PROBE
 from tests.llm.helpers import awkward, documents
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -252,6 +254,23 @@ def test_license_rules(spark):
     assert rows[5].sentence_ids == ","
 
 
+def test_sql_of_the_scan_has_all_sentences_and_rules(spark):
+    """The operator and its SQL on texts made of known sentences and tags in any order."""
+    pick = random.Random(4)
+    known = [s.replace("*", "some name") for s in licenses.DEFAULT_SENTENCES.values()]
+    tags = ["SPDX-License-Identifier: MIT", "// spdx-license-identifier: (mit OR GPL-2.0+) AND Foo-1.0", "SPDX-License-Identifier: GPL-3.0 WITH x"]
+    texts = [". ".join(pick.choice(known) for _ in range(pick.randrange(1, 6))) + "." for _ in range(150)]
+    texts += ["\n".join(pick.choice([*known, *tags, "x", ""]) for _ in range(pick.randrange(1, 7))) for _ in range(150)]
+    texts += [s.replace(" ", "\n", 3) for s in known] + [None, "", "\n", MIT]
+    frame = documents(spark, enumerate(texts))
+    found = sorted(tuple(r) for r in licenses.scan(frame).collect())
+    connection = duckdb.connect()
+    table = pa.table({"doc_id": list(range(len(texts))), "text": texts})
+    connection.register("documents", table)
+    assert sorted(connection.execute(ORACLES["op7_license_scan"]).fetchall()) == found
+    assert len({licence for *_, names in found for licence in names.split(",")}) > 20
+
+
 def test_licenses_of_both_readings_of_a_text_count(spark):
     header = "Title\nLicensed under CC BY 4.0."
     apache = (

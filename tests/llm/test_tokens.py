@@ -138,7 +138,7 @@ def test_short_tiers_are_used_and_full():
         lengths.setdefault((row[4], row[6]), []).append(row[2])
     assert sum(map(sum, lengths.values())) == 770
     assert all(sum(v) == tier or tier == 2048 for (_, tier), v in lengths.items())
-    assert {tier for _, tier in lengths} == {256, 2048} or {tier for _, tier in lengths} == {512, 256, 2048}
+    assert {tier for _, tier in lengths} == {256, 2048}
 
 
 def test_crc_of_ids_is_of_little_endian_words(spark):
