@@ -36,12 +36,33 @@ class Trained:
     test: DataFrame
 
 
-def _fit(df: DataFrame, key: str, strata: str | None, features: list[str], estimator, fill_zero: bool = False) -> Trained:
+def _split(df: DataFrame, key: str, strata: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows, the held-out ones and those to fit on."""
     ensure_checkpoint_dir(df.sparkSession)
     marked = stage(mark_split(df, key, strata))
-    stages = lists.feature_stages(marked, features, fill_zero)
-    model = Pipeline(stages=[*stages, estimator]).fit(marked.where(F.col("is_test") == 0))
-    return Trained(model, marked.drop("is_test"), marked.where(F.col("is_test") == 1).drop("is_test"))
+    return marked.drop("is_test"), marked.where(F.col("is_test") == 1).drop("is_test"), marked.where(F.col("is_test") == 0)
+
+
+def split_churn(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return _split(df, "hshd_num", CHURN_LABEL)[:2]
+
+
+def split_clv(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return _split(df, "hshd_num", None)[:2]
+
+
+def split_pairs(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return _split(_with_pair_key(df), "pair_key", None)[:2]
+
+
+def _with_pair_key(df: DataFrame) -> DataFrame:
+    return df.withColumn("pair_key", F.xxhash64("product1", "product2"))
+
+
+def _fit(df: DataFrame, key: str, strata: str | None, features: list[str], estimator, fill_zero: bool = False) -> Trained:
+    data, test, training = _split(df, key, strata)
+    stages = lists.feature_stages(data, features, fill_zero)
+    return Trained(Pipeline(stages=[*stages, estimator]).fit(training), data, test)
 
 
 def train_churn(
@@ -84,8 +105,7 @@ def train_pair_model(
     estimator = GBTRegressor(
         labelCol=PAIR_LABEL, maxIter=trees, stepSize=rate, maxDepth=depth, maxMemoryInMB=1024, seed=seed
     )
-    keyed = df.withColumn("pair_key", F.xxhash64("product1", "product2"))
-    return _fit(keyed, "pair_key", None, lists.pair_features(df), estimator, fill_zero=True)
+    return _fit(_with_pair_key(df), "pair_key", None, lists.pair_features(df), estimator, fill_zero=True)
 
 
 def score_churn(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from basketwise.functions.dates import days_between
 from basketwise.operators.columns import columns_with_prefix, dept_column
 from basketwise.operators.dimension import sum_by_dimension
 from basketwise.operators.ranking import exact_quantiles
-from basketwise.schema import MONEY_TOTAL
+from basketwise.schema import MONEY_TOTAL, MONTH
 from basketwise.session import stage
 
 WINDOW_DAYS = 90
@@ -52,12 +52,18 @@ def _cutoff_date(transactions: DataFrame, days: int) -> Column:
 
 
 def split_period(transactions: DataFrame, days: int = WINDOW_DAYS) -> tuple[DataFrame, DataFrame]:
-    """Lines up to the cutoff, cutoff included, and lines after it."""
+    """Lines up to the cutoff, cutoff included, and lines after it.
+
+    Of lines stored by month, the months outside a window are not read: the cutoff is
+    known before the scan starts.
+    """
     last_day = _cutoff_date(transactions, days)
-    return (
-        transactions.where(F.col("purchase_date") <= last_day),
-        transactions.where(F.col("purchase_date") > last_day),
-    )
+    date = F.col("purchase_date")
+    if MONTH not in transactions.columns:
+        return transactions.where(date <= last_day), transactions.where(date > last_day)
+    last_month = cutoff(transactions, days).select(F.trunc("cutoff_date", "month")).scalar()
+    lines = transactions.where(F.col(MONTH) <= last_month).drop(MONTH), transactions.where(F.col(MONTH) >= last_month).drop(MONTH)
+    return lines[0].where(date <= last_day), lines[1].where(date > last_day)
 
 
 def _household_totals(transactions: DataFrame, days: int) -> DataFrame:
@@ -221,41 +227,50 @@ def category_spend(lines: DataFrame, products: DataFrame, **options) -> DataFram
     )
 
 
-def department_columns(lines: DataFrame, products: DataFrame, limit: int = MAX_DEPARTMENTS) -> list[str]:
-    """Sorted feature names of the departments that occur in the lines.
-
-    The names become columns, so there must be few; more than `limit` raises.
-    """
-    sold = lines.where(F.col("hshd_num").isNotNull()).select("product_num").distinct()
-    names = (
-        products.where(F.col("department").isNotNull())
-        .join(sold, "product_num", "left_semi")
-        .select(dept_column(F.col("department")).alias("name"))
-        .distinct()
-        .limit(limit + 1)
-        .collect()
-    )
-    if len(names) > limit:
-        raise ValueError(f"more than {limit} departments; pass the ones to keep")
-    return sorted(row["name"] for row in names)
+def _department_names(spend: DataFrame, limit: int | None) -> list[str]:
+    found = spend.select("column").distinct()
+    names = (found if limit is None else found.limit(limit + 1)).collect()
+    if limit is not None and len(names) > limit:
+        raise ValueError(f"more than {limit} departments; pass the ones to keep, or use category_map")
+    return sorted(row["column"] for row in names)
 
 
 def category_pivot(
-    lines: DataFrame, products: DataFrame, columns: Sequence[str] | None = None, **options
+    lines: DataFrame,
+    products: DataFrame,
+    columns: Sequence[str] | None = None,
+    limit: int | None = MAX_DEPARTMENTS,
+    **options,
 ) -> DataFrame:
     """Department spend as one column per department, 0 where none was bought.
 
     Departments are grouped by their column name, so names that differ only in
-    case or blanks share one column.
+    case or blanks share one column. Without `columns` the names are those that occur in
+    the lines, which are summed once and stored; more than `limit` of them raise, as
+    each becomes a column. `category_map` has no such bound.
     """
-    columns = department_columns(lines, products) if columns is None else list(columns)
     spend = category_spend(lines, products, **options).withColumn("column", dept_column(F.col("department")))
+    if columns is None:
+        spend = stage(spend)
+        columns = _department_names(spend, limit)
+    columns = list(columns)
     pivot = spend.groupBy("hshd_num").pivot("column", columns).agg(F.sum("category_spend"))
     return pivot.select(
         "hshd_num", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast(MONEY_TOTAL).alias(c) for c in columns]
     )
 
 
+def category_map(lines: DataFrame, products: DataFrame, **options) -> DataFrame:
+    """(hshd_num, department_spend): the pivot as one map from feature name to spend, for any number of departments.
+
+    A household's map holds the departments it bought in; others are absent, not 0.
+    """
+    spend = category_spend(lines, products, **options).withColumn("column", dept_column(F.col("department")))
+    named = spend.groupBy("hshd_num", "column").agg(F.sum("category_spend").cast(MONEY_TOTAL).alias("spend"))
+    entries = F.sort_array(F.collect_list(F.struct("column", "spend")))
+    return named.groupBy("hshd_num").agg(F.map_from_entries(entries).alias("department_spend"))
+
+
 def future_spend(transactions: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
     """Spend per household after the cutoff."""
     _, evaluation = split_period(transactions, days)

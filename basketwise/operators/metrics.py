@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,9 @@ from basketwise.session import stage
 TIERS = ["Bronze", "Silver", "Gold", "Platinum"]
 QUARTILES = [0.25, 0.5, 0.75]
 
+# Counters of the binned area under the ROC curve.
+AUC_BINS = 10_000
+
 
 def _correlation(x: Column, y: Column) -> Column:
     """Pearson over the rows where both are known; null where either is constant."""
@@ -196,6 +199,32 @@ def roc_auc(df: DataFrame, label: str, score: str, ranges: int | None = None) ->
     )
 
 
+def roc_auc_binned(df: DataFrame, label: str, score: str, bins: int = AUC_BINS) -> DataFrame:
+    """One row: the area under the ROC curve in memory of `bins` counters, and how far it may be off.
+
+    The range of the scores is cut into equal bins; positives and negatives of one bin
+    count half, so each such pair of different scores is wrong by half at most: `bound`.
+    Null and NaN scores are left out. Null when the labels are all alike.
+    """
+    number = F.col(score).cast("double")
+    known = df.where(number.isNotNull() & ~F.isnan(number)).select(number.alias("score"), (F.col(label).cast("int") == 1).cast("bigint").alias("positive"))
+    ends = known.agg(F.struct(F.min("score").alias("low"), F.max("score").alias("high")).alias("ends")).scalar()
+    share = F.try_divide(F.col("score") - F.col("ends.low"), F.col("ends.high") - F.col("ends.low"))
+    place = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int").alias("bin")
+    counted = known.withColumn("ends", ends).groupBy(place).agg(
+        F.sum("positive").alias("p"), F.sum(F.lit(1).cast("bigint") - F.col("positive")).alias("n")
+    )
+    # At most `bins` rows.
+    earlier = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counted.withColumn("below", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    tied = F.col("p").cast("double") * F.col("n").cast("double") / 2
+    pairs = F.sum("p").cast("double") * F.sum("n").cast("double")
+    return ranked.agg(
+        F.try_divide(F.sum(F.col("p").cast("double") * F.col("below").cast("double") + tied), pairs).alias("auc"),
+        F.try_divide(F.sum(tied), pairs).alias("bound"),
+    )
+
+
 def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """One row: mean squared, root mean squared and mean absolute error, and R²."""
     truth, guess = F.col(label).cast("double"), F.col(prediction).cast("double")

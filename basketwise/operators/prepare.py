@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Imputer
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,6 +79,67 @@ def one_hot(
     return df.select(*[F.col(c) for c in df.columns if c not in encoded], *indicators)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sparse_stages(df: DataFrame, columns: Sequence[str], drop_first: bool = True) -> tuple[list, list[str]]:
+    """Pipeline stages that turn text columns of any number of values into sparse 0/1 vectors, and the vectors' names.
+
+    The first value in order is left out with `drop_first`; null, the first value and values
+    not met in fitting give zeros. The values are part of the fitted stages.
+    """
+    firsts = df.agg(*[F.min(c).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    named, indexed, vectors = ([f"{kind} {c}" for c in columns] for kind in ("value", "index", "onehot"))
+    parts = []
+    for i, (c, name) in enumerate(zip(columns, named)):
+        first = firsts[f"c{i}"]
+        value = f"NULLIF({quoted(c)}, {literal(first)})" if drop_first and first is not None else quoted(c)
+        parts.append(f"{value} AS {quoted(name)}")
+    return [
+        SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__"),
+        StringIndexer(inputCols=named, outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"),
+        # The last index stands for null and unknown values.
+        OneHotEncoder(inputCols=indexed, outputCols=vectors, dropLast=True),
+    ], vectors
+
+
+def one_hot_vector(
+    df: DataFrame, columns: Sequence[str], output: str = "encoded", drop_first: bool = True, dummy_na: bool = False
+) -> tuple[DataFrame, PipelineModel]:
+    """`df` with one sparse vector in place of its text columns, as `one_hot` has it in columns, for any number of values.
+
+    With `dummy_na` a last entry per column is 1 for null. Also returns the fitted stages, which
+    encode other rows alike; `vector_names` lists the entries.
+    """
+    encoded = text_columns(df, columns)
+    stages, vectors = sparse_stages(df, encoded, drop_first)
+    inputs = []
+    for c, vector in zip(encoded, vectors):
+        inputs += [vector, f"missing {c}"] if dummy_na else [vector]
+    if dummy_na:
+        flags = ", ".join(f"CAST({quoted(c)} IS NULL AS DOUBLE) AS {quoted(f'missing {c}')}" for c in encoded)
+        stages.append(SQLTransformer(statement=f"SELECT *, {flags} FROM __THIS__"))
+    model = Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol=output)]).fit(df)
+    kept = [quoted(c) for c in df.columns if c not in encoded]
+    return model.transform(df).select(*kept, output), model
+
+
+def vector_names(model: PipelineModel) -> list[str]:
+    """Names of the entries of a vector of `one_hot_vector`, in order."""
+    indexer = next(s for s in model.stages if s.hasParam("stringOrderType"))
+    labels = dict(zip((c.replace("index ", "onehot ", 1) for c in indexer.getOutputCols()), indexer.labelsArray))
+    names = []
+    for c in model.stages[-1].getInputCols():
+        kind, column = c.split(" ", 1)
+        names += [f"{column}_nan"] if kind == "missing" else [f"{column}_{value}" for value in labels[c]]
+    return names
+
+
 def mark_split(df: DataFrame, key: str, strata: str | None = None) -> DataFrame:
     """Add is_test: in each stratum the quarter of the rows with the smallest key hash.
 

@@ -45,6 +45,9 @@ PRODUCTS = T.StructType(
     ]
 )
 
+# The partition column of lines stored by purchase month.
+MONTH = "purchase_month"
+
 TABLES = {"transactions": TRANSACTIONS, "households": HOUSEHOLDS, "products": PRODUCTS}
 
 # Header names of the CSV extracts and the columns they fill.

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketwise.operators.skew import join_spread
+from basketwise.schema import MONTH
 from basketwise.session import stage
 
+# Buckets of lines stored by household.
+BUCKETS = 64
+
 # Reasons of valid rows that are not stored because of their key.
 STORED_KEY, REPEATED_KEY = "key already stored", "key repeated in the file"
 
@@ -41,6 +45,25 @@ def mark_duplicates(df: DataFrame, stored: DataFrame, keys: Sequence[str], reaso
     return marked.select(*columns, F.when(F.col(reason).isNotNull(), F.col(reason)).otherwise(why).alias(reason))
 
 
+def write_by_month(lines: DataFrame, path: str) -> None:
+    """Replace a Parquet table of lines partitioned by purchase month, so that a window of dates reads its months only."""
+    dated = lines.withColumn(MONTH, F.trunc("purchase_date", "month"))
+    dated.write.mode("overwrite").partitionBy(MONTH).parquet(path)
+
+
+def write_by_household(lines: DataFrame, name: str, path: str, buckets: int = BUCKETS) -> DataFrame:
+    """Replace table `name`, its files at `path`, with lines in `buckets` buckets by household, sorted within them.
+
+    What is grouped or joined by household on the returned table needs no shuffle. Another
+    session finds it after `sources.tables.register_by_household`. A bucket is one task:
+    there should be enough of them for the largest household to be a small part of one.
+    """
+    spark = lines.sparkSession
+    dealt = lines.repartition(buckets, "hshd_num")
+    dealt.write.mode("overwrite").bucketBy(buckets, "hshd_num").sortBy("hshd_num", "basket_num").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def append_jdbc(df: DataFrame, options: dict[str, str]) -> None:
     """Append rows to a database table; the caller gives url, dbtable and credentials."""
     df.write.format("jdbc").options(**options).mode("append").save()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basketwise import batches
-from basketwise.schema import TABLES
+from basketwise.schema import MONTH, TABLES
 from basketwise.session import hadoop_path
 
 # Database column names that differ from the model's.
@@ -62,6 +62,21 @@ def _read_parts(spark: SparkSession, paths: list[str], schema: T.StructType) ->
     return spark.read.schema(schema).parquet(*present) if present else spark.createDataFrame([], schema)
 
 
+def read_by_month(spark: SparkSession, path: str) -> DataFrame:
+    """Lines stored by month, with their month; `customers.split_period` reads the months of its window only."""
+    return spark.read.schema(T.StructType([*TABLES["transactions"].fields, T.StructField(MONTH, T.DateType())])).parquet(path)
+
+
+def register_by_household(spark: SparkSession, name: str, path: str, buckets: int) -> DataFrame:
+    """Make the bucketed files at `path`, written by any session, table `name` of this one."""
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in TABLES["transactions"].fields)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
+        f"CLUSTERED BY (hshd_num) SORTED BY (hshd_num, basket_num) INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    return spark.table(name)
+
+
 def jdbc_options(options: Mapping[str, str], kind: str) -> dict[str, str]:
     """Shared options plus those of one table; the table name defaults to its kind."""
     shared = {key: value for key, value in options.items() if key.split(".", 1)[0] not in TABLES}
