@@ -46,6 +46,9 @@ HEADLINE = [
     "clv_scores",
 ]
 
+# Queries of models are run again: the first run fits, the second only loads and scores.
+AGAIN = ["churn_scores", "clv_scores"]
+
 
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -62,11 +65,13 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     REGISTERED["commodity_units_spend"](spark, folder).write.format("noop").mode("overwrite").save()
     seconds = {}
-    for name in sys.argv[1:] or HEADLINE:
+    chosen = sys.argv[1:] or HEADLINE
+    for name in [*chosen, *(name for name in AGAIN if name in chosen)]:
+        label = f"{name}_loaded" if name in seconds else name
         started = time.perf_counter()
         REGISTERED[name](spark, folder).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - started, 3)
-        print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
+        seconds[label] = round(time.perf_counter() - started, 3)
+        print(f"{label} {seconds[label]}", file=sys.stderr, flush=True)
     print(
         json.dumps(
             {

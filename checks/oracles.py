@@ -393,6 +393,34 @@ SELECT hshd_num, store_region FROM (
   FROM transactions GROUP BY hshd_num, store_region) ranked
 WHERE place = 1""",
     "customer_features": "SELECT * FROM features",
+    "bucketed_customer_features": "SELECT * FROM features",
+    "training_lines_by_month": "SELECT * FROM training",
+    "evaluation_lines_by_month": "SELECT * FROM evaluation",
+    "loose_baskets": """
+SELECT hshd_num, COUNT(DISTINCT CASE WHEN basket_num % 5 <> 0 THEN basket_num END) AS purchase_count,
+  round(CAST(SUM(spend) AS DOUBLE) / (COUNT(DISTINCT CASE WHEN basket_num % 5 <> 0 THEN basket_num END)
+    + COUNT(*) FILTER (WHERE basket_num % 5 = 0)), 6) AS avg_basket_value
+FROM training GROUP BY hshd_num""",
+    "merged_distinct_counts": """
+SELECT COUNT(DISTINCT hshd_num) AS households, COUNT(*) AS lines, 0 AS baskets_off, 0 AS products_off FROM transactions""",
+    "category_maps": """
+SELECT hshd_num, 'dept_' || replace(lower(department), ' ', '_') AS feature, CAST(SUM(category_spend) AS DECIMAL(38,2)) AS spend
+FROM department_spend GROUP BY hshd_num, feature""",
+    "one_hot_entries": """
+SELECT hshd_num, array_to_string(list_sort(list_filter([
+    CASE WHEN marital_status IS NULL THEN 'marital_status_nan'
+      WHEN marital_status <> (SELECT MIN(marital_status) FROM known_households) THEN 'marital_status_' || marital_status END,
+    CASE WHEN hshd_composition <> (SELECT MIN(hshd_composition) FROM households) THEN 'hshd_composition_' || hshd_composition END],
+  lambda e: e IS NOT NULL)), ',') AS entries
+FROM known_households""",
+    "roc_auc_binned": """
+, score_ends AS (SELECT MIN(purchase_count) AS low, MAX(purchase_count) AS high FROM judged),
+score_bins AS (SELECT least(floor((purchase_count - low) / CAST(high - low AS DOUBLE) * 8), 7) AS bin,
+  SUM(churned) AS p, SUM(1 - churned) AS n FROM judged, score_ends GROUP BY bin),
+running_bins AS (SELECT p, n, SUM(n) OVER (ORDER BY bin) - n AS below FROM score_bins)
+SELECT round(CAST(SUM(p * (below + n / 2e0)) AS DOUBLE) / (SUM(p) * SUM(n)), 9) AS auc,
+  round(CAST(SUM(p * n / 2e0) AS DOUBLE) / (SUM(p) * SUM(n)), 9) AS bound, true AS within
+FROM running_bins""",
     "churned_households": """
 SELECT hshd_num FROM training EXCEPT SELECT hshd_num FROM evaluation""",
     "retained_households": """
@@ -533,6 +561,15 @@ SELECT COUNT(*) AS "rows", COUNT(DISTINCT hshd_num) AS households, 0 AS outside,
     "churn_risk_facts": "SELECT COUNT(DISTINCT hshd_num) AS households, 0 AS out_of_order FROM churn",
     "churn_test_facts": """
 SELECT CAST(churned AS INT) AS label, CAST(ceil(COUNT(*) / 4e0) AS BIGINT) AS "rows" FROM churn GROUP BY churned""",
+    "churn_skill_facts": """
+, churn_scores AS (SELECT purchase_count AS s, SUM(churned) AS pos, SUM(1 - churned) AS neg FROM churn GROUP BY purchase_count),
+running_scores AS (SELECT pos, neg, SUM(neg) OVER (ORDER BY s DESC) - neg AS below FROM churn_scores)
+SELECT CAST(SUM(pos + neg) AS BIGINT) AS households,
+  round(CAST(SUM(pos * (below + neg / 2e0)) AS DOUBLE) / (CAST(SUM(pos) AS DOUBLE) * CAST(SUM(neg) AS DOUBLE)), 9) AS column_auc,
+  true AS better_than_purchases
+FROM running_scores""",
+    "clv_skill_facts": """SELECT CAST(ceil(COUNT(*) / 4e0) AS BIGINT) AS "rows", true AS explains_half FROM clv""",
+    "pair_skill_facts": """SELECT COUNT(*) AS "rows", true AS better_than_mean FROM pair_frame""",
     "churn_importance_facts": "SELECT 1e0 AS total, 0 AS negative, 0 AS out_of_order, 0 AS repeated FROM transactions LIMIT 1",
     "clv_score_facts": """
 SELECT COUNT(*) AS "rows", COUNT(DISTINCT hshd_num) AS households, 0 AS outside, 4 AS tiers,

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 import contextlib
 import uuid
-from functools import lru_cache
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketwise.functions import dates, labels, text
-from basketwise.models import training
-from basketwise.operators import baskets, columns, customers, dashboard, metrics, prepare, profile, ranking
+from basketwise.models import store, training
+from basketwise.operators import baskets, columns, customers, dashboard, metrics, prepare, profile, ranking, sketches
 from basketwise.plans import ingest, jobs
 from basketwise.schema import CSV_NAMES
 from basketwise.session import ensure_checkpoint_dir, stage
-from basketwise.sinks import to_json_records, write_csv
+from basketwise.sinks import to_json_records, write_by_household, write_by_month, write_csv
 from basketwise.sources import star, tables
 from basketwise.sources.csv_files import read_csv_text
 
@@ -447,6 +447,56 @@ def customer_features(spark, folder):
     return customers.customer_features(_stored_lines(spark, folder, *FEATURES))
 
 
+@query
+def bucketed_customer_features(spark, folder):
+    """The same features from lines stored by household."""
+    place = uuid.uuid4().hex
+    lines = star.transactions(spark, folder, FEATURES, even=True)
+    full = lines.withColumns({"week_num": F.lit(None).cast("int"), "year": F.lit(None).cast("int")})
+    return customers.customer_features(write_by_household(full, f"lines_{place}", f"{ensure_checkpoint_dir(spark)}/{place}", 16))
+
+
+def _by_month(spark, folder):
+    place = f"{ensure_checkpoint_dir(spark)}/months-{uuid.uuid4().hex}"
+    write_by_month(_lines(spark, folder, *star.ALL_COLUMNS), place)
+    return tables.read_by_month(spark, place)
+
+
+@query
+def training_lines_by_month(spark, folder):
+    return customers.split_period(_by_month(spark, folder))[0]
+
+
+@query
+def evaluation_lines_by_month(spark, folder):
+    return customers.split_period(_by_month(spark, folder))[1]
+
+
+@query
+def loose_baskets(spark, folder):
+    """Baskets of households when some lines have no basket number."""
+    lines = star.transactions(spark, folder, FEATURES, even=True)
+    loose = lines.withColumn("basket_num", F.when(F.col("basket_num") % 5 != 0, F.col("basket_num")))
+    return _rounded(customers.customer_features(stage(loose)).select("hshd_num", "purchase_count", "avg_basket_value"), 6, "avg_basket_value")
+
+
+@query
+def merged_distinct_counts(spark, folder):
+    """Households whose baskets or products, counted by monthly sketches, are off by more than one and five percent."""
+    lines = _stored_lines(spark, folder, *KEYS, "purchase_date")
+    counts = sketches.merged_counts(stage(sketches.monthly_sketches(lines)))
+    exact = lines.groupBy("hshd_num").agg(
+        F.countDistinct("basket_num").alias("true_baskets"), F.countDistinct("product_num").alias("true_products")
+    )
+
+    def off(name):
+        apart = F.abs(F.col(name) - F.col(f"true_{name}"))
+        return F.count_if((apart > 1) & (apart > 0.05 * F.col(f"true_{name}"))).alias(f"{name}_off")
+
+    both = counts.join(exact, "hshd_num", "full")
+    return both.agg(F.count("lines").alias("households"), F.sum("lines").alias("lines"), off("baskets"), off("products"))
+
+
 @query
 def churned_households(spark, folder):
     return customers.churned_households(_lines(spark, folder, *HISTORY))
@@ -484,6 +534,14 @@ def category_pivot(spark, folder):
     return customers.category_pivot(training_part, star.products(spark, folder))
 
 
+@query
+def category_maps(spark, folder):
+    """The entries of the maps of department spend."""
+    training_part, _ = customers.split_period(_lines(spark, folder, *DEPARTMENT_SPEND))
+    maps = customers.category_map(training_part, star.products(spark, folder))
+    return maps.select("hshd_num", F.explode("department_spend").alias("feature", "spend"))
+
+
 @query
 def future_spend(spark, folder):
     return customers.future_spend(_lines(spark, folder, "hshd_num", "purchase_date", "spend"))
@@ -555,6 +613,19 @@ def one_hot_with_missing(spark, folder):
     return prepare.one_hot(status, ["marital_status"], drop_first=False, dummy_na=True)
 
 
+@query
+def one_hot_entries(spark, folder):
+    """The entries of the sparse vectors of some text columns that are 1, by name."""
+    households = star.households(spark, folder)
+    known = households.withColumn("marital_status", F.nullif(F.col("marital_status"), F.lit("null")))
+    text_columns = ["marital_status", "hshd_composition"]
+    encoded, model = prepare.one_hot_vector(known.select("hshd_num", *text_columns), text_columns, dummy_na=True)
+    names = F.array(*[F.lit(name) for name in prepare.vector_names(model)])
+    entries = F.arrays_zip(names.alias("name"), vector_to_array("encoded").alias("value"))
+    held = F.transform(F.filter(entries, lambda e: e["value"] == 1), lambda e: e["name"])
+    return encoded.select("hshd_num", F.array_join(F.sort_array(held), ",").alias("entries"))
+
+
 @query
 def imputed_products(spark, folder):
     parts = spark.read.parquet(f"{folder}/part.parquet").select(
@@ -625,6 +696,16 @@ def roc_auc(spark, folder):
     return _rounded(metrics.roc_auc(_judged(spark, folder), "churned", "purchase_count"), 9, "auc")
 
 
+@query
+def roc_auc_binned(spark, folder):
+    """The area from a few counters, how far it may be off, and whether the exact one is within that."""
+    judged = stage(_judged(spark, folder))
+    exact = metrics.roc_auc(judged, "churned", "purchase_count").first()["auc"]
+    binned = metrics.roc_auc_binned(judged, "churned", "purchase_count", 8)
+    within = (F.abs(F.col("auc") - F.lit(exact)) <= F.col("bound") + 1e-12).alias("within")
+    return binned.select(F.round("auc", 9).alias("auc"), F.round("bound", 9).alias("bound"), within)
+
+
 @query
 def regression_metrics(spark, folder):
     lines = _stored_lines(spark, folder, *FEATURES)
@@ -832,19 +913,21 @@ def household_labels(spark, folder):
 # --- models -------------------------------------------------------------------------
 
 
-@lru_cache(maxsize=None)
+def _model(spark, kind, frame):
+    """The model of a frame, fitted by the first query that needs it and loaded by the others."""
+    return store.fitted(f"{ensure_checkpoint_dir(spark)}/models", kind, frame)
+
+
 def _churn_model(spark, folder):
-    return training.train_churn(_churn(spark, folder))
+    return _model(spark, "churn", _churn(spark, folder))
 
 
-@lru_cache(maxsize=None)
 def _clv_model(spark, folder):
-    return training.train_clv(_clv(spark, folder))
+    return _model(spark, "clv", _clv(spark, folder))
 
 
-@lru_cache(maxsize=None)
 def _pair_model(spark, folder):
-    return training.train_pair_model(stage(_pair_frame(spark, folder)))
+    return _model(spark, "pair", stage(_pair_frame(spark, folder)))
 
 
 def _probability_facts(scored, score):
@@ -905,6 +988,35 @@ def churn_test_facts(spark, folder):
     return cells.groupBy("label").agg(F.sum("count").alias("rows"))
 
 
+@query
+def churn_skill_facts(spark, folder):
+    """Whether the scores order all households better than their number of purchases does, and how well that does."""
+    trained = _churn_model(spark, folder)
+    scored = stage(training.score_churn(trained.model, trained.data).select("churned", "churn_prob", (-F.col("purchase_count")).alias("fewer")))
+    own, column = (metrics.roc_auc(scored, "churned", name).first()["auc"] for name in ("churn_prob", "fewer"))
+    return scored.agg(
+        F.count("*").alias("households"), F.round(F.lit(column), 9).alias("column_auc"), F.lit(own > column).alias("better_than_purchases")
+    )
+
+
+@query
+def clv_skill_facts(spark, folder):
+    """Whether held-out values are explained by more than half."""
+    trained = _clv_model(spark, folder)
+    scored = trained.model.transform(trained.test)
+    r2 = metrics.regression_metrics(scored, VALUE, "prediction").first()["r2"]
+    return scored.agg(F.count("*").alias("rows"), F.lit(r2 > 0.5).alias("explains_half"))
+
+
+@query
+def pair_skill_facts(spark, folder):
+    """Whether the counts of all pairs are met better than by their mean."""
+    trained = _pair_model(spark, folder)
+    scored = stage(training.score_pairs(trained.model, trained.data).select("normalized_count", "prediction"))
+    r2 = metrics.regression_metrics(scored, "normalized_count", "prediction").first()["r2"]
+    return scored.agg(F.count("*").alias("rows"), F.lit(r2 > 0.001).alias("better_than_mean"))
+
+
 @query
 def churn_importance_facts(spark, folder):
     return _importance_facts(_churn_model(spark, folder))

@@ -85,7 +85,13 @@ def test_clv(history, products):
 def test_too_many_departments_raise(history, products):
     catalog = products([(100, "A", "x"), (101, "B", "x"), (102, "C", "x")])
     with pytest.raises(ValueError, match="departments"):
-        customers.department_columns(history, catalog, limit=2)
+        customers.category_pivot(history, catalog, limit=2)
+    assert len(customers.category_pivot(history, catalog, limit=None).columns) == 4
+    maps = {r["hshd_num"]: r["department_spend"] for r in customers.category_map(history, catalog).collect()}
+    wide = {r["hshd_num"]: r.asDict() for r in customers.category_pivot(history, catalog).collect()}
+    assert {h: {c: m.get(c, 0) for c in ("dept_a", "dept_b", "dept_c")} for h, m in maps.items()} == {
+        h: {c: r[c] for c in ("dept_a", "dept_b", "dept_c")} for h, r in wide.items()
+    }
 
 
 def test_large_and_small_dimensions_agree(history, households, products):

@@ -1,10 +1,11 @@
 import random
+from datetime import date
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from basketwise.operators import metrics, prepare, ranking
+from basketwise.operators import metrics, prepare, ranking, sketches
 from tests.conftest import as_dicts
 
 
@@ -140,6 +141,46 @@ def test_split_keeps_rows_without_a_key(spark):
     assert held.count("half") == 5 and held.count(None) == 2 and len(held) == 7
 
 
+def test_binned_auc_is_within_its_bound(spark):
+    rng = np.random.default_rng(3)
+    truth = rng.integers(0, 2, 3_000)
+    score = np.round(rng.normal(truth, 1.5), 3)
+    frame = spark.createDataFrame([(int(t), float(s)) for t, s in zip(truth, score)] + [(1, None), (0, float("nan"))], "y int, s double")
+    exact = metrics.roc_auc(frame, "y", "s").first()["auc"]
+    last = 1.0
+    for bins in (1, 4, 50, 10_000):
+        row = metrics.roc_auc_binned(frame, "y", "s", bins).first()
+        assert abs(row["auc"] - exact) <= row["bound"] + 1e-12 and row["bound"] <= last
+        last = row["bound"]
+    assert last < 0.001
+    assert metrics.roc_auc_binned(frame.where("y = 1"), "y", "s").first()["auc"] is None
+
+
+def test_sketches_merge(spark, lines):
+    rows = [(h, b, f"2018-{m:02d}-01", p, 1, 1, "r") for h in (1, 2) for m in (1, 2, 3) for b in range(40 * h) for p in (b % 7, m)]
+    rows += [(None, 1, "2018-01-01", 1, 1, 1, "r"), (1, None, "2018-01-05", None, 1, 1, "r")]
+    stored = sketches.monthly_sketches(lines(rows))
+    assert stored.count() == 6
+    found = {r["hshd_num"]: tuple(r)[1:] for r in sketches.merged_counts(stored, date(2018, 1, 15), date(2018, 2, 1)).collect()}
+    assert found == {1: (161, 40, 7), 2: (320, 80, 7)}
+
+
+def test_wide_one_hot_vectors(spark):
+    frame = spark.range(60_000).select(
+        F.col("id").alias("n"), F.when(F.col("id") % 11 > 0, F.concat(F.lit("it's \\ "), F.col("id") % 50_000)).alias("c")
+    )
+    encoded, model = prepare.one_hot_vector(frame, ["c", "n"], dummy_na=True)
+    names = prepare.vector_names(model)
+    values = frame.select("c").dropna().distinct().count()
+    assert len(names) == values and names[-1] == "c_nan" and values > 45_000
+    first = frame.agg(F.min("c")).first()[0]
+    for row in encoded.where("n in (0, 1, 55, 59999)").join(frame, "n").collect():
+        held = [names[k] for k in row["encoded"].indices]
+        assert held == (["c_nan"] if row["c"] is None else [] if row["c"] == first else [f"c_{row['c']}"])
+    unseen = model.transform(spark.createDataFrame([("new", 1)], "c string, n long")).first()
+    assert len(unseen["encoded"].indices) == 0
+
+
 def test_one_hot(spark):
     frame = spark.createDataFrame([("b", 1), ("a", 2), (None, 3), ("it's", 4)], "c string, n int")
     rows = as_dicts(prepare.one_hot(frame, ["c", "n"]).orderBy("n"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketwise.models import features as lists
-from basketwise.models import training
+from basketwise.models import store, training
 from basketwise.operators import baskets
 from basketwise.plans import jobs
 from basketwise.session import stage
@@ -97,3 +97,43 @@ def test_jobs(spark, tmp_path):
     names = lists.feature_names(pair.model)
     assert names[-3:] == lists.PAIR_COMBINED and "p1_avg_spend" in names and "p1_department" not in names
     assert training.score_pairs(pair.model, pair.test).where(F.col("prediction").isNull()).isEmpty()
+
+
+def test_fitted_models_are_found_again(churn_frame, trained, tmp_path, monkeypatch):
+    folder, fits = str(tmp_path), []
+
+    def train(df, **settings):
+        fits.append(settings)
+        return training.train_churn(df, **settings)
+
+    monkeypatch.setitem(store.KINDS, "churn", (train, training.split_churn))
+    first = store.fitted(folder, "churn", churn_frame, trees=2, depth=2)
+    again = store.fitted(folder, "churn", churn_frame.repartition(3).select("*"), trees=2, depth=2)
+    assert len(fits) == 1
+    scores = [training.score_churn(t.model, t.test).select("hshd_num", "churn_prob") for t in (first, again)]
+    assert scores[0].exceptAll(scores[1]).isEmpty() and scores[0].count() == scores[1].count() > 0
+    store.fitted(folder, "churn", churn_frame, trees=3, depth=2)
+    changed = churn_frame.withColumn("children", F.when(F.col("hshd_num") == 5, F.lit(7)).otherwise(F.col("children")))
+    store.fitted(folder, "churn", changed, trees=2, depth=2)
+    assert len(fits) == 3
+
+
+def test_a_column_of_thousands_of_values_is_trained_on(spark, tmp_path):
+    rng = random.Random(2)
+    rows = []
+    for n in range(6_000):
+        name = f"area {n % 2_900}"
+        rows.append((n, rng.randrange(1, 30), name if n % 50 else None, int(n % 2_900 < 1_000 and n % 3 > 0)))
+    frame = spark.createDataFrame(rows, "hshd_num bigint, purchase_count int, age_range string, churned int")
+    rest = {c: F.col("purchase_count").cast("double") for c in lists.CHURN_NUMERIC if c not in frame.columns}
+    found = training.train_churn(stage(frame.withColumns(rest)), trees=1, depth=2)
+    names = lists.feature_names(found.model)
+    scored = training.score_churn(found.model, found.test)
+    vector = found.model.transform(found.test).select("features").first()[0]
+    known = sorted(r.age_range for r in frame.select("age_range").dropna().distinct().collect())
+    assert len(known) > 2_800 and len(names) == vector.size == 9 + len(known) - 1 and len(vector.indices) <= 10
+    assert names[9:] == [f"age_range_{value}" for value in known[1:]]
+    training.save_model(found.model, str(tmp_path / "model"))
+    loaded = training.load_model(str(tmp_path / "model"))
+    strange = found.test.withColumn("age_range", F.lit("never seen"))
+    assert training.score_churn(loaded, strange).where("churn_prob is null").isEmpty() and scored.count() == 1_500

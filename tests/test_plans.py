@@ -8,7 +8,9 @@ import pytest
 
 from basketwise.operators import baskets, customers, dashboard
 from basketwise.session import STAGED, drop_staged, ensure_checkpoint_dir, spread, stage
+from basketwise.sinks import write_by_household, write_by_month
 from basketwise.sources import star
+from basketwise.sources.tables import read_by_month, register_by_household
 from tests.conftest import DATA
 
 
@@ -67,6 +69,42 @@ def test_totals_are_combined_before_the_shuffle(stored):
     assert "partial_sum" in plan
 
 
+def test_lines_stored_by_household_are_not_shuffled_by_household(spark, stored, tmp_path):
+    """At most three scans beside those of the cutoff, and no exchange, for all features."""
+    table = write_by_household(stored, "bucketed_lines", f"{tmp_path}/lines", 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        features = customers.customer_features(table)
+        main, *subqueries = plan_of(features).split("===== Subqueries =====")[0].split("== Physical Plan ==")[1].split("\n\n")
+        assert "Exchange" not in main and main.count("Scan parquet") <= 3
+        again = register_by_household(spark.newSession(), "other_name", f"{tmp_path}/lines", 8)
+        assert sorted(map(str, customers.customer_features(again).collect())) == sorted(map(str, customers.customer_features(stored).collect()))
+        assert "Exchange" not in plan_of(again.groupBy("hshd_num").count())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE bucketed_lines")
+
+
+def test_months_outside_a_window_are_not_read(spark, stored, tmp_path):
+    write_by_month(stored, f"{tmp_path}/lines")
+    lines = read_by_month(spark, f"{tmp_path}/lines")
+    months = lines.select("purchase_month").distinct().count()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        read = []
+        for window, plain in zip(customers.split_period(lines), customers.split_period(stored)):
+            assert window.columns == plain.columns
+            assert window.count() == plain.count()
+            rows = window.select("hshd_num")
+            rows.collect()
+            scan = rows._jdf.queryExecution().executedPlan().collectLeaves().head()
+            read.append(scan.metrics().apply("numPartitions").value())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # The month of the cutoff is in both.
+    assert sum(read) == months + 1 and read[1] <= 5 < read[0]
+
+
 def test_spread_leaves_wide_scans_alone(spark, stored):
     wide = spark.range(0, 100, 1, 16)
     assert spread(wide, "id") is wide
