@@ -1,9 +1,11 @@
 import random
 from collections import Counter
+from functools import partial
 from itertools import combinations
 
 import pytest
 
+from basketwise import session
 from basketwise.operators import baskets
 from tests.conftest import as_dicts
 
@@ -143,3 +145,17 @@ def test_pair_lookup_in_either_order(spark, three_pairs):
     assert as_counts(baskets.pair_lookup(three_pairs, wanted)) == {(1, 2): 4, (2, 3): 2}
     strengths = {(r["product1"], r["product2"]): r["normalized_count"] for r in baskets.pair_strengths(three_pairs, wanted).collect()}
     assert strengths == {(1, 2): 1.0, (2, 3): 0.5}
+
+
+def test_partitions_grow_with_the_lines(spark, lines, monkeypatch):
+    """A task gets about so many rows, however many there are."""
+    monkeypatch.setattr(baskets, "dealt_by_rows", partial(session.dealt_by_rows, task_rows=60))
+    rng = random.Random(3)
+    rows = [(basket % 50, basket, "2018-01-01", rng.randrange(40), 1, 1, "r") for basket in range(600) for _ in range(3)]
+    frame = lines(rows)
+    assert as_counts(baskets.basket_pairs(frame)) == brute_pairs(rows)
+    least = len(rows) // 60
+    assert baskets.basket_items(frame).rdd.getNumPartitions() == least
+    assert baskets._paired(frame, baskets.BLOCK_PRODUCTS).rdd.getNumPartitions() >= least
+    empty = lines([])
+    assert baskets.basket_pairs(empty).isEmpty() and baskets.multi_item_baskets(empty).isEmpty()
