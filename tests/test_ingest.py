@@ -231,3 +231,17 @@ def test_out_of_range_is_rejected(spark):
     assert good.count() == 0
     assert sorted(r["reject_reason"] for r in as_dicts(rejects)) == ["spend out of range", "units out of range"]
     assert rejects.where(F.col("spend").isNull()).count() == 0
+
+
+def test_the_reject_test_stays_above_the_joins(spark):
+    """Its columns would be converted anew in the condition of the join."""
+    numbers = spark.range(20).select(F.col("id").cast("string").alias("basket_num"), (F.col("id") % 4).alias("key"))
+    homes = spark.range(4).select(F.col("id").alias("key"), F.when(F.col("id") > 0, F.col("id").cast("string")).alias("hshd_num"))
+    raw = numbers.join(homes, "key").drop("key").withColumns(
+        {c: F.lit("2018-01-01" if c == "purchase_date" else "1") for c in ("purchase_date", "product_num", "spend", "units", "store_region", "week_num", "year")}
+    )
+    good, rejects = ingest.split_valid(ingest.type_rows(raw, "transactions"))
+    assert good.count() == 15 and {r.reject_reason for r in rejects.collect()} == {"hshd_num missing or unreadable"}
+    for frame in (good, rejects):
+        joins = [line for line in frame._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join " in line]
+        assert joins and not any("RLIKE" in line for line in joins)
