@@ -26,6 +26,8 @@ from basketwise.llm.tokens import encoder
 
 # Fixed values of the format: ids in a word, for selectors 2 to 15; each has 60 // count bits.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
+# Ids that a word takes, by how many of the counts fit; an id too wide for any is escaped.
+TAKEN = np.concatenate(([1], COUNTS[::-1]))
 FIRST_SELECTOR = 2
 ESCAPE = 0
 PAYLOAD_BITS = 60
@@ -75,25 +77,30 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             shifted[:, :-step] = window[:, step:]
             window, span = np.maximum(window, shifted), span + step
         choice += window[:, :BLOCK] <= PAYLOAD_BITS // count
-    rows, place, out = np.arange(blocks), np.zeros(blocks, np.int64), []
+    # All blocks step from word to word together; the words are built afterwards, all of a selector at once.
+    rows, place, steps = np.arange(blocks), np.zeros(blocks, np.int64), []
     while len(rows):
-        fit = choice[rows, place[rows]]
-        wide = rows[fit == 0]
-        if len(wide):
-            out += [(wide, np.zeros(len(wide), np.uint64)), (wide, grid[wide, place[wide]])]
-            place[wide] += 1
-        for k in np.unique(fit[fit > 0]):
-            at, count = rows[fit == k], int(COUNTS[len(COUNTS) - k])
-            width = np.uint64(PAYLOAD_BITS // count)
-            word = np.full(len(at), (FIRST_SELECTOR + len(COUNTS) - int(k)) << PAYLOAD_BITS, np.uint64)
-            for j in range(count):
-                word |= grid[at, place[at] + j] << (np.uint64(j) * width)
-            out.append((at, word))
-            place[at] += count
+        at = place[rows]
+        fit = choice[rows, at]
+        steps.append((rows, at, fit))
+        place[rows] = at + TAKEN[fit]
         rows = rows[place[rows] < sizes[rows]]
-    owner = np.concatenate([block for block, _ in out])
-    words = np.concatenate([word for _, word in out])[np.argsort(owner, kind="stable")]
-    ends = np.cumsum(np.bincount(owner, minlength=blocks))
+    owner, at, fit = (np.concatenate(column) for column in zip(*steps))
+    order = np.argsort(owner, kind="stable")
+    owner, fit = owner[order], fit[order]
+    first = owner * (BLOCK + most) + at[order]
+    lengths = np.where(fit == 0, 2, 1)
+    slots = np.cumsum(lengths) - lengths
+    words, flat = np.zeros(int(lengths.sum()), np.uint64), grid.reshape(-1)
+    words[slots[fit == 0] + 1] = flat[first[fit == 0]]
+    for k in np.unique(fit[fit > 0]):
+        here, count = fit == k, int(TAKEN[k])
+        width = np.uint64(PAYLOAD_BITS // count)
+        word = np.full(int(here.sum()), (FIRST_SELECTOR + len(COUNTS) - int(k)) << PAYLOAD_BITS, np.uint64)
+        for j in range(count):
+            word |= flat[first[here] + j] << (np.uint64(j) * width)
+        words[slots[here]] = word
+    ends = np.cumsum(np.bincount(owner, lengths, blocks).astype(np.int64))
     return words, np.concatenate(([0], ends)).astype(np.uint32)
 
 

@@ -49,6 +49,15 @@ def test_simple8b_round_trip(values):
     assert blocks[-1] == len(words)
 
 
+def test_simple8b_words_around_an_escape():
+    """A word of two ids, an escaped one, and a new block with a word of its own."""
+    ids = np.array([2**29, 1, 2**62, *[0] * 253, 5], np.uint64)
+    words, blocks = simple8b.encode(ids)
+    assert words[:3].tolist() == [(14 << 60) | 2**29 | (1 << 30), 0, 2**62]
+    assert blocks[1] == len(words) - 1 and int(words[-1]) & (2**60 - 1) == 5
+    assert simple8b.decode(words, blocks, len(ids)).tolist() == ids.tolist()
+
+
 def test_simple8b_packs_and_decodes_one_block():
     ids = np.array([1] * 600 + [49_000] * 300, np.uint64)
     words, blocks = simple8b.encode(ids)
