@@ -16,10 +16,15 @@ def held_out(number: Column) -> Column:
     return F.coalesce(F.crc32(number.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """(labelled_id, label), one row for each document; rows without a number or label are left out."""
+    known = labels.select(F.col("doc_id").cast("long").alias("labelled_id"), F.col(label).cast("int").alias("label"))
+    return known.where("labelled_id is not null and label is not null").groupBy("labelled_id").agg(F.max("label").alias("label"))
+
+
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int, without_held_out: bool = False) -> DataFrame:
     """(text, label) of at most `most` labelled documents; rows without a number or label are left out."""
-    known = labels.select(F.col("doc_id").cast("long").alias("labelled_id"), F.col(label).cast("int").alias("label"))
-    known = known.where("labelled_id is not null and label is not null").groupBy("labelled_id").agg(F.max("label").alias("label"))
+    known = known_labels(labels, label)
     if without_held_out:
         known = known.where(~held_out(F.col("labelled_id")))
     chosen = known.orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(most)

@@ -259,3 +259,24 @@ def test_toxicity_of_awkward_and_empty_tables(spark):
     kept = toxicity.harmless_documents(docs, none)
     assert kept.columns == docs.columns and kept.count() == 13
     assert toxicity.scored(documents(spark, []), none).collect() == []
+
+
+def test_quality_is_fitted_on_all_labelled_rows(spark):
+    """Beyond the driver's rows the scale, odds and threshold are those of all rows."""
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet")
+    whole, parted = quality.fit(docs, labels), quality.fit(docs, labels, most=10)
+    assert all(np.allclose(a, b) for a, b in zip(whole.scale, parted.scale))
+    verdicts = [{r.doc_id: r.verdict.kept for r in quality.with_verdict(docs, m).collect()} for m in (whole, parted)]
+    known = labels.where("quality is not null").count()
+    assert known > 10 and sum(verdicts[0][k] != verdicts[1][k] for k in verdicts[0]) <= 0.02 * len(verdicts[0])
+
+
+def test_threshold_and_odds_of_spark_jobs(spark):
+    rng = np.random.default_rng(4)
+    bad = rng.random(3_000) < 0.2
+    scores = np.round(rng.random(3_000) + 0.4 * bad, 2)
+    frame = spark.createDataFrame([(float(s), int(b)) for s, b in zip(scores, bad)], "score double, bad long")
+    found = quality._threshold_on_spark(frame, int(bad.sum()), int((~bad).sum()))
+    assert abs(found - quality.calibrate(scores, bad)) < 1e-12 and np.isfinite(found)
+    assert np.allclose(quality._usefulness_on_spark(frame, "score"), quality.usefulness(scores[:, None], bad)[0])
