@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import RDD, StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +38,8 @@ FEW_ROWS = 1_024
 ENTRIES = 1 << 22
 # Nodes of a tree that is followed by whole columns, at most.
 SMALL_TREE = 63
-# Trees between two copies of the boosted scores, and trees of a forest that are finished in one job.
-COPY_TREES, WAVE_TREES = 5, 20
+# Trees between two stored copies of the boosted scores, and trees of a forest that are finished in one job.
+COPY_TREES, WAVE_TREES = 20, 20
 # A gain of a smaller part of what it is a difference of is rounding.
 ROUNDING = 1e-12
 
@@ -173,12 +173,16 @@ def cells(layout: Layout, rows: np.ndarray, target: np.ndarray, weight: np.ndarr
         return found.reshape(2, nodes, -1)
     found = found.reshape(2, nodes, -1)
     summed = target if weight is None else target * weight
+    keys, shifts = np.empty(len(rows), np.int64), {}
     for i, (start, end) in enumerate(zip(starts, ends)):
         # One bin more for values that are not known.
         bins = end if i < dense else end + 1
-        keys = rows[:, i].astype(np.int64)
-        if place is not None:
-            keys += place * bins
+        if place is None:
+            keys[:] = rows[:, i]
+        else:
+            if bins not in shifts:
+                shifts = {bins: place * bins}
+            np.add(shifts[bins], rows[:, i], out=keys)
         for k, weights in enumerate((weight, summed)):
             found[k, :, start : start + end] = np.bincount(keys, weights, nodes * bins).reshape(nodes, bins)[:, :end]
     return found
@@ -364,17 +368,20 @@ class Block:
     score: np.ndarray
 
 
+def _block(layout: Layout, number: int, size: int, *parts) -> Block:
+    bins, codes, label, score = (np.frombuffer(part, t) for part, t in zip(parts, (np.uint8, np.int32, float, float)))
+    # Column by column, as they are counted.
+    rows = bins.reshape(-1, size).T if len(bins) else np.zeros((size, 0), np.uint8)
+    if layout.values:
+        rows = np.concatenate([rows.T.astype(np.int32), codes.reshape(size, -1).T]).T
+    return Block(number, rows, label, score)
+
+
 def _blocks(layout: Layout, batches: Iterable[pa.RecordBatch]) -> Iterator[Block]:
     for batch in batches:
         columns = [batch.column(c) for c in BLOCK_NAMES]
         for k in range(len(batch)):
-            number, size = columns[0][k].as_py(), columns[1][k].as_py()
-            bins, codes, label, score = (np.frombuffer(columns[i][k].as_buffer(), t) for i, t in ((2, np.uint8), (3, np.int32), (4, float), (5, float)))
-            # Column by column, as they are counted.
-            rows = bins.reshape(-1, size).T if len(bins) else np.zeros((size, 0), np.uint8)
-            if layout.values:
-                rows = np.concatenate([rows.T.astype(np.int32), codes.reshape(size, -1).T]).T
-            yield Block(number, rows, label, score)
+            yield _block(layout, columns[0][k].as_py(), columns[1][k].as_py(), *[column[k].as_buffer() for column in columns[2:]])
 
 
 def _collected(frame: DataFrame, make: Callable[[Iterable[pa.RecordBatch]], object]) -> list:
@@ -419,8 +426,8 @@ def _shares(gains: np.ndarray) -> np.ndarray:
 def boost(blocks: DataFrame, layout: Layout, loss: str, trees: int, rate: float, depth: int, least: int, task_rows: int = TASK_ROWS) -> Ensemble:
     """Boosted trees. The first is fitted to the labels and counts in full, later ones to the loss's target at `rate`.
 
-    The scores of the rows are copied with the blocks after every few trees. Up to
-    `task_rows` rows are one task's work, which spares a job for each level.
+    The blocks are kept in memory, or on the executors' disks, with the scores of the trees so
+    far. Up to `task_rows` rows are one task's work, which spares a job for each level.
     """
     weights = [1.0] + [rate] * (trees - 1)
     size = blocks.agg(F.sum("rows")).first()[0] or 0
@@ -430,28 +437,12 @@ def boost(blocks: DataFrame, layout: Layout, loss: str, trees: int, rate: float,
         found = _collected(blocks.coalesce(1), lambda batches: _boosted(list(_blocks(layout, batches)), layout, loss, weights, depth, least))
         grown = found[0]
     else:
-        grown, state, recent = [], blocks, []
-        for m in range(trees):
-            tree = grow(layout, depth, least, _counted_on_spark(state, layout, loss, m, recent))
-            grown.append(tree)
-            recent.append((tree[0], weights[m]))
-            if len(recent) == COPY_TREES and m + 1 < trees:
-                later = _with_scores(state, layout, recent)
-                if state is not blocks:
-                    release(state)
-                state, recent = later, []
-        if state is not blocks:
-            release(state)
+        grown = _boosted_on_spark(blocks, size, layout, loss, weights, depth, least)
     return Ensemble(layout, [tree for tree, _ in grown], weights, _shares(sum(gains for _, gains in grown)))
 
 
-def _target(block: Block, layout: Layout, loss: str, m: int, recent: list) -> np.ndarray:
-    if m == 0:
-        return block.label
-    score = block.score
-    for tree, weight in recent:
-        score = score + weight * tree.predicted(layout, block.rows)
-    return TARGETS[loss](block.label, score)
+def _target(block: Block, loss: str, m: int) -> np.ndarray:
+    return TARGETS[loss](block.label, block.score) if m else block.label
 
 
 def _node_sums(layout: Layout, blocks: Iterable[tuple], tree: Trees, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -462,12 +453,17 @@ def _node_sums(layout: Layout, blocks: Iterable[tuple], tree: Trees, nodes: np.n
     for rows, target, weight in blocks:
         place = places[tree.leaves(layout, rows)]
         inside = place >= 0
-        if not inside.all():
+        known = np.count_nonzero(inside)
+        if 2 * known < len(rows):
             rows, target, place = rows[inside], target[inside], place[inside]
             weight = None if weight is None else weight[inside]
-        sums += cells(layout, rows, target, weight, place, len(nodes))
-        totals[0] += np.bincount(place, weight, len(nodes))
-        totals[1] += np.bincount(place, target if weight is None else target * weight, len(nodes))
+        elif known < len(rows):
+            # Few other rows are counted at one more node, which is cheaper than to copy the rest.
+            place[~inside] = len(nodes)
+        counted = len(nodes) + (2 * known >= len(rows) > known)
+        sums += cells(layout, rows, target, weight, place, counted)[:, : len(nodes)]
+        totals[0] += np.bincount(place, weight, counted)[: len(nodes)]
+        totals[1] += np.bincount(place, target if weight is None else target * weight, counted)[: len(nodes)]
     return sums, totals
 
 
@@ -477,36 +473,67 @@ def _boosted(blocks: list[Block], layout: Layout, loss: str, weights: list[float
     rows, label, score = (np.concatenate([getattr(b, name) for b in blocks]) for name in ("rows", "label", "score"))
     grown = []
     for m, weight in enumerate(weights):
-        target = _target(Block(0, rows, label, score), layout, loss, m, [])
+        target = _target(Block(0, rows, label, score), loss, m)
         tree, gains = grow(layout, depth, least, lambda tree, nodes: _node_sums(layout, [(rows, target, None)], tree, nodes))
         score = score + weight * tree.predicted(layout, rows)
         grown.append((tree, gains))
     return grown
 
 
-def _counted_on_spark(state: DataFrame, layout: Layout, loss: str, m: int, recent: list) -> Count:
+def _boosted_on_spark(blocks: DataFrame, size: int, layout: Layout, loss: str, weights: list[float], depth: int, least: int) -> list:
+    """Boosted trees from passes over all blocks, one for each level."""
+    tasks = max(blocks.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_ROWS))
+    state, before, copy, grown = _kept(blocks, layout, tasks), None, None, []
+    for m, weight in enumerate(weights):
+        grown.append(grow(layout, depth, least, _counted_on_spark(state, layout, loss, m)))
+        # The first pass over the new scores has kept them.
+        if before is not None:
+            before.unpersist()
+        if m + 1 < len(weights):
+            before, state = state, _with_scores(state, layout, grown[m][0], weight)
+        if m + 1 < len(weights) and (m + 1) % COPY_TREES == 0:
+            # A lost block is then made again from a copy of few trees ago.
+            later = _stored(blocks, state)
+            before.unpersist()
+            state.unpersist()
+            if copy is not None:
+                release(copy)
+            before, state, copy = None, _kept(later, layout, tasks), later
+    state.unpersist()
+    if copy is not None:
+        release(copy)
+    return grown
+
+
+def _kept(blocks: DataFrame, layout: Layout, tasks: int) -> RDD:
+    """The blocks, dealt out evenly to tasks and kept by the executors."""
+    dealt = blocks.select(*BLOCK_NAMES).repartitionByRange(tasks, "block")
+    return dealt.rdd.map(lambda row: _block(layout, *row)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _counted_on_spark(state: RDD, layout: Layout, loss: str, m: int) -> Count:
     def count(tree: Trees, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        def make(batches):
-            return _node_sums(layout, ((b.rows, _target(b, layout, loss, m, recent), None) for b in _blocks(layout, batches)), tree, nodes)
+        def make(blocks: Iterable[Block]) -> Iterator[tuple]:
+            yield _node_sums(layout, ((b.rows, _target(b, loss, m), None) for b in blocks), tree, nodes)
 
-        found = _collected(state, make)
+        found = state.mapPartitions(make).collect()
         return sum(sums for sums, _ in found), sum(totals for _, totals in found)
 
     return count
 
 
-def _with_scores(state: DataFrame, layout: Layout, recent: list) -> DataFrame:
-    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = []
-            for block in _blocks(layout, [batch]):
-                score = block.score
-                for tree, weight in recent:
-                    score = score + weight * tree.predicted(layout, block.rows)
-                scores.append(score.tobytes())
-            yield batch.set_column(BLOCK_NAMES.index("score"), "score", pa.array(scores, pa.binary()))
-
-    return stage(state.mapInArrow(add, BLOCK))
+def _with_scores(state: RDD, layout: Layout, tree: Trees, weight: float) -> RDD:
+    def add(block: Block) -> Block:
+        return Block(block.number, block.rows, block.label, block.score + weight * tree.predicted(layout, block.rows))
+
+    return state.map(add).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _stored(blocks: DataFrame, state: RDD) -> DataFrame:
+    """The blocks with their scores so far, stored."""
+    scores = state.map(lambda block: (block.number, block.score.tobytes()))
+    scores = blocks.sparkSession.createDataFrame(scores, "block long, score binary")
+    return stage(blocks.drop("score").join(scores, "block").select(*BLOCK_NAMES))
 
 
 # --- forests -------------------------------------------------------------------------

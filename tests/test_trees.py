@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from basketwise.models import trees
 from basketwise.models.ensembles import TreesModel, numbers
+from basketwise.session import STAGED, stage
 
 ROWS = 2_000
 
@@ -46,6 +47,35 @@ def test_passes_over_all_rows_give_the_trees_of_one_task(frame, blocks):
     assert max(abs(one[n] - many[n]) for n in one) < 1e-9
 
 
+def test_scores_are_stored_after_many_trees_only(frame, blocks, monkeypatch):
+    """The scores are kept with the blocks in memory; copies are rare, give the same trees and do not stay."""
+    stored, held = [], set(STAGED.get(frame.sparkSession, []))
+    monkeypatch.setattr(trees, "stage", lambda df: stored.append(1) or stage(df))
+    one, many = (scores(frame, trees.boost(*blocks, "squared", 12, 0.1, 3, 5, most)) for most in (ROWS, 0))
+    assert not stored
+    monkeypatch.setattr(trees, "COPY_TREES", 4)
+    copied = scores(frame, trees.boost(*blocks, "squared", 12, 0.1, 3, 5, 0))
+    assert len(stored) == 2 and set(STAGED[frame.sparkSession]) == held
+    assert max(max(abs(one[n] - many[n]), abs(one[n] - copied[n])) for n in one) < 1e-9
+
+
+def test_rows_of_other_nodes_are_not_counted():
+    """Whether few or many rows lie elsewhere, the sums are those of the nodes' own rows."""
+    rng = np.random.default_rng(3)
+    layout = trees.Layout([np.arange(7.0), np.arange(3.0)], [5])
+    for size in (200, 3_000):
+        rows = np.stack([rng.integers(0, 8, size), rng.integers(0, 4, size), rng.integers(0, 6, size)], 1).astype(np.int32)
+        target, weight = rng.normal(size=size), rng.poisson(1.0, size).astype(float)
+        for cut in (0, 5):
+            tree = trees.Trees(np.zeros(3, np.int32), np.array([cut, 0, 0], np.int32), np.array([1, 1, 2], np.int32), np.zeros(3), 1)
+            own = rows[:, 0] <= cut
+            for times in (None, weight):
+                sums, totals = trees._node_sums(layout, [(rows, target, times)], tree, np.array([1]))
+                mine = None if times is None else times[own]
+                assert np.array_equal(sums, trees.cells(layout, rows[own], target[own], mine))
+                assert totals[0, 0] == (own.sum() if times is None else mine.sum())
+
+
 def test_large_nodes_of_a_forest_are_split_by_passes(frame, blocks):
     whole, parted = (trees.forest(*blocks, 6, 7, 5, 3, most) for most in (ROWS, 300))
     first, second = scores(frame, whole), scores(frame, parted)
