@@ -590,9 +590,8 @@ def _forest_sums(blocks: DataFrame, layout: Layout, places: list[tuple[int, int]
         sums = {t: 0 for t in by_tree}
         for block in _blocks(layout, batches):
             for t, nodes in by_tree.items():
-                weight = _times(block, t, seed)
-                drawn = weight > 0
-                own = _node_sums(layout, [(block.rows[drawn], block.label[drawn], weight[drawn])], tops[t], nodes)
+                # Rows that were not drawn count nothing; to leave them out would copy the others, row by row.
+                own = _node_sums(layout, [(block.rows, block.label, _times(block, t, seed))], tops[t], nodes)
                 sums[t], totals[t] = sums[t] + own[0], totals[t] + own[1]
         if not any(isinstance(s, np.ndarray) for s in sums.values()):
             return np.zeros((2, len(places), layout.cells)), np.zeros((2, len(places)))
