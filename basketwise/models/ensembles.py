@@ -11,9 +11,7 @@ from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketwise.models.trees import Ensemble, Layout, Trees
-
-ARRAYS = {"column": np.int32, "cut": np.int32, "child": np.int32, "value": np.float64}
+from basketwise.models.trees import STORED, Ensemble, Layout, as_row, of_row, packed, score_stored
 
 
 def numbers(column: str) -> Column:
@@ -39,6 +37,8 @@ class TreesModel(Model, MLWritable, MLReadable):
         return DenseVector(self.ensemble.importances)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
+        if self.ensemble.stored is not None:
+            return self._from_stored(dataset)
         if self._shared is None:
             self._shared = dataset.sparkSession.sparkContext.broadcast(self.ensemble)
         shared = self._shared
@@ -53,7 +53,26 @@ class TreesModel(Model, MLWritable, MLReadable):
                 rows = np.concatenate([rows.astype(np.int32), coded.flatten().to_numpy(zero_copy_only=False).reshape(size, -1)], 1)
             return pa.array(ensemble.total(rows))
 
-        found = total(numbers(self.vector), codes(self.coded))
+        return self._with_results(dataset, total(numbers(self.vector), codes(self.coded)))
+
+    def _from_stored(self, dataset: DataFrame) -> DataFrame:
+        """Scores of trees that are not held here: rows of equal bins have one, which is joined to them."""
+        layout = self.ensemble.layout
+
+        @F.arrow_udf("binary")
+        def bins(values: pa.Array, coded: pa.Array) -> pa.Array:
+            size = len(values)
+            if not size:
+                return pa.array([], pa.binary())
+            return packed(layout, *(part.flatten().to_numpy(zero_copy_only=False).reshape(size, -1) for part in (values, coded)))
+
+        binned = bins(numbers(self.vector), codes(self.coded))
+        scores = score_stored(dataset.select(binned.alias("bins")), self.ensemble)
+        scores = scores.select(F.col("bins").alias("bins of trees"), F.col("prediction").alias("total of trees"))
+        joined = dataset.withColumn("bins of trees", binned).join(scores, "bins of trees", "left").drop("bins of trees")
+        return self._with_results(joined, F.col("total of trees")).drop("total of trees")
+
+    def _with_results(self, dataset: DataFrame, found: Column) -> DataFrame:
         if not self.classifier:
             return dataset.withColumn("prediction", found)
         margin = F.col("margin of trees")
@@ -91,21 +110,24 @@ class _Writer(MLWriter):
             "cuts": [cut.tolist() for cut in found.layout.cuts],
             "values": found.layout.values,
             "importances": found.importances.tolist(),
+            "stored": found.nodes if found.stored is not None else 0,
         }
         DefaultParamsWriter.saveMetadata(model, path, self.sparkSession, {"trees": notes})
-        rows = [
-            (i, tree.depth, float(weight), *(bytearray(getattr(tree, c).astype(kind).tobytes()) for c, kind in ARRAYS.items()))
-            for i, (tree, weight) in enumerate(zip(found.trees, found.weights))
-        ]
-        schema = "tree int, depth int, weight double, " + ", ".join(f"{c} binary" for c in ARRAYS)
-        self.sparkSession.createDataFrame(rows, schema).write.parquet(f"{path}/trees")
+        if found.stored is not None:
+            found.stored.write.parquet(f"{path}/trees")
+            return
+        rows = [as_row(i, tree, weight) for i, (tree, weight) in enumerate(zip(found.trees, found.weights))]
+        self.sparkSession.createDataFrame(rows, STORED).write.parquet(f"{path}/trees")
 
 
 class _Reader(MLReader):
     def load(self, path: str) -> TreesModel:
         notes = DefaultParamsReader.loadMetadata(path, self.sparkSession)["trees"]
-        rows = sorted(self.sparkSession.read.parquet(f"{path}/trees").collect(), key=lambda row: row["tree"])
-        trees = [Trees(*(np.frombuffer(row[c], kind) for c, kind in ARRAYS.items()), row["depth"]) for row in rows]
-        layout = Layout([np.array(cut, float) for cut in notes["cuts"]], notes["values"])
-        found = Ensemble(layout, trees, [row["weight"] for row in rows], np.array(notes["importances"]))
+        layout, shares = Layout([np.array(cut, float) for cut in notes["cuts"]], notes["values"]), np.array(notes["importances"])
+        stored = self.sparkSession.read.schema(STORED).parquet(f"{path}/trees")
+        if notes.get("stored"):
+            found = Ensemble(layout, [], [], shares, stored, notes["stored"])
+        else:
+            rows = sorted(stored.collect(), key=lambda row: row["tree"])
+            found = Ensemble(layout, [of_row(row) for row in rows], [row["weight"] for row in rows], shares)
         return TreesModel(found, notes["vector"], notes["coded"], notes["classifier"])

@@ -5,20 +5,21 @@ blocks counts rows and sums targets by node, feature and bin; the driver gets th
 of a bounded number of nodes at a time, and picks the splits. Splits, stops and leaf values
 are those of Spark's tree ensembles; cuts come from all rows instead of a sample. Nodes of a
 forest that hold few enough rows are finished where their rows are dealt to. A tree is a few
-flat arrays.
+flat arrays. The trees of a large forest are stored and never all at one place.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark import RDD, StorageLevel, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from basketwise.session import release, stage
 
@@ -40,6 +41,12 @@ ENTRIES = 1 << 22
 SMALL_TREE = 63
 # Trees between two stored copies of the boosted scores, and trees of a forest that are finished in one job.
 COPY_TREES, WAVE_TREES = 20, 20
+# Nodes of an ensemble that the driver holds, at most; the trees of a larger forest are a stored frame.
+HELD_NODES = 1 << 19
+# Nodes and rows that one task scores with stored trees, about.
+PART_NODES, CHUNK_ROWS = 1 << 20, 1 << 18
+# Parts that the sums of a pass are cut into to be added up.
+PIECES = 16
 # A gain of a smaller part of what it is a difference of is rounding.
 ROUNDING = 1e-12
 
@@ -393,6 +400,32 @@ def _collected(frame: DataFrame, make: Callable[[Iterable[pa.RecordBatch]], obje
     return [pickle.loads(row["found"]) for row in frame.mapInArrow(run, "found binary").collect()]
 
 
+def _summed(frame: DataFrame, make: Callable[[Iterable[pa.RecordBatch]], np.ndarray]) -> np.ndarray:
+    """The sum of what `make` returns for each partition, added up piece by piece before the driver gets it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, values in enumerate(np.array_split(make(batches), PIECES)):
+            columns = [pa.array([piece], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([values.tobytes()], pa.binary())]
+            yield pa.record_batch(columns, names=["piece", "part", "sums"])
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, held = None, None
+        for batch in batches:
+            for k in range(len(batch)):
+                own, values = batch.column("piece")[k].as_py(), np.frombuffer(batch.column("sums")[k].as_buffer())
+                if held is not None and own != piece:
+                    yield pa.record_batch([pa.array([piece], pa.int32()), pa.array([held.tobytes()], pa.binary())], names=["piece", "sums"])
+                held = held + values if own == piece else values
+                piece = own
+        if held is not None:
+            yield pa.record_batch([pa.array([piece], pa.int32()), pa.array([held.tobytes()], pa.binary())], names=["piece", "sums"])
+
+    # In the order of the partitions, so that equal blocks give equal sums.
+    parts = frame.mapInArrow(run, "piece int, part int, sums binary").repartition(PIECES, "piece").sortWithinPartitions("piece", "part")
+    found = sorted(parts.mapInArrow(add, "piece int, sums binary").collect(), key=lambda row: row["piece"])
+    return np.concatenate([np.frombuffer(row["sums"]) for row in found])
+
+
 # --- boosting ------------------------------------------------------------------------
 
 # The target of the next tree, by label and score so far.
@@ -405,12 +438,18 @@ TARGETS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
 
 @dataclass
 class Ensemble:
-    """Fitted trees with their weights, and the features' importances."""
+    """Fitted trees with their weights, and the features' importances.
+
+    The trees of a forest of more than `HELD_NODES` nodes are the rows of a frame (STORED),
+    `nodes` in all; the lists are empty then.
+    """
 
     layout: Layout
     trees: list[Trees]
     weights: list[float]
     importances: np.ndarray
+    stored: DataFrame | None = None
+    nodes: int = 0
 
     def total(self, rows: np.ndarray) -> np.ndarray:
         found = np.zeros(len(rows))
@@ -573,38 +612,38 @@ def forest(blocks: DataFrame, layout: Layout, trees: int, depth: int, least: int
                     if level + 1 < depth:
                         (following if rows > task_rows else small).append((t, child, level + 1))
         large = following
-    finished = []
+    waves = []
     for begin in range(0, trees, WAVE_TREES):
         wave = range(begin, min(begin + WAVE_TREES, trees))
         part = [place for place in small if place[0] in wave]
         if part:
-            finished += _finished(blocks, layout, part, {t: growing[t].tree(depth) for t in wave}, depth, least, seed)
-    return _joined(layout, growing, finished, depth)
+            waves.append(stage(_finished(blocks, layout, part, {t: growing[t].tree(depth) for t in wave}, depth, least, seed)))
+    found = _joined(layout, growing, waves, blocks.sparkSession, depth)
+    release(*waves)
+    return found
 
 
 def _forest_sums(blocks: DataFrame, layout: Layout, places: list[tuple[int, int]], tops: dict[int, Trees], seed: int) -> tuple[np.ndarray, np.ndarray]:
     by_tree = {t: np.array([node for other, node in places if other == t]) for t in tops}
 
     def make(batches):
-        totals = {t: 0 for t in by_tree}
-        sums = {t: 0 for t in by_tree}
+        sums = {t: np.zeros((2, len(nodes), layout.cells)) for t, nodes in by_tree.items()}
+        totals = {t: np.zeros((2, len(nodes))) for t, nodes in by_tree.items()}
         for block in _blocks(layout, batches):
             for t, nodes in by_tree.items():
                 # Rows that were not drawn count nothing; to leave them out would copy the others, row by row.
                 own = _node_sums(layout, [(block.rows, block.label, _times(block, t, seed))], tops[t], nodes)
                 sums[t], totals[t] = sums[t] + own[0], totals[t] + own[1]
-        if not any(isinstance(s, np.ndarray) for s in sums.values()):
-            return np.zeros((2, len(places), layout.cells)), np.zeros((2, len(places)))
-        return np.concatenate([sums[t] for t in by_tree], 1), np.concatenate([totals[t] for t in by_tree], 1)
+        return np.concatenate([np.concatenate([found[t] for t in by_tree], 1).ravel() for found in (sums, totals)])
 
-    found = _collected(blocks, make)
-    return sum(sums for sums, _ in found), sum(totals for _, totals in found)
+    found, ends = _summed(blocks, make), 2 * len(places) * layout.cells
+    return found[:ends].reshape(2, len(places), -1), found[ends:].reshape(2, -1)
 
 
 FINISHED = "tree int, node int, column binary, cut binary, child binary, value binary, gains binary"
 
 
-def _finished(blocks: DataFrame, layout: Layout, places: list[tuple[int, int, int]], tops: dict[int, Trees], depth: int, least: int, seed: int) -> list:
+def _finished(blocks: DataFrame, layout: Layout, places: list[tuple[int, int, int]], tops: dict[int, Trees], depth: int, least: int, seed: int) -> DataFrame:
     """The parts of the trees below the given nodes."""
     levels = {(t, node): level for t, node, level in places}
     trees = sorted({t for t, _, _ in places})
@@ -634,30 +673,123 @@ def _finished(blocks: DataFrame, layout: Layout, places: list[tuple[int, int, in
         return pa.table({"tree": pa.array([t], pa.int32()), "node": pa.array([node], pa.int32()), **{c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(("column", "cut", "child", "value", "gains"), found)}})
 
     dealt = blocks.mapInArrow(deal, "tree int, node int, block long, rows binary, label binary, times binary")
-    return dealt.groupBy("tree", "node").applyInArrow(finish, FINISHED).collect()
+    return dealt.groupBy("tree", "node").applyInArrow(finish, FINISHED)
+
+
+# A tree as a row of a stored frame, and its arrays.
+STORED = "tree int, depth int, weight double, column binary, cut binary, child binary, value binary"
+ARRAYS = {"column": np.int32, "cut": np.int32, "child": np.int32, "value": np.float64}
 
 
-def _joined(layout: Layout, growing: list[Growing], finished: list, depth: int) -> Ensemble:
+def as_row(number: int, tree: Trees, weight: float) -> tuple:
+    """A tree as the values of STORED."""
+    return (number, tree.depth, float(weight), *(bytearray(getattr(tree, c).astype(kind).tobytes()) for c, kind in ARRAYS.items()))
+
+
+def of_row(row: Mapping) -> Trees:
+    return Trees(*(np.frombuffer(row[c], kind) for c, kind in ARRAYS.items()), row["depth"])
+
+
+def _whole(top: Growing, parts: list[Mapping], depth: int) -> tuple[Trees, np.ndarray]:
+    """A top and the parts below it as one tree, and the features' gains."""
+    tree, gains = top.tree(depth), top.gains.copy()
+    for row in sorted(parts, key=lambda row: row["node"]):
+        column, cut, child, value = (np.frombuffer(row[c], kind) for c, kind in ARRAYS.items())
+        # The part's root takes the place of the node; its other nodes go to the end.
+        node, shift = row["node"], len(tree.column) - 1
+        moved = child + shift
+        for name, mine in (("column", column), ("cut", cut), ("child", moved), ("value", value)):
+            held = np.concatenate([getattr(tree, name), mine[1:]])
+            held[node] = mine[0]
+            setattr(tree, name, held)
+        if child[0] == 0:
+            tree.child[node] = node
+        gains += np.frombuffer(row["gains"], float)
+    return tree, gains
+
+
+def _joined(layout: Layout, growing: list[Growing], waves: list[DataFrame], spark: SparkSession, depth: int) -> Ensemble:
     """The ensemble of the tops and the parts below them."""
-    parts: dict[int, list] = {}
-    for row in finished:
-        parts.setdefault(row["tree"], []).append(row)
-    trees, importances = [], np.zeros(layout.features)
-    for t, top in enumerate(growing):
-        tree, gains = top.tree(depth), top.gains.copy()
-        for row in sorted(parts.get(t, []), key=lambda row: row["node"]):
-            kinds = (("column", np.int32), ("cut", np.int32), ("child", np.int32), ("value", float), ("gains", float))
-            column, cut, child, value, own = (np.frombuffer(row[c], k) for c, k in kinds)
-            # The part's root takes the place of the node; its other nodes go to the end.
-            node, shift = row["node"], len(tree.column) - 1
-            moved = child + shift
-            for name, mine in (("column", column), ("cut", cut), ("child", moved), ("value", value)):
-                held = np.concatenate([getattr(tree, name), mine[1:]])
-                held[node] = mine[0]
-                setattr(tree, name, held)
-            if child[0] == 0:
-                tree.child[node] = node
-            gains += own
-        trees.append(tree)
-        importances += _shares(gains)
-    return Ensemble(layout, trees, [1.0 / len(trees)] * len(trees), _shares(importances))
+    nodes = sum(len(top.nodes) for top in growing)
+    for wave in waves:
+        # The root of a part is a node of its top.
+        nodes += wave.agg(F.sum(F.octet_length("column") / 4 - 1)).first()[0] or 0
+    weight = 1.0 / len(growing)
+    if nodes <= HELD_NODES:
+        parts: dict[int, list] = {}
+        for row in (row for wave in waves for row in wave.collect()):
+            parts.setdefault(row["tree"], []).append(row)
+        grown = [_whole(top, parts.get(t, []), depth) for t, top in enumerate(growing)]
+        shares = sum(_shares(gains) for _, gains in grown)
+        return Ensemble(layout, [tree for tree, _ in grown], [weight] * len(grown), _shares(shares))
+
+    def join(table: pa.Table) -> pa.Table:
+        t = table.column("tree")[0].as_py()
+        tree, gains = _whole(growing[t], [row for row in table.to_pylist() if row["node"] >= 0], depth)
+        row = [*as_row(t, tree, weight), _shares(gains).tobytes()]
+        return pa.Table.from_pylist([dict(zip(schema.names, row))], pa.schema(list(zip(schema.names, types))))
+
+    schema = T.StructType.fromDDL(f"{STORED}, gains binary")
+    types = [pa.int32(), pa.int32(), pa.float64(), *[pa.binary()] * 5]
+    # Every tree has a row, also one without a part.
+    rows = spark.createDataFrame([(t, -1, *[bytearray()] * 5) for t in range(len(growing))], FINISHED)
+    for wave in waves:
+        rows = rows.unionByName(wave)
+    stored = stage(rows.groupBy("tree").applyInArrow(join, schema))
+    shares = sum(np.frombuffer(row["gains"]) for row in stored.select("tree", "gains").orderBy("tree").collect())
+    return Ensemble(layout, [], [], _shares(shares), stored.drop("gains"), int(nodes))
+
+
+# --- scores of stored trees ----------------------------------------------------------
+
+
+def score_stored(bins: DataFrame, ensemble: Ensemble) -> DataFrame:
+    """(bins, prediction) of every distinct row of `bins` (a column `bins`, of `packed`), stored.
+
+    Chunks of the rows meet parts of the trees in tasks of about `CHUNK_ROWS` rows and
+    `PART_NODES` nodes; the sums of the parts are added up in order.
+    """
+    layout, rows = ensemble.layout, stage(bins.distinct())
+    chunks = max(1, -(-rows.count() // CHUNK_ROWS))
+    parts = max(1, -(-ensemble.nodes // PART_NODES))
+    trees = ensemble.stored.count()
+    chunk = F.pmod(F.xxhash64("bins"), F.lit(chunks)).cast("int")
+    left = rows.select("bins", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    part = F.floor(F.col("tree") * parts / F.lit(trees)).cast("int")
+    right = ensemble.stored.withColumn("part", part).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+
+    def score(key: tuple, mine: pa.Table, own: pa.Table) -> pa.Table:
+        held = [(of_row(row), row["weight"]) for row in own.sort_by("tree").to_pylist()]
+        found = []
+        for begin in range(0, len(mine), BLOCK_ROWS):
+            slice_ = unpacked(layout, mine.column("bins")[begin : begin + BLOCK_ROWS])
+            total = np.zeros(len(slice_))
+            for tree, weight in held:
+                total += weight * tree.predicted(layout, slice_)
+            found.append(total)
+        total = np.concatenate(found) if found else np.zeros(0)
+        return pa.table({"bins": mine.column("bins"), "part": pa.array([key[1].as_py()] * len(mine), pa.int32()), "total": total})
+
+    left, right = (side.groupBy("chunk", "part") for side in (left, right))
+    totals = left.cogroup(right).applyInArrow(score, "bins binary, part int, total double")
+    ordered = F.array_sort(F.collect_list(F.struct("part", "total")))
+    total = F.aggregate(ordered, F.lit(0.0), lambda held, one: held + one["total"])
+    found = stage(totals.groupBy("bins").agg(total.alias("prediction")))
+    release(rows)
+    return found
+
+
+def packed(layout: Layout, values: np.ndarray, codes: np.ndarray) -> pa.Array:
+    """The binned rows, each as the bytes of its bins and codes."""
+    rows = np.concatenate([layout.binned(values), np.ascontiguousarray(codes, np.int32).view(np.uint8).reshape(len(values), -1)], 1)
+    return pa.array([row.tobytes() for row in rows], pa.binary())
+
+
+def unpacked(layout: Layout, column: pa.ChunkedArray) -> np.ndarray:
+    """The rows that `packed` made bytes of, as trees read them."""
+    dense = len(layout.cuts)
+    held = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    if not layout.values:
+        return held
+    codes = np.ascontiguousarray(held[:, dense:]).view(np.int32)
+    return np.concatenate([held[:, :dense].astype(np.int32), codes], 1)

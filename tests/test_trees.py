@@ -86,6 +86,32 @@ def test_large_nodes_of_a_forest_are_split_by_passes(frame, blocks):
     assert np.var(errors) < np.var(spread) / 4
 
 
+def test_a_large_forest_is_stored_and_scored_in_parts(frame, blocks, monkeypatch, tmp_path):
+    """Its trees do not come to the driver, when fitted, stored, loaded or scored; scores are those of held trees."""
+    rows = frame.unionByName(frame.limit(5))
+    held = [trees.forest(*blocks, 6, 7, 5, 3, most) for most in (ROWS, 300, 1)]
+    for name, value in (("HELD_NODES", 0), ("PART_NODES", 200), ("CHUNK_ROWS", 700)):
+        monkeypatch.setattr(trees, name, value)
+    for whole, most in zip(held, (ROWS, 300, 1)):
+        stored = trees.forest(*blocks, 6, 7, 5, 3, most)
+        assert not stored.trees and stored.stored.count() == 6 and stored.nodes == sum(len(t.child) for t in whole.trees)
+        assert np.allclose(whole.importances, stored.importances, rtol=1e-12)
+        TreesModel(stored).write().save(f"{tmp_path}/{most}")
+        loaded = TreesModel.load(f"{tmp_path}/{most}")
+        assert not loaded.ensemble.trees
+        expected = scores(frame, whole)
+        for model in (TreesModel(stored), loaded):
+            found = model.transform(rows).select("id", "prediction").collect()
+            assert len(found) == ROWS + 5 and max(abs(p - expected[n]) for n, p in found) < 1e-12
+        assert not TreesModel(stored).transform(frame.where("id < 0")).count()
+
+
+def test_coded_columns_are_read_from_packed_rows():
+    layout = trees.Layout([np.array([0.5]), np.array([1.0, 2.0])], [300])
+    values, codes = np.array([[0.0, 3.0], [1.0, 1.5]]), np.array([[299], [7]])
+    assert trees.unpacked(layout, trees.packed(layout, values, codes)).tolist() == [[0, 2, 299], [1, 1, 7]]
+
+
 def test_cuts_come_from_all_rows_beyond_the_sketch(spark):
     """A few rows of a value above all others are seen however many rows there are."""
     df = spark.range(200_000, numPartitions=2).select(
