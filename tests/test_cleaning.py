@@ -119,3 +119,17 @@ def test_display_texts(spark):
         labels.loyalty(F.col("d")).alias("f"),
     ).first()
     assert tuple(row) == ("12.3%", "$1234.50", "null – PET", "Non-Loyal")
+
+
+def test_white_space_of_every_kind_is_cut_and_blanks_cheaply(spark, capsys):
+    """The result of a trim by the whole list, which only texts with another character than a blank at an end go through."""
+    cases = [None, "", " ", "  a b ", "a", "\u3000 \t", "é \xa0"]
+    cases += [f"{left}x{white}y{right}" for white in text.WHITE_SPACE for left, right in ((white, ""), ("", white), (f" {white} ", f"{white}  {white} "))]
+    frame = spark.createDataFrame([(n, c) for n, c in enumerate(cases)], "n int, value string").repartition(2)
+    both = frame.select("n", "value", text.strip(F.col("value")).alias("cut"), text.strip_right(F.col("value")).alias("right"))
+    for row in both.collect():
+        value = row["value"]
+        assert row["cut"] == (value and value.strip(text.WHITE_SPACE)) and row["right"] == (value and value.rstrip(text.WHITE_SPACE))
+    both.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("CASE WHEN") >= 2 and " INSET " in plan
