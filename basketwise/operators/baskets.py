@@ -281,9 +281,10 @@ def top_pair_products(pairs: DataFrame) -> DataFrame:
 
 
 def pair_edges(pairs: DataFrame) -> DataFrame:
-    """Each pair as two directed edges (src, dst, count)."""
-    forward = pairs.select(F.col("product1").alias("src"), F.col("product2").alias("dst"), "count")
-    return forward.unionByName(pairs.select(F.col("product2").alias("src"), F.col("product1").alias("dst"), "count"))
+    """Each pair as two directed edges (src, dst, count); `pairs` is read once."""
+    ways = (("product1", "product2"), ("product2", "product1"))
+    edges = [F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), F.col("count").alias("count")) for src, dst in ways]
+    return pairs.select(F.inline(F.array(*edges)))
 
 
 def recommendations(pairs: DataFrame) -> DataFrame:

@@ -519,7 +519,10 @@ SELECT stats.*, loyalty_ratio FROM stats LEFT JOIN loyalty ON product_id = produ
 SELECT product1, product2, normalized_count FROM pair_frame JOIN top USING (product1, product2)""",
     "top_pair_products": "SELECT product1 AS product_num FROM top UNION SELECT product2 FROM top",
     "pair_edges": "SELECT * FROM edges",
-    "recommendations": "SELECT * FROM recs",
+    "recommendations": """
+SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY src ORDER BY "count" DESC, dst) AS INT) AS rank
+FROM (SELECT product1 AS src, product2 AS dst, "count" FROM pairs
+  UNION ALL SELECT product2, product1, "count" FROM pairs) all_edges""",
     "product_details": "SELECT * FROM details",
     "product_catalog": """
 SELECT product_num AS id, department, commodity, department || ' – ' || commodity AS label FROM details""",

@@ -810,7 +810,8 @@ def pair_edges(spark, folder):
 
 @query
 def recommendations(spark, folder):
-    return baskets.recommendations(_top(spark, folder))
+    """The partners of every product that has any, ranked."""
+    return baskets.recommendations(basket_pairs(spark, folder))
 
 
 def _top_and_details(spark, folder):

@@ -7,6 +7,7 @@ import pytest
 
 from basketwise import session
 from basketwise.operators import baskets
+from checks.queries import REGISTERED
 from tests.conftest import as_dicts
 
 
@@ -92,6 +93,25 @@ def test_recommend(spark, three_pairs, details):
     assert {(r["basket_id"], r["product_num"]): r["score"] for r in fresh} == {(1, 3): 1.0, (3, 3): 1.0}
 
 
+def test_recommendations_hold_every_pair(spark, tmp_path):
+    """Baskets with more pairs than a list of top pairs has: each is an edge both ways, ranked by count, then number."""
+    bought = [(1, n) for n in range(22)] + [(2, n) for n in (3, 4, 100, 101)]
+    rows = [(order, product, line) for line, (order, product) in enumerate(bought)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 5), (2, 5)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    counts = Counter()
+    for order in (1, 2):
+        for pair in combinations([product for number, product in bought if number == order], 2):
+            counts.update([pair, pair[::-1]])
+    expected = {}
+    for src in {src for src, _ in counts}:
+        own = sorted((-count, dst) for (other, dst), count in counts.items() if other == src)
+        expected |= {(src, dst): (-count, rank) for rank, (count, dst) in enumerate(own, 1)}
+    found = REGISTERED["recommendations"](spark, str(tmp_path)).collect()
+    assert len(found) == len(expected) > 2 * baskets.TOP_PAIRS
+    assert {(r["src"], r["dst"]): (r["count"], r["rank"]) for r in found} == expected
+
+
 def test_recommendations_are_ranked(three_pairs):
     rows = {(r["src"], r["rank"]): r["dst"] for r in baskets.recommendations(three_pairs).collect()}
     assert rows == {(1, 1): 2, (1, 2): 3, (2, 1): 1, (2, 2): 3, (3, 1): 1, (3, 2): 2}
