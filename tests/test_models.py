@@ -2,11 +2,13 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from basketwise.models import features as lists
 from basketwise.models import store, training
-from basketwise.operators import baskets
+from basketwise.operators import baskets, prepare
 from basketwise.plans import jobs
 from basketwise.session import stage
 from basketwise.sources import star, tables
@@ -137,3 +139,27 @@ def test_a_column_of_thousands_of_values_is_trained_on(spark, tmp_path):
     loaded = training.load_model(str(tmp_path / "model"))
     strange = found.test.withColumn("age_range", F.lit("never seen"))
     assert training.score_churn(loaded, strange).where("churn_prob is null").isEmpty() and 1_500 <= scored.count() <= 1_502
+
+
+def test_trees_read_what_the_scaler_gives(trained, churn_frame):
+    """The numbers for the trees are those of the stored pipeline's vector, to the last bit."""
+    prepared = PipelineModel(trained.model.stages[:-1])
+    rows = prepared.transform(churn_frame).select(training._scaled(prepared), vector_to_array(F.col("features")).alias("vector")).collect()
+    assert len(rows) == 240 and all(r["values"] == r["vector"] for r in rows)
+
+
+def test_a_split_stores_no_row_again(spark, churn_frame, monkeypatch):
+    """Only the ends of the held-out part are stored, one for each label; the parts are those of `mark_split`."""
+    sizes = []
+
+    def store(df):
+        copy = stage(df)
+        sizes.append(copy.count())
+        return copy
+
+    monkeypatch.setattr(training, "stage", store)
+    data, test, rest = training._split(churn_frame, "hshd_num", training.CHURN_LABEL)
+    marked = {r["hshd_num"]: r["is_test"] for r in prepare.mark_split(churn_frame, "hshd_num", training.CHURN_LABEL).collect()}
+    assert sizes == [2] and data.count() == len(marked) == 240
+    assert {r["hshd_num"] for r in test.collect()} == {n for n, held_out in marked.items() if held_out}
+    assert {r["hshd_num"] for r in rest.collect()} == {n for n, held_out in marked.items() if not held_out}

@@ -91,3 +91,13 @@ def test_lines_are_shuffled_once_for_pairs(spark, lines):
     # Final and initial plan both show the one exchange that is not reused.
     final = plan.split("== Initial Plan ==")[0]
     assert final.count("REPARTITION_BY_COL") - final.count("ReusedExchange") <= 1
+
+
+def test_pairs_of_a_basket_are_met_without_a_join(spark, lines):
+    """One reading of the shuffled lines gives the pairs, unless a basket may have too many products."""
+    rows = [(1, b, "2018-01-01", p, 1, 1, "r") for b in range(2_000) for p in range(b % 5)]
+    frame = stage(lines(rows))
+    assert "Join" not in baskets._paired(frame, 100)._jdf.queryExecution().optimizedPlan().toString()
+    wide = stage(lines([*rows, *[(1, 9_000, "2018-01-01", p, 1, 1, "r") for p in range(9)]]))
+    assert sorted(baskets._paired(wide, 4).collect()) == sorted(baskets._paired(wide, 100).collect())
+    assert baskets._paired(wide, 100).count() == 400 * (1 + 3 + 6) + 36

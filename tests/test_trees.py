@@ -76,6 +76,26 @@ def test_rows_of_other_nodes_are_not_counted():
                 assert totals[0, 0] == (own.sum() if times is None else mine.sum())
 
 
+def test_columns_counted_in_pairs_give_the_same_sums():
+    """Numbers in pairs of columns, an odd one and coded columns alone; of equal columns the first is split by."""
+    rng = np.random.default_rng(4)
+    for widths in ([7, 3, 5], [7, 3], [31], []):
+        layout = trees.Layout([np.arange(float(n)) for n in widths], [5])
+        rows = np.stack([*[rng.integers(0, n + 1, 3_000) for n in widths], rng.integers(0, 6, 3_000)], 1).astype(np.int32)
+        target, place = rng.normal(size=3_000), rng.integers(0, 3, 3_000)
+        for weight in (None, rng.poisson(1.0, 3_000).astype(float)):
+            for where, nodes in ((None, 1), (place, 3)):
+                one, two = (trees.cells(layout, rows, target, weight, where, nodes, paired) for paired in (False, True))
+                assert np.array_equal(one[0], two[0]) and np.allclose(one[1], two[1], rtol=1e-12, atol=1e-12)
+    layout = trees.Layout([np.arange(7.0)] * 3)
+    column = rng.integers(0, 8, 3_000)
+    rows = np.stack([rng.integers(0, 8, 3_000), column, column], 1).astype(np.uint8)
+    sums = trees.cells(layout, rows, target + (column > 3), paired=True)
+    totals = np.array([[3_000.0], [(target + (column > 3)).sum()]])
+    sums[1, 0, 8:16] *= 1 - 1e-15
+    assert trees.best_splits(layout, sums, totals, 1, True)[0].cell // 8 == 1
+
+
 def test_large_nodes_of_a_forest_are_split_by_passes(frame, blocks):
     whole, parted = (trees.forest(*blocks, 6, 7, 5, 3, most) for most in (ROWS, 300))
     first, second = scores(frame, whole), scores(frame, parted)
@@ -129,3 +149,23 @@ def test_cuts_come_from_all_rows_beyond_the_sketch(spark):
 def test_missing_labels_are_refused(spark, blocks):
     with pytest.raises(ValueError):
         trees.boost(blocks[0].where("rows < 0"), blocks[1], "squared", 2, 0.1, 3, 5)
+
+
+def test_stored_blocks_are_those_that_are_kept(spark):
+    """Numbers, coded columns, labels and scores of a kept block come back as they were, without a join."""
+    layout = trees.Layout([np.arange(3.0), np.arange(2.0)], [70_000])
+    rng = np.random.default_rng(6)
+    frame = spark.createDataFrame(
+        [([float(a), float(b)], [int(c)], float(y)) for a, b, c, y in zip(rng.integers(0, 4, 300), rng.integers(0, 3, 300), rng.integers(0, 70_000, 300), rng.normal(size=300))],
+        trees.VALUES,
+    )
+    blocks = trees.store_blocks(frame.repartition(3, "label"), layout)
+    tree = trees.Trees(np.array([0, 0, 0], np.int32), np.array([1, 0, 0], np.int32), np.array([1, 1, 2], np.int32), np.array([0.0, 1.5, -2.0]), 1)
+    state = trees._with_scores(trees._kept(blocks, layout, 2), layout, tree, 0.5)
+    again = trees._kept(trees._stored(blocks, state, layout), layout, 2)
+    one, two = ({b.number: b for b in kept.collect()} for kept in (state, again))
+    assert one.keys() == two.keys() and sum(len(b.rows) for b in two.values()) == 300
+    for number, block in one.items():
+        for part in ("rows", "label", "score"):
+            assert np.array_equal(getattr(block, part), getattr(two[number], part))
+    assert {score for b in two.values() for score in b.score} == {0.75, -1.0}
