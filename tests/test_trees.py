@@ -169,3 +169,14 @@ def test_stored_blocks_are_those_that_are_kept(spark):
         for part in ("rows", "label", "score"):
             assert np.array_equal(getattr(block, part), getattr(two[number], part))
     assert {score for b in two.values() for score in b.score} == {0.75, -1.0}
+
+
+def test_sorted_lists_are_merged_as_by_sorting_anew():
+    rng = np.random.default_rng(8)
+    for size in (0, 1, 5, 4_000):
+        parts = [np.unique(rng.integers(0, 900, size) / 7) for _ in range(3)]
+        values = np.concatenate([*parts, [np.nan] * min(size, 2)])
+        counts = rng.integers(1, 50, len(values))
+        found, place = np.unique(values, return_inverse=True)
+        own, sums = trees._merged(values, counts)
+        assert np.array_equal(own, found, equal_nan=True) and np.array_equal(sums, np.bincount(place, counts, len(found)))
