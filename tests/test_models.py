@@ -158,7 +158,7 @@ def test_a_split_stores_no_row_again(spark, churn_frame, monkeypatch):
         return copy
 
     monkeypatch.setattr(training, "stage", store)
-    data, test, rest = training._split(churn_frame, "hshd_num", training.CHURN_LABEL)
+    data, test, rest = training._split(churn_frame, "hshd_num", training.CHURN_LABEL, False)
     marked = {r["hshd_num"]: r["is_test"] for r in prepare.mark_split(churn_frame, "hshd_num", training.CHURN_LABEL).collect()}
     assert sizes == [2] and data.count() == len(marked) == 240
     assert {r["hshd_num"] for r in test.collect()} == {n for n, held_out in marked.items() if held_out}
